@@ -118,6 +118,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeats: i
     )
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns, size, target, taken and copies (times taken).
+
+    Repeated rows of one doc_id and text come back as one, their copies added up.
+    """
+    of = mix(docs, **how).groupBy("doc_id", "row_key").agg(
+        F.max("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("copies").alias("copies"), F.count("*").alias("_rows")
+    )
+    of = written(of.where("copies > 0").withColumnRenamed("doc_id", "_id").withColumnRenamed("row_key", "_key"), "plan")
+    new = ["size", "target", "taken", "copies"]
+    rows = docs.drop(*new).withColumn("_row_key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    if not of.where("_rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "_row_key"])
+    out = rows.join(of, (rows["_row_key"] == of["_key"]) & rows["doc_id"].eqNullSafe(of["_id"]))
+    return out.select(*[c for c in docs.columns if c not in new], *new)
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")

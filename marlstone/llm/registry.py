@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from marlstone.llm import mixing, simhash
+from marlstone.llm import decontaminate, mixing, quality, simhash
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op5_quality": quality.op5_quality,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLE = {
+    "op1_decontamination": decontaminate.OP1_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }

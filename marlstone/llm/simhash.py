@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import components, written
+from marlstone.llm.common import bounded, components, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 WIDTH, SEED, MAX_DISTANCE, NIBBLE = 4, 42, 4, 4
@@ -110,20 +110,44 @@ def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
     return grp.join(label.select(F.col("node").alias("grp"), "label"), "grp", "left").select("fp", F.coalesce("label", "grp").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(doc_id, text_key, fp, grp, component_id) for each row of ``docs`` (doc_id, text)."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    seen = written(fingerprints(keyed).select("doc_id", "text_key", "fp"), "fingerprints")
+    first = written(seen.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    found = written(link_components(first.select("fp"), max_distance), "found")
+    lowest = found.join(first, "fp").groupBy("label").agg(F.min("first").alias("component_id"))
+    of_fp = written(found.join(lowest, "label").select("fp", F.col("label").alias("grp"), "component_id"), "components")
+    return seen.join(of_fp, "fp").select("doc_id", "text_key", "fp", "grp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id take part and get their
     component's smallest doc_id that is not null (null if there is none). Repeated rows each come back. Other columns
     of ``docs`` are not used. An empty table gives an empty result.
     """
-    seen = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp"), "fingerprints")
-    first = written(seen.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = written(link_components(first.select("fp"), max_distance), "found")
-    lowest = found.join(first, "fp").groupBy("label").agg(F.min("first").alias("component_id"))
-    of_fp = written(found.join(lowest, "label").select("fp", "component_id"), "components")
-    return seen.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = groups(docs, max_distance)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """``docs``, all its columns, with one row of each component: that of the smallest doc_id, then text hash.
+
+    Null doc_ids come last; of rows with the same doc_id and text any one stays.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    seen = written(groups(docs, max_distance).select("grp", rank.alias("rank")), "grouped")
+    best = seen.groupBy("grp").agg(F.min("rank").alias("best"))
+    gone = seen.join(best, "grp").where("rank <> best").select("rank.doc_id", "rank.text_key").distinct()
+    gone = bounded(written(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "gone"))
+    rows = docs.withColumn("_text_key", F.xxhash64("text"))
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_text_key"] == gone["_key"]), "left_anti")
+    if not seen.groupBy("rank").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "_text_key"])
+    return rows.select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
