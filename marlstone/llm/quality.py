@@ -131,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: Column, max_positives: int
     return {"w": non_negative_pu(p, u, prior), "mean": mean, "std": std, "prior": prior}
 
 
-def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """``docs`` with a column score (0 to 1), from the whole text alone; empty and null texts too. The model is about 8 KB."""
+def score(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
+    """``docs`` (text) with a column ``out`` (0 to 1), from the whole text alone; empty and null texts too. The model is about 8 KB."""
     w, mean, std, prior = model["w"], model["mean"], model["std"], model["prior"]
 
     @F.pandas_udf("double")
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 z[at : at + len(x)] = standard(x, mean, std) @ w[:-1] + w[-1]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.withColumn("score", of(F.col(text)))
+    return docs.withColumn(out, of(F.col("text")))
 
 
 def held_out() -> Column:
@@ -163,7 +163,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs``, all its columns, without the rows that the classifier rejects."""
-    return classify(docs, labels).where("predicted = 1").select(*docs.columns)
+    mine = "_quality_score"
+    return score(docs, fit(docs, labels, ~held_out()), mine).where(F.col(mine) >= 0.5).select(*docs.columns)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
