@@ -102,9 +102,16 @@ def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
 
     rows = _variants(grp)
     of_key = _variants(grp.where("many")).groupBy("key", "grp").count().groupBy("key").agg(F.expr("max_by(grp, count)").alias("main"))
-    one = rows.join(of_key, "key", "left").where("main IS NULL OR grp <> main").select("key", F.col("fp").alias("p"), F.col("grp").alias("pg"), "main")
+    one = rows.join(of_key, "key", "left").where("main IS NULL OR grp <> main").select(
+        "key", F.expr("key % 64").alias("bit"), F.col("fp").alias("p"), F.col("grp").alias("pg"), "main"
+    )
     two = rows.select("key", F.col("fp").alias("q"), F.col("grp").alias("qg"))
-    cond = (one["key"] == two["key"]) & F.expr(f"pg <> qg AND bit_count(p ^ q) <= {max_distance} AND (p < q OR qg <=> main)")
+    # a pair meets under many keys; it is taken under the first: the bit that differs in the first segment with one at most
+    at = "coalesce(" + ", ".join(
+        f"CASE WHEN (p ^ q) & {m} = 0 THEN {at} WHEN bit_count((p ^ q) & {m}) = 1 THEN bit_count(((p ^ q) & {m}) - 1) END"
+        for at, m in ((at, f"shiftleft({2**n - 1}L, {at})") for at, n in SEGMENTS)
+    ) + ")"
+    cond = (one["key"] == two["key"]) & F.expr(f"pg <> qg AND bit_count(p ^ q) <= {max_distance} AND (p < q OR qg <=> main) AND bit = {at}")
     links = one.join(two, cond).select(F.least("pg", "qg").alias("a"), F.greatest("pg", "qg").alias("b")).distinct()
     label = components(links)
     return grp.join(label.select(F.col("node").alias("grp"), "label"), "grp", "left").select("fp", F.coalesce("label", "grp").alias("label"))
