@@ -2,9 +2,286 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as T
+from marlstone.operators import answers as A
+from marlstone.operators import corpus as C
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_CLEAN = r"trim(regexp_replace(translate({0}, chr(0), ' '), '\s+', ' ', 'g'))"
+_HASH = r"sha1(lower(trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))))"
+_TOKENS = r"list_transform(regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_\x{{0900}}-\x{{0D7F}}\x{{0600}}-\x{{06FF}}]+'), lambda t: lower(t))"
+_SENTS = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g'), '([.!?।॥])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+
+
+@query(f"SELECT doc_id, {_CLEAN.format('text')} AS cleaned FROM documents")
+def clean_text_docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id, {_HASH.format('text')} AS text_hash FROM documents GROUP BY 2")
+def dedupe_first_by_hash(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.text_hash(F.col("text")).alias("text_hash"))
+    return C.keep_first(docs, [F.col("text_hash")], ["doc_id"])
+
+
+@query(f"SELECT min(doc_id) AS doc_id, source, {_HASH.format('text')} AS text_hash FROM documents GROUP BY 2, 3")
+def dedupe_by_hash_and_source(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", T.text_hash(F.col("text")).alias("text_hash"))
+    return C.keep_first(docs, [F.col("text_hash"), F.col("source")], ["doc_id"])
+
+
+@query(f"SELECT doc_id, i - 1 AS chunk_no, s[i] AS chunk FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENTS.format('text')} AS s FROM documents))")
+def sentence_split(spark, d):
+    return C.chunks(table(spark, d, "documents"), lambda s: s)
+
+
+@query(
+    f"""SELECT doc_id, i - 1 AS chunk_no, CASE WHEN len(s) <= 3 THEN array_to_string(s, ' ') ELSE array_to_string(s[i:i + 2], ' ') END AS chunk
+FROM (SELECT doc_id, s, unnest(range(1, greatest(len(s) - 1, 2))) AS i FROM (SELECT doc_id, {_SENTS.format('text')} AS s FROM documents) WHERE len(s) > 0)"""
+)
+def chunk_sliding_3_1(spark, d):
+    return C.chunks(table(spark, d, "documents"), lambda s: T.sliding_chunks(s, 3, 1))
+
+
+_FOLD = """SELECT doc_id, i - 1 AS chunk_no, c[i] AS chunk FROM (
+  SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (
+    SELECT doc_id, CASE WHEN r.buf = '' THEN r.done ELSE list_append(r.done, r.buf) END AS c FROM (
+      SELECT doc_id, list_reduce(list_prepend({{'done': []::VARCHAR[], 'buf': '', 's': ''}}, list_transform(s, lambda x: {{'done': []::VARCHAR[], 'buf': '', 's': x}})),
+        lambda a, x: {step}) AS r
+      FROM (SELECT doc_id, {sents} AS s FROM documents))))"""
+_MERGE = _FOLD.format(
+    sents=_SENTS.format("text"),
+    step="""{'done': CASE WHEN length(a.buf) >= 40 THEN list_append(a.done, a.buf) ELSE a.done END,
+                 'buf': CASE WHEN length(a.buf) >= 40 OR a.buf = '' THEN x.s ELSE a.buf || ' ' || x.s END, 's': ''}""",
+)
+_PACK = _FOLD.format(
+    sents=_SENTS.format("text"),
+    step="""CASE WHEN a.buf <> '' AND length(a.buf) + length(x.s) + 1 > 700 THEN {'done': list_append(a.done, a.buf), 'buf': x.s, 's': ''}
+          WHEN length(x.s) > 80 AND length(CASE WHEN a.buf = '' THEN x.s ELSE a.buf || ' ' || x.s END) >= 450
+            THEN {'done': list_append(a.done, CASE WHEN a.buf = '' THEN x.s ELSE a.buf || ' ' || x.s END), 'buf': '', 's': ''}
+          ELSE {'done': a.done, 'buf': CASE WHEN a.buf = '' THEN x.s ELSE a.buf || ' ' || x.s END, 's': ''} END""",
+)
+
+
+@query(_MERGE)
+def chunk_sentence_merge(spark, d):
+    return C.chunks(table(spark, d, "documents"), T.sentence_chunks)
+
+
+@query(_PACK)
+def chunk_semantic(spark, d):
+    return C.chunks(table(spark, d, "documents"), T.packed_chunks)
+
+
+@query(f"SELECT doc_id::VARCHAR AS parent_id, doc_id || '::c' || chunk_no AS child_id, chunk_no AS child_index, chunk AS child_text FROM ({_MERGE})")
+def chunk_parent_child(spark, d):
+    docs = table(spark, d, "documents").where("trim(text) <> ''")
+    return C.child_chunks(docs, F.col("doc_id").cast("string")).drop("parent_text")
+
+
+@query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)")
+def token_stats(spark, d):
+    t = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
+
+
+@query(
+    f"""SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents)
+GROUP BY term ORDER BY n DESC, term LIMIT 100"""
+)
+def postings_top_terms(spark, d):
+    p = C.Index(table(spark, d, "documents")).postings
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).orderBy(F.col("n").desc(), "term").limit(100)
+
+
+_BM25 = f"""WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents),
+l AS (SELECT doc_id, len({_TOKENS.format('text')}) AS dl FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+r AS (SELECT term, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p GROUP BY 1),
+i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
+q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT qid, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM l)))), 6) AS score
+      FROM p JOIN q USING (term) JOIN i USING (term) JOIN l USING (doc_id) GROUP BY 1, 2),
+"""
+
+
+def _items(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def _bm25(spark, d, k: int) -> DataFrame:
+    return C.top_k(C.Index(table(spark, d, "documents")).scores(_items(spark, d)), k)
+
+
+@query(_BM25 + "k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT * FROM k WHERE rank <= 5")
+def bm25_topk(spark, d):
+    return _bm25(spark, d, 5)
+
+
+@query(
+    _BM25 + """k AS (SELECT s.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
+FROM s JOIN documents USING (doc_id) WHERE score > 0 AND lang = 'fr') SELECT * FROM k WHERE rank <= 5"""
+)
+def bm25_topk_lang_filtered(spark, d):
+    """Statistics over the whole corpus; the language filter comes after the scores."""
+    docs = table(spark, d, "documents")
+    s = C.Index(docs).scores(_items(spark, d)).join(docs.where("lang = 'fr'").select("doc_id"), "doc_id", "left_semi")
+    return C.top_k(s, 5)
+
+
+_COS = """WITH s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
+  / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
+  FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 {0}),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) """
+
+
+def _vectors(spark, d, k, keep=None):
+    v = table(spark, d, "embeddings")
+    return C.dense_top_k(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), k, keep)
+
+
+@query(_COS.format("") + "SELECT * FROM k WHERE rank <= 10")
+def dense_topk_cosine(spark, d):
+    return _vectors(spark, d, 10)
+
+
+@query(_COS.format("AND v.label = 1") + "SELECT * FROM k WHERE rank <= 10")
+def dense_topk_label_filtered(spark, d):
+    return _vectors(spark, d, 10, F.col("label") == 1)
+
+
+@query(
+    _BM25 + """a AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20),
+b AS (SELECT qid, doc_id, 1.0 AS score, row_number() OVER (PARTITION BY qid ORDER BY rank DESC) AS rank FROM a WHERE rank <= 10),
+u AS (SELECT *, 0 AS list FROM a UNION ALL SELECT *, 1 FROM b),
+g AS (SELECT qid, doc_id::VARCHAR AS id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf, arg_min(score, list * 1000 + rank) AS orig_score, min(list * 1000 + rank) AS seen FROM u GROUP BY 1, 2),
+k AS (SELECT qid, id, rrf, orig_score, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, seen, id) AS rank FROM g) SELECT * FROM k WHERE rank <= 20"""
+)
+def rrf_fusion(spark, d):
+    a = _bm25(spark, d, 20).withColumnRenamed("doc_id", "id")
+    from pyspark.sql import Window
+
+    back = a.where("rank <= 10").select("qid", "id", F.lit(1.0).alias("score"), F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rank").desc())).alias("rank"))
+    return C.fuse([a, back])
+
+
+def _sql_any(c: str, patterns) -> str:
+    return " OR ".join(f"regexp_matches({c}, '(?i){p}')" for p in patterns)
+
+
+@query(f"SELECT conv_id, turn, ({_sql_any("coalesce(text, '')", A.UNSAFE)}) AS unsafe, ({_sql_any("coalesce(text, '')", A.OFF_TOPIC)}) AS off_topic FROM conversations")
+def unsafe_offtopic_flags(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", A.matches(F.col("text"), A.UNSAFE).alias("unsafe"), A.matches(F.col("text"), A.OFF_TOPIC).alias("off_topic"))
+
+
+def _sql_words(c: str, stop) -> str:
+    quoted = ", ".join(f"'{w}'" for w in stop)
+    return f"list_distinct(list_filter({_TOKENS.format(c)}, lambda t: length(t) > 1 AND t NOT IN ({quoted})))"
+
+
+@query(
+    f"""SELECT conv_id, turn, round(CASE WHEN len(a) > 0 AND len(c) > 0 THEN len(list_intersect(a, c)) / len(a) ELSE 0 END, 6) AS overlap FROM (
+  SELECT y.conv_id, y.turn, {_sql_words('y.text', A.GROUNDING_STOP)} AS a, {_sql_words('x.text', A.GROUNDING_STOP)} AS c
+  FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1 WHERE x.role = 'user' AND y.role = 'assistant')"""
+)
+def grounding_overlap(spark, d):
+    c = table(spark, d, "conversations")
+    x = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
+    y = c.where("role = 'assistant'").join(x, ["conv_id", "turn"])
+    return y.select("conv_id", "turn", F.round(A.overlap(F.col("text"), F.col("asked")), 6).alias("overlap"))
+
+
+@query(f"SELECT doc_id, CASE WHEN len(s) > 0 THEN array_to_string(s[1:2], ' ') ELSE left(coalesce(text, ''), 400) END AS answer FROM (SELECT doc_id, text, {_SENTS.format('text')} AS s FROM documents)")
+def extractive_answer(spark, d):
+    return table(spark, d, "documents").select("doc_id", A.extractive(F.col("text")).alias("answer"))
+
+
+@query(
+    _BM25 + f"""k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0),
+h AS (SELECT qid, doc_id, text, {_SENTS.format('text')} AS st FROM k JOIN documents USING (doc_id) WHERE rank = 1),
+a AS (SELECT qid, doc_id, text, CASE WHEN len(st) > 0 THEN array_to_string(st[1:2], ' ') ELSE left(text, 400) END AS answer FROM h),
+w AS (SELECT qid, doc_id, answer, {_sql_words('a.answer', A.GROUNDING_STOP)} AS x, {_sql_words('a.text', A.GROUNDING_STOP)} AS y FROM a)
+SELECT qid, doc_id, answer, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(x) ELSE 0 END, 6) AS grounding FROM w"""
+)
+def rag_answer_batch(spark, d):
+    docs = table(spark, d, "documents")
+    top = _bm25(spark, d, 1).join(docs.select("doc_id", "text"), "doc_id")
+    out = top.select("qid", "doc_id", A.extractive(F.col("text")).alias("answer"), "text")
+    return out.select("qid", "doc_id", "answer", F.round(A.overlap(F.col("answer"), F.col("text")), 6).alias("grounding"))
+
+
+@query(
+    _COS.format("AND v.vec_id <> q.vec_id") + """, h AS (SELECT qid, min(rank) AS best FROM k JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = k.vec_id
+  WHERE rank <= 5 AND a.label = b.label GROUP BY 1)
+SELECT count(*) AS n_queries, round(avg(CASE WHEN best <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall, round(avg(coalesce(1.0::DOUBLE / best, 0)), 4) AS mrr
+FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 20 = 0) LEFT JOIN h USING (qid)"""
+)
+def recall_mrr_by_label(spark, d):
+    v = table(spark, d, "embeddings")
+    hits = _vectors(spark, d, 6).where("qid <> vec_id")
+    label = v.select("vec_id", "label")
+    own = label.withColumnsRenamed({"vec_id": "qid", "label": "own"})
+    from pyspark.sql import Window
+
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("rank <= 5")
+    good = hits.join(label, "vec_id").join(own, "qid").where("own = label").select("qid", F.col("vec_id").alias("id"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.lit(-1).cast("long").alias("id"))
+    return A.recall_mrr(hits.withColumnRenamed("vec_id", "id"), good.unionByName(asked), 5)
+
+
+@query(
+    """WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT event_type, round(v[round_even(0.5 * (len(v) - 1), 0)::INT + 1], 2) AS p50, round(v[round_even(0.7 * (len(v) - 1), 0)::INT + 1], 2) AS p70, round(v[len(v)], 2) AS p100 FROM s"""
+)
+def latency_percentiles(spark, d):
+    e = table(spark, d, "events").where("value IS NOT NULL")
+    return e.groupBy("event_type").agg(*[A.rank_percentile(F.col("value"), p).alias(f"p{p}") for p in (50, 70, 100)])
+
+
+@query("SELECT lang, count(*) AS n_docs, count(DISTINCT source) AS n_sources, sum(CASE WHEN length(text) >= 40 THEN 1 ELSE 0 END)::BIGINT AS n_long FROM documents GROUP BY ROLLUP(lang)")
+def language_rollup(spark, d):
+    return table(spark, d, "documents").rollup("lang").agg(
+        F.count("*").alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.count_if(F.length("text") >= 40).alias("n_long")
+    )
+
+
+@query()
+def rate_limit_admissions(spark, d):
+    e = table(spark, d, "events")
+    return A.admissions(e, "user_id", F.col("ts").cast("timestamp").cast("double"), 3, 3600.0)
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT user_id, min(ts) AS started, count(*) AS n_segments, string_agg(event_type, ' ' ORDER BY ts, event_id) AS merged FROM n GROUP BY user_id, no"""
+)
+def session_merge_utterances(spark, d):
+    from marlstone.streaming.sessions import merge_segments
+
+    return merge_segments(table(spark, d, "events"), "user_id", "ts", "event_id", "event_type", "30 minutes")
+
+
 def flagship(spark, sf_dir: str):
-    return QUERIES["bm25_topk"](spark, sf_dir)
+    return QUERIES["rag_answer_batch"](spark, sf_dir)
