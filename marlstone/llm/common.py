@@ -68,6 +68,12 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as shuffles have: small rows that stand for much work, which
+    adaptive execution would else gather in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges`` (a long, b long); label is the smallest node it reaches.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from marlstone.llm.common import fresh_path, open_fs, written
+from marlstone.llm.common import fresh_path, open_fs, spread, written
 
 TOKENIZERS, VOCABULARY, SEPARATOR = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 50256
 #: How byte-level BPE of this vocabulary cuts a text before merging; fixed value, as published with it.
@@ -104,7 +104,7 @@ def scan(spark: SparkSession, folder: str, names: DataFrame, separator: int = SE
                 yield pd.DataFrame({"file": [file], "block": [block], "n_sep": [len(at)], "head": [head], "tail": [tail], "inner": [inner.astype(np.int64)]})
 
     blocks = flat_blocks(spark, folder, names, width, block_bytes)
-    blocks = blocks.repartition(F.col("file"), F.col("block"))
+    blocks = spread(blocks, "file", "block")
     found = written(blocks.mapInPandas(search, "file string, block long, n_sep long, head long, tail long, inner array<bigint>"), "blocks")
 
     # An open document's tokens before a block are the tails since the last block with a separator. As a scan: with the
