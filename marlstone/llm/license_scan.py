@@ -76,7 +76,7 @@ def block_matches(docs: DataFrame, ranked: DataFrame, block_words: int) -> DataF
     """(text_key, block, template, label, score) of every block that holds the needed share of a template.
 
     ``docs`` has (text_key, text); texts of equal key are equal. Of the templates a block matches, those it holds the
-    largest share of count; ties all.
+    largest share of count, then the most tokens of, so that a template doesn't stand beside one that contains it.
     """
     ranked = written(ranked, "ranked")
     prefix = ranked.where(F.col("place") < F.col("n") - F.col("need") + 1)
@@ -103,9 +103,10 @@ def block_matches(docs: DataFrame, ranked: DataFrame, block_words: int) -> DataF
     sets = bounded(ranked.groupBy("template", "label").agg(F.collect_set("token").alias("set"), F.max("n").alias("n"), F.max("need").alias("need")))
     same = F.size(F.array_intersect(F.col("tokens.token"), F.col("set")))
     got = met.join(sets, "template").select("text_key", "block", "template", "label", same.alias("same"), "n", "need").where("same >= need")
-    got = got.select("text_key", "block", "template", "label", (F.col("same") / F.col("n")).alias("score"))
-    best = got.groupBy("text_key", "block").agg(F.max("score").alias("best"), F.collect_list(F.struct("template", "label", "score")).alias("all"))
-    return best.select("text_key", "block", "best", F.explode("all").alias("x")).where("x.score = best").select("text_key", "block", "x.template", "x.label", "x.score")
+    got = got.select("text_key", "block", "template", "label", F.struct((F.col("same") / F.col("n")).alias("score"), "same").alias("x"))
+    best = got.groupBy("text_key", "block").agg(F.max("x").alias("best"), F.collect_list(F.struct("template", "label", "x")).alias("all"))
+    best = best.select("text_key", "block", "best", F.explode("all").alias("y")).where("y.x = best")
+    return best.select("text_key", "block", "y.template", "y.label", "best.score")
 
 
 def _starts(words: Column, phrases) -> Column:
@@ -176,10 +177,10 @@ tpl(template, label, txt) AS (VALUES {", ".join(f"({i}, {quoted(label)}, {quoted
 tok AS (SELECT DISTINCT template, label, unnest(string_split(txt, ' ')) AS token FROM tpl),
 tn AS (SELECT template, count(*) AS n FROM tok GROUP BY template),
 k AS (SELECT DISTINCT doc_id, template, label, token, unnest([i // {step}, i // {step} - 1]) AS block FROM p JOIN tok ON token = ws[i + 1]),
-c AS (SELECT doc_id, block, template, label, count(*) / n AS score FROM k JOIN tn USING (template) WHERE block >= 0
+c AS (SELECT doc_id, block, label, count(*) / n AS score, struct_pack(score := count(*) / n, same := count(*)) AS x FROM k JOIN tn USING (template) WHERE block >= 0
       GROUP BY doc_id, block, template, label, n HAVING count(*) >= ceil({THRESHOLD}::DOUBLE * n - 1e-9)),
 m AS (SELECT doc_id, list(DISTINCT label) AS found, max(score) AS best FROM c
-      JOIN (SELECT doc_id, block, max(score) AS score FROM c GROUP BY doc_id, block) x USING (doc_id, block, score) GROUP BY doc_id)
+      JOIN (SELECT doc_id, block, max(x) AS x FROM c GROUP BY doc_id, block) USING (doc_id, block, x) GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
        coalesce(array_to_string(base, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels,
