@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from marlstone.llm.common import fresh_path, open_fs, written
+from marlstone.llm.common import fresh_path, open_fs, spread, written
 
 ROLL_BYTES = 32 << 20
 #: Stands in every record; the pages carry no date of their own.
@@ -131,7 +131,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, smallest:
                     raise OSError(f"{x.file} is not as its manifest says")
             yield b.drop(columns="temporary")
 
-    return written(drafts.mapInPandas(commit, "file string, shard int, roll int, n_records long, n_bytes long, sha1 string"), "manifest")
+    return written(spread(drafts, "file").mapInPandas(commit, "file string, shard int, roll int, n_records long, n_bytes long, sha1 string"), "manifest")
 
 
 class WarcError(ValueError):
@@ -200,7 +200,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield frame(rows)
 
-    files = manifest.select("file").repartition(F.col("file"))
+    files = spread(manifest.select("file"), "file")
     return files.mapInPandas(parse, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
