@@ -283,5 +283,52 @@ def session_merge_utterances(spark, d):
     return merge_segments(table(spark, d, "events"), "user_id", "ts", "event_id", "event_type", "30 minutes")
 
 
+@query("SELECT doc_id, (('0x' || substr(sha1(doc_id::VARCHAR), 1, 16))::UBIGINT % 9223372036854775807)::BIGINT AS point_id FROM documents")
+def point_ids(spark, d):
+    from marlstone.sources.store import point_id
+
+    return table(spark, d, "documents").select("doc_id", point_id(F.col("doc_id").cast("string")).alias("point_id"))
+
+
+def _hits(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items as questions, and their 20 best documents as hits."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    hits = _bm25(spark, d, 20).join(docs, "doc_id").select(
+        "qid", "rank", F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("text").alias("parent_text"), F.col("score").alias("orig_score"),
+        (1.0 / (60 + F.col("rank"))).alias("rrf_score"), F.lit(None).cast("string").alias("source_query"),
+    )
+    return _items(spark, d).withColumnRenamed("text", "query"), hits
+
+
+@query()
+def rerank_topk(spark, d):
+    from marlstone.operators.rerank import rerank
+
+    return rerank(*_hits(spark, d), 5)
+
+
+@query()
+def coverage_refusals(spark, d):
+    from marlstone.operators.rerank import refusals
+
+    return refusals(*_hits(spark, d))
+
+
+@query()
+def compact_index_chunks(spark, d):
+    from marlstone.operators import records as R
+
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("document").alias("query"), F.struct(F.array("text").alias("English_passages")).alias("passages"), "lang")
+    return R.compact_chunks(R.clean(R.normalize(texts, F.col("lang")))).select("query_id", "chunk_id", "chunk_type", "text")
+
+
+@query()
+def ngram_language(spark, d):
+    """Models learnt from ``documents.lang``, asked of the benchmark items."""
+    from marlstone.operators import languages as L
+
+    return L.predict(_items(spark, d), L.fit(table(spark, d, "documents").select("lang", "text", "doc_id"), "doc_id"))
+
+
 def flagship(spark, sf_dir: str):
     return QUERIES["rag_answer_batch"](spark, sf_dir)

@@ -60,12 +60,14 @@ def _profile(c: Column) -> Column:
 
 def grams(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, order, gram, n) of the padded texts in the column ``_p``, counted before they are dealt out."""
-    def cut(n: int) -> Column:
-        all_ = F.transform(F.sequence(F.lit(1), F.length("_p") - n + 1), lambda i: F.struct(F.lit(n).alias("order"), F.substring(F.col("_p"), i, F.lit(n)).alias("gram")))
-        return F.when(F.length("_p") >= n, all_).otherwise(F.array().cast("array<struct<order:int,gram:string>>"))
-
-    each = [cut(n) for n in ORDERS]
-    return df.select(*keys, F.explode(F.concat(*each)).alias("_g")).groupBy(*keys, "_g.order", "_g.gram").agg(F.count("*").alias("n"))
+    def cut(p: Column, n: int) -> Column:
+        gram = lambda i: F.concat(*[F.get(p, i + k) for k in range(n)])
+        all_ = F.transform(F.sequence(F.lit(0), F.size(p) - n), lambda i: F.struct(F.lit(n).alias("order"), gram(i).alias("gram")))
+        return F.when(F.size(p) >= n, all_).otherwise(F.array().cast("array<struct<order:int,gram:string>>"))
+
+    # characters are split once: substring() would count from the start of a long text for every gram
+    each = F.transform(F.array(F.split("_p", "")), lambda p: F.concat(*[cut(p, n) for n in ORDERS]))[0]
+    return df.select(*keys, F.explode(each).alias("_g")).groupBy(*keys, "_g.order", "_g.gram").agg(F.count("*").alias("n"))
 
 
 def fit(samples: DataFrame, order: str, budget: int = BUDGET) -> DataFrame:
