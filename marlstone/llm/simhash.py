@@ -8,6 +8,13 @@ Large groups of near copies never become all pairs. Fingerprints that agree outs
 are links by construction, so they are tied to the smallest of them first (16 keys each) and contracted. In a key's
 bucket the most frequent of the contracted groups is never compared with itself: each remaining link has an end outside
 it. Copies of one text share a fingerprint and count once.
+
+Texts of high shingle similarity may differ in far more bits than segments can find, so ``keep_one`` can add an exact
+set-similarity join: links between texts whose word shingles have a Jaccard similarity of 4/5 or more. Shingles have one
+global order, frequent ones last (counted in a sample, which touches speed only). Similar sets share a shingle among
+the first n - ceil(4n/5) + 1 of each; pairs that meet there and pass the length and positional filters are verified on
+whole shingle sets. In a bucket all are first compared with one member only; what that links is contracted before the
+remaining pairs are formed.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import bounded, components, written
@@ -25,6 +32,9 @@ from marlstone.llm.common import bounded, components, written
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 WIDTH, SEED, MAX_DISTANCE, NIBBLE = 4, 42, 4, 4
 BIG_GROUP = 16
+SIMILAR_WIDTH = 5  # words of a shingle; the similarity asked for is SIMILAR[0] / SIMILAR[1]
+SIMILAR = (4, 5)
+SAMPLE, FREQUENT, MOST_FREQUENT = 8, 16, 100_000  # one text of 8 is counted; shingles in 16 of those or more are frequent
 
 
 def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
@@ -139,13 +149,146 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def shingle_set(text: str | None, width: int = SIMILAR_WIDTH) -> set:
+    """The distinct word shingles of the text; one shorter shingle where it has fewer words, none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return set()
+    return set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else {tuple(words)}
+
+
+def shingle_keys(text: str | None, width: int = SIMILAR_WIDTH) -> np.ndarray:
+    """Ascending 64-bit keys (signed) of ``shingle_set``: words are hashed, shingles are sums of odd multiples, mixed."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    x = np.full(n, width, np.uint64)
+    for k in range(width):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique((x ^ (x >> np.uint64(32))).view(np.int64))
+
+
+def _prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
+    """(key, id, n, place): the first n - ceil(4n/5) + 1 of each text's n shingles in global order."""
+    known, times = frequent
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, ids, ns, places = [], [], [], []
+            for i, t in zip(b["text_key"], b["text"], strict=True):
+                x = shingle_keys(t, width)
+                if not len(x):
+                    continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    x = x[np.argsort(np.where(known[at] == x, times[at], 0), kind="stable")]
+                k = len(x) - -(-SIMILAR[0] * len(x) // SIMILAR[1]) + 1
+                keys.append(x[:k])
+                ids.append(np.full(k, i, np.int64))
+                ns.append(np.full(k, len(x), np.int32))
+                places.append(np.arange(k, dtype=np.int32))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "n": np.concatenate(ns), "place": np.concatenate(places)})
+
+    return texts.select("text_key", "text").mapInPandas(cut, "key long, id long, n int, place int")
+
+
+def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ascending, and their counts) of the shingles that many texts of a sample hold."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = [shingle_keys(t, width) for t in b["text"]]
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys)})
+
+    some = texts.where(F.pmod("text_key", F.lit(SAMPLE)) == 0).select("text").mapInPandas(cut, "key long")
+    count = some.groupBy("key").count().where(f"count >= {FREQUENT}").orderBy(F.desc("count"), "key").limit(MOST_FREQUENT)
+    got = sorted((r["key"], r["count"]) for r in count.collect())
+    return np.array([k for k, _ in got], np.int64), np.array([c for _, c in got], np.int64)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Those of ``pairs`` (p, pg, q, qg) whose texts' shingles have the similarity asked for."""
+
+    @F.pandas_udf("boolean")
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(left, right, strict=True):
+            a, b = shingle_set(a, width), shingle_set(b, width)
+            both = len(a & b)
+            out.append(both * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - both))
+        return pd.Series(out, dtype=bool)
+
+    pairs = written(pairs, "candidates")
+    ends = bounded(pairs.select(F.explode(F.array("p", "q")).alias("text_key")).distinct())
+    some = texts.join(ends, "text_key", "left_semi")
+    left, right = some.select(F.col("text_key").alias("p"), F.col("text").alias("a")), some.select(F.col("text_key").alias("q"), F.col("text").alias("b"))
+    return pairs.join(left, "p").join(right, "q").where(similar("a", "b")).select("p", "pg", "q", "qg")
+
+
+def similar_components(texts: DataFrame, groups_of: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """(grp, label) of every group in ``groups_of`` (text_key, grp) after links between similar texts.
+
+    ``texts`` (text_key, text) has each text once. Groups are kept whole; label is one of those reachable over texts
+    with a shingle similarity of 4/5 or more.
+    """
+    a, b = SIMILAR
+    fits = f"n * {b} >= {a} * qn AND qn * {b} >= {a} * n AND least(n - place, qn - qplace) * {a + b} >= {a} * (n + qn)"
+    rows = _prefixes(texts, _frequent(texts, width), width)
+    bucket = Window.partitionBy("key")
+    met = written(rows.withColumn("many", F.count("*").over(bucket)).where("many > 1").drop("many"), "met")
+    met = written(met.join(bounded(groups_of), met["id"] == groups_of["text_key"]).select("key", "id", "n", "place", "grp"), "met-groups")
+    label = groups_of.select("grp").distinct().withColumn("label", F.col("grp"))
+    label = written(label, "labels-of-groups")
+
+    def contracted(links: DataFrame, label: DataFrame) -> DataFrame:
+        reached = components(links.select(F.col("pg").alias("a"), F.col("qg").alias("b")))
+        reached = bounded(reached.select(F.col("node").alias("label"), F.col("label").alias("to")))
+        return written(label.join(reached, "label", "left").select("grp", F.coalesce("to", "label").alias("label")), "labels-of-groups")
+
+    def left(label: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one group."""
+        now = met.join(bounded(label), "grp").select("key", "id", "n", "place", "label")
+        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        return written(now.join(mixed, "key", "left_semi"), "left")
+
+    # one member a bucket, by two orders: a large group of near copies becomes one label here
+    for seed in (1, 2):
+        now = left(label)
+        hub = F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "place", "label")).over(bucket)
+        star = now.withColumn("hub", hub).select(
+            F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place", F.col("hub.id").alias("q"), F.col("hub.label").alias("qg"),
+            F.col("hub.n").alias("qn"), F.col("hub.place").alias("qplace"),
+        )
+        star = star.where("pg <> qg").where(fits).select("p", "pg", "q", "qg").distinct()
+        label = contracted(_verified(star, texts, width), label)
+    now = left(label)
+    one = now.select("key", F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place")
+    two = now.select("key", F.col("id").alias("q"), F.col("label").alias("qg"), F.col("n").alias("qn"), F.col("place").alias("qplace"))
+    pairs = one.join(two, (one["key"] == two["key"]) & F.expr(f"p < q AND pg <> qg AND {fits}")).select("p", "pg", "q", "qg").distinct()
+    return contracted(_verified(pairs, texts, width), label)
+
+
+def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE, similar: bool = False, width: int = SIMILAR_WIDTH) -> DataFrame:
     """``docs``, all its columns, with one row of each component: that of the smallest doc_id, then text hash.
 
-    Null doc_ids come last; of rows with the same doc_id and text any one stays.
+    With ``similar`` texts whose shingles of ``width`` words have a Jaccard similarity of 0.8 or more are linked as well,
+    at whatever distance their fingerprints are. Null doc_ids come last; of rows with the same doc_id and text any one
+    stays.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     seen = written(groups(docs, max_distance).select("grp", rank.alias("rank")), "grouped")
+    if similar:
+        texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+        texts = written(texts.groupBy("text_key").agg(F.first("text").alias("text")), "texts")
+        of = written(seen.select(F.col("rank.text_key").alias("text_key"), "grp").distinct(), "groups-of")
+        label = bounded(similar_components(texts, of, width))
+        seen = written(seen.join(label, "grp").select(F.col("label").alias("grp"), "rank"), "grouped")
     best = seen.groupBy("grp").agg(F.min("rank").alias("best"))
     gone = seen.join(best, "grp").where("rank <> best").select("rank.doc_id", "rank.text_key").distinct()
     gone = bounded(written(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "gone"))

@@ -87,6 +87,60 @@ def test_simhash_odd(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def brute_similar(texts, width=5):
+    """Pairs of texts with a Jaccard similarity of 0.8 or more of their word shingles, written without the operator."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode("utf-8", "surrogatepass").lower().split()
+        sets.append({b" ".join(w[i : i + width]) for i in range(max(len(w) - width, 0) + 1)} if w else set())
+    return [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def test_similar_copies_go_at_any_distance(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(words) for _ in range(12))
+    texts = [None, "", "one two", "One  TWO", "one two three", line, line + " end"]
+    for n in (5, 6, 12, 30, 60, 200, 400):
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(n)]
+            texts.append(" ".join(base) + (" " + line if n > 100 else ""))
+            for changes in (1, 2, 4, 8):
+                copy = list(base)
+                for at in rng.sample(range(n), min(changes, n)):
+                    copy[at] = rng.choice(words)
+                texts.append(" ".join(copy))
+    big = [rng.choice(words) for _ in range(80)]
+    texts += [" ".join(big[: i % 9] + ["x"] * (i % 2) + big[i % 9 + i % 3 :]) + f" y{i}" for i in range(150)]
+    pairs = brute_similar(texts)
+    fps = [simhash.fingerprint(t) for t in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert any((fps[i] ^ fps[j]).bit_count() > 4 for i, j in pairs)
+    own = list(range(len(texts)))
+    while True:
+        new = list(own)
+        for i, j in pairs + near:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == own:
+            break
+        own = new
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.keep_one(docs, similar=True).collect())
+    assert got == sorted(set(own))
+    assert simhash.keep_one(docs.limit(0), similar=True).count() == 0
+
+
+def test_dedup_stage_leaves_no_similar_pair(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = docs.where("n_chars > 600").orderBy("doc_id").first()
+    words = first.text.split(" ")
+    words[len(words) // 2] = "changed"
+    docs = docs.unionByName(spark.createDataFrame([(10**9, " ".join(words), first.lang, first.source, first.n_chars)], docs.schema))
+    kept = [r.text for r in pipeline.dedup_stage(spark, docs, sf).collect()]
+    assert brute_similar(kept) == [] and brute_similar([first.text, " ".join(words)]) == [(0, 1)]
+
+
 def test_decontamination(spark, odd):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     half = " ".join(item.split()[:8])
