@@ -75,8 +75,9 @@ def _any_of(words: list[str]) -> str:
 def block_matches(docs: DataFrame, ranked: DataFrame, block_words: int) -> DataFrame:
     """(text_key, block, template, label, score) of every block that holds the needed share of a template.
 
-    ``docs`` has (text_key, text); texts of equal key are equal. Of the templates a block matches, those it holds the
-    largest share of count, then the most tokens of, so that a template doesn't stand beside one that contains it.
+    ``docs`` has (text_key, text); texts of equal key are equal. A template's places are the shortest runs of words that
+    hold all it has in the block. It is left out only where each of them lies inside a place of a template the block
+    holds a larger share of, or as large a share and more tokens; so it doesn't stand beside one that contains it.
     """
     ranked = written(ranked, "ranked")
     prefix = ranked.where(F.col("place") < F.col("n") - F.col("need") + 1)
@@ -87,26 +88,41 @@ def block_matches(docs: DataFrame, ranked: DataFrame, block_words: int) -> DataF
     at = some.select("text_key", F.posexplode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("pos", "token"))
     step = block_words // 2
     nth = F.floor(F.col("pos") / step)
-    at = at.select("text_key", "token", F.explode(F.array(nth, nth - 1)).alias("block")).where("block >= 0")
+    at = at.select("text_key", "pos", "token", F.explode(F.array(nth, nth - 1)).alias("block")).where("block >= 0")
     vocabulary = bounded(ranked.select("token", "seen").distinct())
     blocks = at.join(vocabulary, "token", "left").groupBy("text_key", "block").agg(
         F.array_sort(F.collect_set(F.when(F.col("seen").isNotNull(), F.struct("seen", "token")))).alias("tokens"),
         F.size(F.collect_set("token")).alias("m"),
+        F.array_sort(F.collect_list(F.when(F.col("seen").isNotNull(), F.struct("pos", "token")))).alias("words"),
     )
     blocks = blocks.where(F.size("tokens") > 0)
     lookup = bounded(prefix.select("token", "template", "place", "n", "need"))
-    probe = blocks.select("text_key", "block", "tokens", "m", F.posexplode("tokens").alias("j", "x")).select("text_key", "block", "tokens", "m", "j", F.col("x.token").alias("token"))
+    probe = blocks.select("text_key", "block", "tokens", "words", "m", F.posexplode("tokens").alias("j", "x")).select("text_key", "block", "tokens", "words", "m", "j", F.col("x.token").alias("token"))
     fits = (F.col("m") >= F.col("need")) & (1 + F.least(F.col("n") - F.col("place") - 1, F.size("tokens") - F.col("j") - 1) >= F.col("need"))
     met = probe.join(lookup, "token")
     # the first common token decides: later ones repeat the pair with a weaker bound
-    met = met.groupBy("text_key", "block", "template").agg(F.max(fits).alias("fits"), F.first("tokens").alias("tokens")).where("fits")
+    met = met.groupBy("text_key", "block", "template").agg(F.max(fits).alias("fits"), F.first("tokens").alias("tokens"), F.first("words").alias("words")).where("fits")
     sets = bounded(ranked.groupBy("template", "label").agg(F.collect_set("token").alias("set"), F.max("n").alias("n"), F.max("need").alias("need")))
-    same = F.size(F.array_intersect(F.col("tokens.token"), F.col("set")))
-    got = met.join(sets, "template").select("text_key", "block", "template", "label", same.alias("same"), "n", "need").where("same >= need")
-    got = got.select("text_key", "block", "template", "label", F.struct((F.col("same") / F.col("n")).alias("score"), "same").alias("x"))
-    best = got.groupBy("text_key", "block").agg(F.max("x").alias("best"), F.collect_list(F.struct("template", "label", "x")).alias("all"))
-    best = best.select("text_key", "block", "best", F.explode("all").alias("y")).where("y.x = best")
-    return best.select("text_key", "block", "y.template", "y.label", "best.score")
+    own = F.array_intersect(F.col("tokens.token"), F.col("set"))
+    got = met.join(sets, "template").select("text_key", "block", "template", "label", "words", own.alias("own"), "n", "need").where("size(own) >= need")
+    x = F.struct((F.size("own") / F.col("n")).alias("score"), F.size("own").alias("same"))
+    got = got.select("text_key", "block", F.struct("template", "label", x.alias("x"), _places().alias("places")).alias("y"))
+    got = got.groupBy("text_key", "block").agg(F.collect_list("y").alias("all"))
+    inside = "exists(all, z -> z.x > y.x AND exists(z.places, v -> v.lo <= w.lo AND v.hi >= w.hi))"
+    kept = got.select("text_key", "block", F.expr(f"filter(all, y -> exists(y.places, w -> NOT {inside}))").alias("kept"))
+    return kept.select("text_key", "block", F.explode("kept").alias("y")).select("text_key", "block", "y.template", "y.label", "y.x.score")
+
+
+def _places() -> Column:
+    """(lo, hi) of each run of ``words`` (pos, token; by pos) that holds all tokens ``own`` and no shorter run that does."""
+    first = "array_min(transform(filter(words, w -> w.pos >= a.pos AND w.token = t), w -> w.pos))"
+    runs = F.expr(
+        f"transform(filter(words, w -> array_contains(own, w.token)), a -> struct(a.pos AS lo, transform(own, t -> {first}) AS at))"
+    )
+    whole = bind(runs, lambda r: F.transform(
+        F.filter(r, lambda f: ~F.exists(f["at"], lambda p: p.isNull())), lambda f: F.struct(f["lo"].alias("lo"), F.array_max(f["at"]).alias("hi"))
+    ))
+    return bind(whole, lambda r: F.filter(r, lambda w: ~F.exists(r, lambda v: (v["hi"] == w["hi"]) & (v["lo"] > w["lo"]))))
 
 
 def _starts(words: Column, phrases) -> Column:

@@ -162,6 +162,15 @@ def test_license_odd(spark, odd):
     assert license_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_license_each_in_a_block(spark):
+    apache, mit, nc, by = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0."
+    texts = [f"{apache} {mit}", f"{mit} {apache}", f"{by} See {nc}", f"{nc} See {by}", nc, f"{nc} {nc}", by, f"{apache} Released under MIT License."]
+    want = [{"apache-2.0", "mit-notice"}] * 2 + [{"cc-by-4.0", "cc-by-nc-4.0"}] * 2 + [{"cc-by-nc-4.0"}] * 2 + [{"cc-by-4.0"}, {"apache-2.0", "mit-notice"}]
+    rows = [(i * 100 + pad, "x " * pad + t) for i, t in enumerate(texts) for pad in (0, 3, 9, 15)]
+    got = {r.doc_id: set(r.labels.split(",")) - {"apache", "mit", "cc-by"} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: want[i // 100] for i, _ in rows}
+
+
 def test_mixing_odd(odd):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and all(r.taken <= 2 * r.size for r in got)
