@@ -110,7 +110,7 @@ def token_stats(spark, d):
 GROUP BY term ORDER BY n DESC, term LIMIT 100"""
 )
 def postings_top_terms(spark, d):
-    p = C.Index(table(spark, d, "documents")).postings
+    p = _index(spark, d).postings
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).orderBy(F.col("n").desc(), "term").limit(100)
 
 
@@ -129,8 +129,24 @@ def _items(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+_INDEXES: dict = {}
+
+
+def _index(spark, d) -> C.Index:
+    """The stored index of the documents of ``d``, built by the first query of a session that needs it."""
+    from marlstone.shared import fresh_path
+
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        docs = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("language"))
+        # a document with the number of a benchmark item came with that item's question
+        asked = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").alias("source_query"))
+        _INDEXES[key] = C.Index.build(docs.join(asked, "doc_id", "left"), fresh_path(spark, "index"), buckets=8)
+    return _INDEXES[key]
+
+
 def _bm25(spark, d, k: int) -> DataFrame:
-    return C.top_k(C.Index(table(spark, d, "documents")).scores(_items(spark, d)), k)
+    return C.top_k(_index(spark, d).scores(_items(spark, d)), k)
 
 
 @query(_BM25 + "k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT * FROM k WHERE rank <= 5")
@@ -145,7 +161,7 @@ FROM s JOIN documents USING (doc_id) WHERE score > 0 AND lang = 'fr') SELECT * F
 def bm25_topk_lang_filtered(spark, d):
     """Statistics over the whole corpus; the language filter comes after the scores."""
     docs = table(spark, d, "documents")
-    s = C.Index(docs).scores(_items(spark, d)).join(docs.where("lang = 'fr'").select("doc_id"), "doc_id", "left_semi")
+    s = _index(spark, d).scores(_items(spark, d)).join(docs.where("lang = 'fr'").select("doc_id"), "doc_id", "left_semi")
     return C.top_k(s, 5)
 
 
@@ -178,9 +194,12 @@ g AS (SELECT qid, doc_id::VARCHAR AS id, round(sum(1.0::DOUBLE / (60 + rank)), 8
 k AS (SELECT qid, id, rrf, orig_score, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, seen, id) AS rank FROM g) SELECT * FROM k WHERE rank <= 20"""
 )
 def rrf_fusion(spark, d):
-    a = _bm25(spark, d, 20).withColumnRenamed("doc_id", "id")
     from pyspark.sql import Window
 
+    from marlstone.shared import written
+
+    a = written(_bm25(spark, d, 20).withColumnRenamed("doc_id", "id"), "ranked")
+
     back = a.where("rank <= 10").select("qid", "id", F.lit(1.0).alias("score"), F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rank").desc())).alias("rank"))
     return C.fuse([a, back])
 
@@ -255,8 +274,7 @@ def recall_mrr_by_label(spark, d):
 SELECT event_type, round(v[round_even(0.5 * (len(v) - 1), 0)::INT + 1], 2) AS p50, round(v[round_even(0.7 * (len(v) - 1), 0)::INT + 1], 2) AS p70, round(v[len(v)], 2) AS p100 FROM s"""
 )
 def latency_percentiles(spark, d):
-    e = table(spark, d, "events").where("value IS NOT NULL")
-    return e.groupBy("event_type").agg(*[A.rank_percentile(F.col("value"), p).alias(f"p{p}") for p in (50, 70, 100)])
+    return A.rank_percentiles(table(spark, d, "events"), "event_type", "value")
 
 
 @query("SELECT lang, count(*) AS n_docs, count(DISTINCT source) AS n_sources, sum(CASE WHEN length(text) >= 40 THEN 1 ELSE 0 END)::BIGINT AS n_long FROM documents GROUP BY ROLLUP(lang)")
@@ -266,7 +284,15 @@ def language_rollup(spark, d):
     )
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts::TIMESTAMP) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+f AS (SELECT user_id AS key, 0::BIGINT AS i, []::DOUBLE[] AS recent, 0::BIGINT AS n FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT key, e.i, CASE WHEN len(list_filter(recent, lambda r: r >= e.t - 3600)) < 3 THEN list_append(list_filter(recent, lambda r: r >= e.t - 3600), e.t)
+    ELSE list_filter(recent, lambda r: r >= e.t - 3600) END, n + CASE WHEN len(list_filter(recent, lambda r: r >= e.t - 3600)) < 3 THEN 1 ELSE 0 END
+  FROM f JOIN e ON e.user_id IS NOT DISTINCT FROM f.key AND e.i = f.i + 1)
+SELECT key, max(i) AS n_events, max(n) AS n_admitted FROM f GROUP BY key"""
+)
 def rate_limit_admissions(spark, d):
     e = table(spark, d, "events")
     return A.admissions(e, "user_id", F.col("ts").cast("timestamp").cast("double"), 3, 3600.0)
@@ -330,5 +356,80 @@ def ngram_language(spark, d):
     return L.predict(_items(spark, d), L.fit(table(spark, d, "documents").select("lang", "text", "doc_id"), "doc_id"))
 
 
+@query(
+    _BM25 + f"""w AS (SELECT item_id AS qid, {_TOKENS.format('text')} AS toks, CASE item_id % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx' END AS want FROM benchmark),
+o AS (SELECT qid, toks, CASE WHEN want IN (SELECT lang FROM documents) THEN want END AS wl FROM w),
+x AS (SELECT o.qid, d.doc_id FROM o JOIN documents d ON wl IS NULL OR d.lang = wl JOIN benchmark b ON b.item_id = d.doc_id
+      WHERE {_TOKENS.format('b.text')} = toks AND len(toks) > 0),
+v AS (SELECT s.qid, s.doc_id, s.score FROM s JOIN o USING (qid) JOIN documents USING (doc_id) WHERE wl IS NULL OR lang = wl),
+m AS (SELECT qid, doc_id, v.score, x.doc_id IS NOT NULL AS exact FROM v FULL JOIN x USING (qid, doc_id)),
+z AS (SELECT qid, doc_id, exact, CASE WHEN exact THEN greatest(coalesce(score, 0), 1.0) ELSE score END AS score FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, CASE WHEN exact THEN 0 ELSE score END DESC, doc_id) AS rank FROM z WHERE exact OR score > 0)
+SELECT qid, doc_id, score, rank, exact FROM k WHERE rank <= 5"""
+)
+def bm25_search(spark, d):
+    """Benchmark items over the stored index: wanted languages (one that the corpus lacks for some), exact source questions first."""
+    want = F.when(F.col("qid") % 3 == 0, F.array(F.lit("fr"))).when(F.col("qid") % 3 == 1, F.array(F.lit("xx")))
+    return _index(spark, d).search(_items(spark, d).withColumn("languages", want), 5)
+
+
+#: Questions, what their asker forced and what was heard, and the languages they resolve to and are searched in.
+ROUTES = (
+    ("Where is Goa located?", None, None, "en", "en", False), ("गोवा कहाँ है?", None, None, "hi", "hi,mr,ne,sa", False), ("गोवा कुठे आहे?", None, None, "mr", "hi,mr,ne,sa", False),
+    ("गोवा कुत्र अस्ति?", None, None, "sa", "hi,mr,ne,sa", False), ("গোয়া কোথায়?", None, None, "bn", "as,bn", False), ("গোৱা ক'ত আছে?", None, None, "as", "as,bn", False),
+    ("ગોવા ક્યાં છે?", None, None, "gu", "gu", False), ("ಗೋವಾ ಎಲ್ಲಿದೆ?", None, None, "kn", "kn", False), ("ഗോവ എവിടെയാണ്?", None, None, "ml", "ml", False),
+    ("ଗୋଆ କେଉଁଠି ଅଛି?", None, None, "or", "or", False), ("ਗੋਆ ਕਿੱਥੇ ਹੈ?", None, None, "pa", "pa", False), ("கோவா எங்கே உள்ளது?", None, None, "ta", "ta", False),
+    ("గోవా ఎక్కడ ఉంది?", None, None, "te", "te", False), ("گوا کہاں ہے؟", None, None, "ur", "ur", False), ("गोवा कहाँ है?", "mr", None, "mr", "mr", False),
+    ("गोवा कहाँ है?", "gu", None, "gu,hi", "gu,hi,mr,ne,sa", False), ("ગોવા ક્યાં છે?", "gu", None, "gu", "gu", False), ("गोवा", None, "mar", "mr", "mr", False),
+    ("गोवा", None, "ne", "ne", "ne", False), ("गोवा", None, None, "hi,mr,ne,sa", "hi,mr,ne,sa", False), ("Where is Goa located?", None, "ta", "en,ta", "en,ta", False),
+    ("एन्जाइना कहाँ फैलिन्छ ?", None, "nep", "hi,ne", "ne", False), ("गोवा क्यां छे?", None, "hi", "gu,hi,mr,ne,sa", "gu,hi,mr,ne,sa", False),
+    ("गोवा कहाँ है?", None, "hi", "hi", "hi", False), ("क्यान्सर भएका वा भएका प्रसिद्ध व्यक्तिहरू", None, None, "hi,mr,ne,sa", "hi,mr,ne,sa", False),
+    ("Goa kya chhe", None, None, "en", "en", True), ("goa kahan hai", None, None, "en", "en", True), ("goa kuthe ahe", None, None, "en,mr", "en,mr", True),
+    ("goa engey ulladhu enna", None, None, "en", "en", True), ("What is the weather in Goa today?", None, None, "en", "en", False), ("ݐݑݒ", None, None, "ur", "ur", False),
+    ("", None, None, "", "", False), ("123 ?", None, "hin", "hi", "hi", False),
+)
+_quoted = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+@query(
+    "SELECT qid, languages, search_languages, romanized FROM (VALUES "
+    + ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)}, {_quoted(r)})" for i, (_, _, _, a, b, r) in enumerate(ROUTES)) + ") t(qid, languages, search_languages, romanized)"
+)
+def language_routing(spark, d):
+    from marlstone.operators.routing import route
+
+    rows = [(i, text, forced, hint) for i, (text, forced, hint, *_) in enumerate(ROUTES)]
+    out = route(spark.createDataFrame(rows, "qid int, text string, forced string, hint string"))
+    return out.select("qid", F.array_join("languages", ",").alias("languages"), F.array_join("search_languages", ",").alias("search_languages"), "romanized")
+
+
+@query(
+    f"""WITH x AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+y AS (SELECT a.conv_id, a.turn, a.text AS answer, x.text AS context FROM conversations a JOIN x ON x.conv_id = a.conv_id AND a.turn = x.turn + 1 WHERE a.role = 'assistant'),
+w AS (SELECT conv_id, turn, answer, {_sql_words('answer', A.GROUNDING_STOP)} AS a, {_sql_words('context', A.GROUNDING_STOP)} AS c FROM y),
+v AS (SELECT *, CASE WHEN trim(coalesce(answer, ''), chr(9) || chr(10) || chr(13) || ' ') IN ('', '{A.REFUSAL.replace("'", "''")}') THEN 1.0::DOUBLE
+   WHEN len(a) > 0 AND len(c) > 0 THEN len(list_intersect(a, c)) / len(a) ELSE 0 END AS o FROM w)
+SELECT conv_id || ':' || turn AS qid, o >= 0.22 AS grounded, round(o, 6) AS overlap, CASE WHEN o >= 0.22 THEN answer ELSE '{A.REFUSAL.replace("'", "''")}' END AS answer FROM v"""
+)
+def grounding_verify(spark, d):
+    c = table(spark, d, "conversations")
+    x = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
+    y = c.where("role = 'assistant'").join(x, ["conv_id", "turn"])
+    y = y.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), "text", "asked")
+    hits = y.select("qid", F.lit(1).alias("rank"), F.col("asked").alias("text"), F.lit(None).cast("string").alias("parent_text"))
+    return A.verify(y.select("qid", F.col("text").alias("answer")), hits)
+
+
+@query()
+def question_answers(spark, d):
+    """The whole path for the benchmark items and the questions that expect no answer."""
+    from marlstone.operators.questions import answer
+
+    items = _items(spark, d).select(F.col("qid").cast("string").alias("qid"), "text")
+    bad = spark.createDataFrame([(f"a{i}", q) for i, q in enumerate(A.ADVERSARIAL)], "qid string, text string")
+    asked = items.unionByName(bad).withColumns({"forced": F.lit(None).cast("string"), "hint": F.lit(None).cast("string")})
+    return answer(_index(spark, d), table(spark, d, "documents").select("doc_id", "text"), asked).drop("sources")
+
+
 def flagship(spark, sf_dir: str):
     return QUERIES["rag_answer_batch"](spark, sf_dir)

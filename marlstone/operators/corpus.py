@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.functions import translit as X
+from marlstone.operators.rerank import expand, roman_vocabulary
+from marlstone.shared import bounded, written
 
 
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -31,43 +38,108 @@ def child_chunks(docs: DataFrame, parent_id: Column, text: str = "text") -> Data
 
 
 class Index:
-    """Inverted index of ``docs`` (doc_id, text, and what filters need): postings, document lengths, term statistics.
+    """A stored inverted index: tables under one folder, built once and read by every search.
 
-    ``save`` writes the tables once, postings bucketed by hash of the term, so that searches read them instead of
-    cutting up the texts again.
+    postings (bucket, term, doc_id, tf, dl), in folders by hash of the term, each sorted by term; terms (bucket, term,
+    df, idf); corpus, one row (n_docs, avgdl); docs (doc_id, ord, language, source_key); languages (language, script);
+    roman, the Latin spellings of words of other scripts. A search reads the buckets of its terms and no text.
     """
 
-    def __init__(self, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
-        self.k1, self.b, self.epsilon, self.docs = k1, b, epsilon, docs
-        self.tokens = docs.select("doc_id", T.tokens(F.col("text")).alias("toks"))
-        self.lengths = self.tokens.select("doc_id", F.size("toks").alias("dl"))
-        terms = self.tokens.select("doc_id", F.explode("toks").alias("term"))
-        self.postings = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-    def save(self, folder: str, buckets: int = 64) -> Index:
-        spark = self.docs.sparkSession
-        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
-        self.postings.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-        self.lengths, self.postings = spark.read.parquet(f"{folder}/lengths"), spark.read.parquet(f"{folder}/postings")
-        return self
-
-    def term_stats(self) -> DataFrame:
-        """(term, df, idf): negative values are replaced by epsilon times the mean over all terms before replacement."""
-        n = self.lengths.agg(F.count("*").alias("n_docs"))
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # n has one row
-        raw = df.select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-        mean = raw.agg(F.avg("raw").alias("mean"))
-        floor = F.lit(self.epsilon) * F.col("mean")
-        return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(qid, doc_id, score) of ``queries`` (qid, text): a query's repeated term counts each time."""
-        q = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-        avgdl = self.lengths.agg(F.avg("dl").alias("avgdl"))
-        hit = self.postings.join(q, "term").join(self.term_stats(), "term").join(self.lengths, "doc_id").crossJoin(F.broadcast(avgdl))
-        part = F.col("qtf") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
+    TABLES = ("postings", "terms", "corpus", "docs", "languages", "roman")
+
+    def __init__(self, spark: SparkSession, folder: str, k1: float = 1.5, b: float = 0.75):
+        self.spark, self.folder, self.k1, self.b = spark, folder, k1, b
+        for name in self.TABLES[1:]:
+            setattr(self, name, spark.read.parquet(f"{folder}/{name}"))
+        kind = self.docs.schema["doc_id"].dataType.simpleString()  # folders of no rows have no schema
+        self.postings = spark.read.schema(f"term string, doc_id {kind}, tf int, dl int, bucket int").parquet(f"{folder}/postings")
+        self.buckets = self.corpus.first()["buckets"]  # one row
+
+    @classmethod
+    def build(cls, docs: DataFrame, folder: str, buckets: int = 64, epsilon: float = 0.25, **how) -> Index:
+        """The index of ``docs``: doc_id, text; and, where there, search_text (indexed in place of text), language and
+        source_query, the question a passage came with.
+
+        Negative idf values are replaced by ``epsilon`` times the mean over all terms before replacement. Documents are
+        in order of doc_id. Texts are cut into tokens once.
+        """
+        spark, have = docs.sparkSession, docs.columns
+        text = F.coalesce(F.nullif(F.col("search_text"), F.lit("")), F.col("text")) if "search_text" in have else F.col("text")
+        part = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        toks = docs.select("doc_id", T.tokens(text).alias("toks")).select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+        tf = toks.where("term IS NOT NULL").groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+
+        def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+            w = df.write.mode("overwrite")
+            (w.partitionBy(by) if by else w).parquet(f"{folder}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        rows = tf.select("term", "doc_id", "tf", "dl", part).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")  # a hot term's bucket is split
+        postings = save(rows, "postings", "bucket")
+        n_docs = docs.count()
+        df = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+        raw = df.withColumn("raw", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+        raw = save(raw, "raw")
+        total = raw.agg(F.avg("raw").alias("mean"), F.sum("n").alias("n")).first()  # two numbers
+        idf = F.when(F.col("raw") < 0, F.lit(epsilon * (total["mean"] or 0.0))).otherwise(F.col("raw"))
+        terms = save(raw.select("bucket", "term", "df", idf.alias("idf")), "terms")
+        save(spark.createDataFrame([(n_docs, (total["n"] or 0) / n_docs if n_docs else 0.0, buckets)], "n_docs long, avgdl double, buckets int"), "corpus")
+        language = F.lower(F.trim(F.coalesce("language", F.lit("")))) if "language" in have else F.lit("")
+        asked = T.tokens(F.col("source_query")) if "source_query" in have else F.array().cast("array<string>")
+        save(docs.select("doc_id", language.alias("language"), F.when(F.size(asked) > 0, tokens_key(asked)).alias("source_key")), "docs")
+        script = F.get(X.scripts(F.regexp_extract(text, _FIRST_INDIC, 1)), F.lit(0))
+        found = docs.select("doc_id", language.alias("language"), script.alias("script")).where("language <> ''").groupBy("language")
+        save(found.agg(F.min_by("script", F.when(F.col("script").isNotNull(), F.col("doc_id"))).alias("script")), "languages")
+        save(roman_vocabulary(terms.select("term")), "roman")
+        return cls(spark, folder, **how)
+
+    def _terms(self, queries: DataFrame, expanded: bool) -> DataFrame:
+        """(qid, bucket, term, qtf): a query's repeated term counts each time, words of other scripts once."""
+        own = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term"))
+        if expanded:
+            wanted = queries.select("qid", "text", F.explode_outer("languages").alias("language")).join(F.broadcast(self.languages), "language", "left")
+            wanted = wanted.groupBy("qid", "text").agg(F.collect_set("script").alias("wanted_scripts"))
+            own = own.unionByName(expand(wanted, self.roman).select("qid", "term"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
+        return own.groupBy("qid", "term").agg(F.count("*").alias("qtf")).select("qid", bucket, "term", "qtf")
+
+    def scores(self, queries: DataFrame, expanded: bool = False) -> DataFrame:
+        """(qid, doc_id, score) of ``queries`` (qid, text; with ``expanded`` also languages, an array)."""
+        q = bounded(written(self._terms(queries, expanded), "query-terms"))
+        q = bounded(self.terms.join(q, ["bucket", "term"]).select("qid", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("w")))
+        avgdl = self.corpus.first()["avgdl"]
+        hit = self.postings.join(q, ["bucket", "term"])
+        part = F.col("w") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / avgdl))
         return hit.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
+    def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
+        """(qid, doc_id, score, rank, exact): the ``k`` best of each query (qid, text, languages).
+
+        Statistics are of the whole corpus. Only documents in a wanted language count (null or empty: any), or all where
+        the corpus has none of the wanted. Documents whose source question has the query's very tokens come first, in
+        order, with 1 at least; the others need a score above zero. Queries without tokens have no hits.
+        """
+        q = queries.select("qid", "text", F.transform(F.coalesce("languages", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))).alias("languages"))
+        q = q.withColumn("languages", F.array_distinct(F.filter("languages", lambda x: x != "")))
+        spoken = F.broadcast(self.languages.agg(F.collect_set("language").alias("spoken")))  # one row
+        q = q.crossJoin(spoken).select("qid", "text", F.when(F.arrays_overlap("languages", "spoken"), F.col("languages")).alias("only"), "languages")
+        key = q.select("qid", "only", tokens_key(T.tokens(F.col("text"))).alias("source_key")).where(F.size(T.tokens(F.col("text"))) > 0)
+        allowed = F.col("only").isNull() | F.array_contains("only", F.col("language"))
+        exact = self.docs.where("source_key IS NOT NULL").join(bounded(key), "source_key").where(allowed).select("qid", "doc_id", F.lit(True).alias("exact"))
+        s = self.scores(q, expanded=True).join(bounded(q.select("qid", "only")), "qid").join(self.docs.select("doc_id", "language"), "doc_id").where(allowed)
+        both = s.select("qid", "doc_id", "score").join(exact, ["qid", "doc_id"], "full").withColumn("exact", F.coalesce("exact", F.lit(False)))
+        score = F.round(F.when(F.col("exact"), F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(1.0))).otherwise(F.col("score")), 6)
+        w = Window.partitionBy("qid").orderBy(F.col("exact").desc(), F.when(F.col("exact"), 0.0).otherwise(F.col("score")).desc(), "doc_id")
+        ranked = both.withColumn("score", score).where("exact OR score > 0").withColumn("rank", F.row_number().over(w).cast("long"))
+        return ranked.where(F.col("rank") <= k).select("qid", "doc_id", "score", "rank", "exact")
+
+
+def tokens_key(toks: Column) -> Column:
+    return F.sha2(F.array_join(toks, "\n"), 256)
+
+
+_FIRST_INDIC = r"(?<![\p{L}\p{N}_\x{0900}-\x{0D7F}\x{0600}-\x{06FF}])([\x{0900}-\x{0D7F}\x{0600}-\x{06FF}])"
+
 
 def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(qid, doc_id, score, rank): the k best above zero, ties by doc_id."""
@@ -76,19 +148,49 @@ def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, block: int = 1000) -> DataFrame:
     """(qid, vec_id, score, rank) by cosine of ``vectors`` (vec_id, embedding) to ``queries`` (qid, embedding).
 
-    The stated queries are held against all vectors; the metadata predicate ``keep`` comes first.
+    The stated queries are held against all vectors; the metadata predicate ``keep`` comes first. Queries go in blocks
+    of ``block``, whose size is the bound of what is sent to the tasks: each task multiplies matrices, a batch of vectors
+    by a block of queries, and hands on its own ``k`` best of each query only. Zero vectors have no cosine.
     """
     v = vectors if keep is None else vectors.where(keep)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    v = v.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn"))
-    q = queries.select("qid", F.col("embedding").alias("qe"), norm(F.col("embedding")).alias("qn"))
-    s = v.join(q).select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("qe")) / (F.col("vn") * F.col("qn")), 6).alias("score"))
+    v = v.select(F.col("vec_id").cast("long"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    found, rows = None, queries.select("qid", "embedding").where("embedding IS NOT NULL").toLocalIterator()
+    none = vectors.sparkSession.createDataFrame([], "qid long, vec_id long, score double")
+
+    def matched(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+            for b in batches:
+                if not len(b):
+                    continue
+                x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(x, axis=1)
+                s = np.round(q @ (x[norm > 0] / norm[norm > 0, None]).T, 6)
+                vec = np.broadcast_to(b["vec_id"].to_numpy()[norm > 0], s.shape)
+                s, vec = np.hstack((top[0], s)), np.hstack((top[1], vec))
+                order = np.lexsort((vec, -s), axis=1)[:, :k]
+                top = np.take_along_axis(s, order, 1), np.take_along_axis(vec, order, 1)
+            n = top[0].shape[1]
+            yield pd.DataFrame({"qid": np.repeat(ids, n), "vec_id": top[1].ravel(), "score": top[0].ravel()})
+
+        return v.mapInPandas(best, "qid long, vec_id long, score double")
+
+    ids, held = [], []
+    for r in rows:
+        e = np.array(r["embedding"], np.float64)
+        if np.linalg.norm(e) > 0:
+            ids.append(r["qid"])
+            held.append(e / np.linalg.norm(e))
+        if len(ids) == block:
+            found = matched(np.array(ids), np.stack(held)) if found is None else found.unionByName(matched(np.array(ids), np.stack(held)))
+            ids, held = [], []
+    if ids:
+        found = matched(np.array(ids), np.stack(held)) if found is None else found.unionByName(matched(np.array(ids), np.stack(held)))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return (none if found is None else found).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def fuse(lists: list[DataFrame], k: int = 60, limit: int = 20) -> DataFrame:

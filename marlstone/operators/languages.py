@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.shared import bounded, running_sum, written
+
 #: ISO 639-3 codes and the shorter ones used here; scripts and the languages written in them.
 ISO3 = {
     "asm": "as", "ben": "bn", "eng": "en", "gom": "kok", "guj": "gu", "hin": "hi", "kan": "kn", "kok": "kok", "mal": "ml", "mar": "mr", "nep": "ne",
@@ -14,6 +16,7 @@ SCRIPTS = (
     ("devanagari", 0x0900, 0x097F, ("hi", "mr", "ne", "sa")), ("bengali", 0x0980, 0x09FF, ("as", "bn")), ("gurmukhi", 0x0A00, 0x0A7F, ("pa",)),
     ("gujarati", 0x0A80, 0x0AFF, ("gu",)), ("odia", 0x0B00, 0x0B7F, ("or",)), ("tamil", 0x0B80, 0x0BFF, ("ta",)), ("telugu", 0x0C00, 0x0C7F, ("te",)),
     ("kannada", 0x0C80, 0x0CFF, ("kn",)), ("malayalam", 0x0D00, 0x0D7F, ("ml",)), ("arabic", 0x0600, 0x06FF, ("ur",)),
+    ("arabic supplement", 0x0750, 0x077F, ("ur",)),
 )
 ORDERS, ALPHA, BUDGET, LEAST, LEAST_TEXT, MARGIN = (1, 2, 3), 0.5, 60_000, 400, 20, 0.25
 
@@ -74,11 +77,13 @@ def fit(samples: DataFrame, order: str, budget: int = BUDGET) -> DataFrame:
     """(lang, order, gram, logp) from ``samples`` (lang, text, ``order``); ``gram`` null holds what unseen grams get.
 
     ``budget``: characters of a language that a model is fitted on, taken in order, with the text that reaches it;
-    languages of fewer than 400 have no model. Totals are running sums within a language, over its texts' lengths only.
+    languages of fewer than 400 have no model. ``order`` tells the texts of a language apart. Running sums go over the
+    texts' lengths, range-sorted; only the texts that are wanted are read after that.
     """
-    t = samples.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_n", F.length("text"))
-    w = Window.partitionBy("lang").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).where(F.col("_before") < budget)
+    size = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col(order).alias("_at"), F.length("text").alias("_n"))
+    upto = running_sum(size, ["lang", "_at"], "_n", "_upto", within="lang")
+    first = written(upto.where(F.col("_upto") - F.col("_n") < budget).select("lang", "_at", "_n"), "sample")
+    t = samples.join(bounded(first), (samples["lang"] == first["lang"]) & (samples[order] == first["_at"])).select(samples["lang"], "text", "_n")
     enough = t.groupBy("lang").agg(F.sum("_n").alias("_all")).where(F.col("_all") >= LEAST).select("lang")
     g = grams(t.join(F.broadcast(enough), "lang", "left_semi").withColumn("_p", _profile(F.col("text"))), "lang")
     total = g.groupBy("lang", "order").agg(F.sum("n").alias("t"), F.count("*").alias("v"))
@@ -89,7 +94,8 @@ def fit(samples: DataFrame, order: str, budget: int = BUDGET) -> DataFrame:
 
 def predict(texts: DataFrame, model: DataFrame) -> DataFrame:
     """(qid, lang, margin) of ``texts`` (qid, text): the language of the best mean log-probability, and its lead over the
-    next. Null where the padded text has fewer than 20 characters or fewer than two languages have a model."""
+    next. Null where the padded text has fewer than 20 characters or fewer than two languages have a model; with a
+    column candidates (array) only its languages count."""
     p = texts.select("qid", _profile(F.col("text")).alias("_p")).where(F.length("_p") >= LEAST_TEXT)
     g = grams(p, "qid")
     unseen = model.where("gram IS NULL").select("lang", "order", F.col("logp").alias("floor"))
@@ -99,6 +105,8 @@ def predict(texts: DataFrame, model: DataFrame) -> DataFrame:
     mean = total.join(F.broadcast(unseen), "order").join(found, ["qid", "lang", "order"], "left").select(
         "qid", "lang", ((F.coalesce("s", F.lit(0.0)) + (F.col("t") - F.coalesce("m", F.lit(0))) * F.col("floor")) / F.col("t")).alias("mean")
     )
+    if "candidates" in texts.columns:
+        mean = mean.join(texts.select("qid", F.explode("candidates").alias("lang")), ["qid", "lang"], "left_semi")
     score = mean.groupBy("qid", "lang").agg(F.round(F.avg("mean"), 9).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "lang")
     top = score.withColumns({"_r": F.row_number().over(w), "_next": F.lead("score").over(w)}).where("_r = 1 AND _next IS NOT NULL")

@@ -12,6 +12,7 @@ from pyspark.sql import types as S
 
 from marlstone.functions import text as T
 from marlstone.operators.corpus import keep_first
+from marlstone.shared import running_sum, written
 
 #: Shortest passages kept, and the chunkings in the order in which an index takes them.
 MIN_ENGLISH, MIN_TRANSLATED = 40, 20
@@ -67,14 +68,21 @@ def clean(records: DataFrame) -> DataFrame:
     """Records with cleaned texts and without short passages; those left without a question or a passage go."""
     tidy = lambda c: F.coalesce(T.clean_text(c), F.lit(""))
 
-    def kept(name: str, least: int) -> Column:
-        each = F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), tidy)
-        return F.filter(each, lambda p: F.length(p) >= least)
+    marks = F.coalesce("is_selected", F.array().cast("array<int>"))
 
-    out = records.withColumns(
-        {n: tidy(F.col(n)) for n in ("query", "eng_query", "answer", "eng_answer")}
-        | {"english_passages": kept("english_passages", MIN_ENGLISH), "translated_passages": kept("translated_passages", MIN_TRANSLATED)}
-    )
+    def kept(name: str, least: int) -> Column:
+        """(text, whether selected) of the passages that stay, so that marks stay with their passages."""
+        each = F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda p, i: F.struct(tidy(p).alias("text"), F.get(marks, i).alias("mark")))
+        return F.filter(each, lambda p: F.length(p["text"]) >= least)
+
+    out = records.withColumns({n: tidy(F.col(n)) for n in ("query", "eng_query", "answer", "eng_answer")})
+    out = out.withColumns({"_e": kept("english_passages", MIN_ENGLISH), "_t": kept("translated_passages", MIN_TRANSLATED)})
+    # a list that lost passages brings its own marks; the English list's count where both are there
+    own = F.when(F.size("_e") > 0, F.col("_e.mark")).otherwise(F.col("_t.mark"))
+    out = out.withColumns({
+        "english_passages": F.col("_e.text"), "translated_passages": F.col("_t.text"),
+        "is_selected": F.when(F.size(marks) > 0, F.transform(own, lambda m: F.coalesce(m, F.lit(0)))).otherwise(marks),
+    }).drop("_e", "_t")
     return out.where("(query <> '' OR eng_query <> '') AND (size(english_passages) > 0 OR size(translated_passages) > 0)")
 
 
@@ -144,10 +152,11 @@ def to_chunks(records: DataFrame, order: str = "query_id", strategies=STRATEGIES
     )
 
 
-def compact_chunks(records: DataFrame, order: str = "query_id", limit: int = 20_000) -> DataFrame:
-    """One chunk per distinct text of a record, its kinds joined with ``+``, shortest first.
+def compact_chunks(records: DataFrame, order: str = "query_id", limit: int | None = None) -> DataFrame:
+    """One chunk per distinct text of a record, its kinds joined with ``+``; rn is its place in its record, shortest first.
 
-    ``limit`` is the size asked of the index: each record's first chunk comes before any record's second.
+    ``limit`` is the size asked of an index, if any: each record's first chunk comes before any record's second, then
+    records go in order. Places over all are a running count, so no task holds ``limit`` rows.
     """
     c = to_chunks(records, order, INDEX_STRATEGIES, within=True)
     place = F.struct("p_idx", "s_no", "i")
@@ -157,7 +166,12 @@ def compact_chunks(records: DataFrame, order: str = "query_id", limit: int = 20_
     one = merged.select(*[F.col(f"_c.{n}") for n in c.columns if n != "chunk_type"], F.col("_kinds").alias("chunk_type"), "_at")
     w = Window.partitionBy("ord").orderBy(F.length("text"), "chunk_type", "_at")
     one = one.withColumn("rn", F.row_number().over(w)).drop("_at", "p_idx", "s_no", "i")
-    return one.orderBy(F.col("rn") > 1, "ord", "rn").limit(limit)
+    if limit is None:
+        return one.orderBy(F.col("rn") > 1, "ord", "rn")
+    one = written(one.withColumns({"_later": (F.col("rn") > 1).cast("int"), "_one": F.lit(1)}), "compact")
+    upto = running_sum(one.select("_later", "ord", "rn", "_one"), ["_later", "ord", "rn"], "_one", "_upto")
+    kept = one.join(upto.where(F.col("_upto") <= limit).select("ord", "rn"), ["ord", "rn"], "left_semi")
+    return kept.orderBy("_later", "ord", "rn").drop("_later", "_one")
 
 
 def answer_supported(answer: Column, passage: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from marlstone.operators.records import RECORD, clean, filled, normalize
+from marlstone.shared import bounded, running_sum, written
 
 #: Language codes and the prefixes of their files.
 PREFIXES = {
@@ -18,6 +19,9 @@ _TEXTS = "chunk_id text parent_text chunk_type language passage_lang query_id se
 CHUNK = S.StructType([S.StructField(n, S.StringType()) for n in _TEXTS])
 
 
+QUERY = S.StructType([S.StructField(n, S.StringType()) for n in "qid query language gold kind".split()] + [S.StructField("expect_answer", S.BooleanType())])
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -51,6 +55,43 @@ def read_jsonl(spark: SparkSession, path: str, schema: S.StructType = RECORD) ->
     return spark.read.schema(schema).json(path)
 
 
+def read_lines(spark: SparkSession, path: str, limit: int | None = None, schema: S.StructType = RECORD) -> DataFrame:
+    """As ``read_jsonl``, of the first ``limit`` lines only, blank ones counted, in the file's order; with ``line``, from 0.
+
+    ``path`` is one file. Its lines are numbered where they are read: blocks in order, a running count over them.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema).withColumn("line", F.lit(0).cast("long"))
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    one = running_sum(raw.select("at").withColumn("one", F.lit(1)), ["at"], "one", "upto")
+    lines = raw.join(written(one.select("at", (F.col("upto") - 1).alias("line")), "lines"), "at")
+    lines = lines if limit is None else lines.where(F.col("line") < limit)
+    return lines.where("trim(value) <> ''").select("line", F.from_json("value", schema).alias("r")).select("r.*", "line")
+
+
+def first_rows(df: DataFrame, order: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows by ``order`` (the size asked of a sample), found by a running count and not in one task."""
+    upto = running_sum(df.select(F.col(order).alias("_at")).withColumn("_one", F.lit(1)), ["_at"], "_one", "_upto")
+    keep = written(upto.where(F.col("_upto") <= limit).select("_at"), "first")
+    return df.join(bounded(keep), df[order] == keep["_at"], "left_semi")
+
+
+def read_languages(spark: SparkSession, root: str, languages: list[str], skip: tuple[str, ...] = ("sa",)) -> DataFrame:
+    """Raw rows of ``root``/language/train-*.parquet, each with its language; languages in ``skip`` and missing folders give none."""
+    out = None
+    for x in languages:
+        if x in skip or not exists(spark, f"{root}/{x}"):
+            continue
+        part = spark.read.parquet(f"{root}/{x}").withColumn("language", F.lit(x))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], RECORD)
+
+
+def read_queries(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """A query set (qid, query, language, gold, kind, expect_answer) of a JSON-lines file, its first ``limit`` lines."""
+    return read_lines(spark, path, limit, QUERY)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     return clean(read_jsonl(spark, path))
 
@@ -71,6 +112,17 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return _usable(rows, F.col("point_id").cast("string")).drop("point_id")
 
 
+def write_preview(records: DataFrame, path: str, order: str = "query_id", n: int = 200) -> None:
+    """The first ``n`` clean records, for a look at them."""
+    write_jsonl(first_rows(records, order, n), path)
+
+
+def write_report(spark: SparkSession, folder: str, day: str, summary: DataFrame, rows: DataFrame) -> None:
+    """A benchmark's summary and its rows as JSON under ``folder``/report-day."""
+    write_jsonl(summary, f"{folder}/report-{day}/summary")
+    write_jsonl(rows, f"{folder}/report-{day}/rows")
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -87,7 +139,7 @@ class Collection:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.vector, self.size = spark, path, None, None
 
     def versions(self) -> list[int]:
         fs, p = _fs(self.spark, self.path)
@@ -100,13 +152,28 @@ class Collection:
             raise FileNotFoundError(self.path)
         return self.spark.read.parquet(f"{self.path}/v{at[-1]}")
 
+    def ensure(self, schema: S.StructType, vector: str | None = None, size: int | None = None, recreate: bool = False) -> Collection:
+        """Makes an empty collection of ``schema`` (chunk_id, ...) if there is none, or anew with ``recreate``.
+
+        With ``vector``, the name of a column of numbers, and ``size`` each later upsert is checked to have that many.
+        """
+        if recreate:
+            self.drop()
+        if not self.versions():
+            self.upsert(self.spark.createDataFrame([], schema))
+        self.vector, self.size = vector, size
+        return self
+
     def drop(self) -> None:
         fs, p = _fs(self.spark, self.path)
         fs.delete(p, True)
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> Collection:
         """Rows (chunk_id, ...) put in by point id; of rows with one id the last in ``order`` counts."""
-        rows = rows.withColumn("point_id", point_id(F.col("chunk_id")))
+        rows = rows.withColumn("point_id", F.coalesce(point_id(F.col("chunk_id")), F.lit(-1)))  # rows without an id are one point
+        if self.vector:
+            n = F.size(F.col(self.vector))
+            rows = rows.withColumn(self.vector, F.when(n == self.size, F.col(self.vector)).otherwise(F.raise_error(F.concat(F.lit("a vector has the size "), n.cast("string")))))
         cols = rows.columns
         last = F.max_by(F.struct(*cols), F.col(order) if order else F.xxhash64(F.to_json(F.struct(*cols))))
         new = rows.groupBy("point_id").agg(last.alias("_r")).select(*[F.col("_r")[c].alias(c) for c in cols])
