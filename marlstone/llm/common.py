@@ -1,42 +1,13 @@
-"""Shared plumbing: the folder all machines share, tables that cut lineage, connected components."""
+"""Plumbing of the training-data operators: file systems of workers, names that can't clash, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.shared import bounded, checkpointed, fresh_path, running_sum, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marlstone-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again; its lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, which keeps the partitions and their order (Parquet files may be regrouped when read)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["bind", "bounded", "checkpointed", "components", "first_rows", "free_names", "fresh_path", "lower_ascii", "open_fs", "running_sum", "shared_dir", "spread", "written"]
 
 
 def open_fs(uri: str):
@@ -59,13 +30,23 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Sides of at most this many rows of about 100 bytes are broadcast, after they were counted; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` names, longer by underscores where ``df`` has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, to be broadcast if it was counted to have ``rows`` rows at most."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each combination of ``keys``: that of the smallest hash of all its columns, the same in each run."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    row, *names = free_names(df, "_row", *[f"_k{i}" for i in range(len(keys))])
+    best = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.min_by(whole, F.md5(F.to_json(whole).cast("binary"))).alias(row))
+    return best.select(*[F.col(row)[c].alias(c) for c in df.columns])
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -77,8 +58,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges`` (a long, b long); label is the smallest node it reaches.
 
-    Contraction: each node points at its smallest neighbour, pointers are followed three times, edges are redrawn
-    between the nodes pointed at. A chain shrinks eightfold a round, a star at once. A hub is only a key of partial
+    Contraction: each node points at its smallest neighbour, pointers are followed twice more, edges are redrawn
+    between the nodes pointed at. A chain shrinks threefold a round, a star at once. A hub is only a key of partial
     aggregates and of joins whose large partitions adaptive execution splits. Every round is a written table.
     """
     spark = edges.sparkSession
@@ -92,10 +73,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if edges.isEmpty():
             return labels
-        up = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-        for _ in range(3):
-            on = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            up = written(up.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "pointers")
+        up = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")), "pointers")
+        on = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        to = up
+        for _ in range(2):
+            to = to.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+        up = written(to, "pointers")
         mine = up.select(F.col("node").alias("label"), "to")
         labels = written(
             labels.join(mine, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"
