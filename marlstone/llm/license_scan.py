@@ -2,25 +2,26 @@
 
 A block is a window of words, twice the longest template long and started every such length, so whatever a template's
 length of words holds lies whole in one. The join is the prefix-filter join for containment. Template tokens are ranked
-by their count in all texts, rarest first. A block that holds the share t of a template's n tokens lacks n - ceil(t n)
-at most, so it holds one of the first n - ceil(t n) + 1: only these are looked up. The length filter asks for blocks of
-ceil(t n) distinct tokens or more. The positional filter adds to what may still match: after the first common token, at
-place i of the template and j of the block (in the same order), no more than min(n - i, m - j) tokens can follow. Pairs
-that stay are verified on whole token sets. Texts without any prefix token are left out before they are cut up, which
-loses nothing. All of it is DataFrame functions, and no pair of blocks is ever formed.
+by the number of texts that hold them, rarest first. A block that holds the share t of a template's n tokens lacks
+n - ceil(t n) at most, so it holds one of the first n - ceil(t n) + 1: only these are looked up. The length filter asks
+for blocks of ceil(t n) distinct template tokens or more. The positional filter adds to what may still match: after the
+first common token, at place i of the template and j of the block (in the same order), no more than min(n - i, m - j)
+tokens can follow. Pairs that stay are verified on whole token sets.
+
+Every text is cut into words once, for its number of words and the vocabulary words it holds (those of templates and
+phrases). Places are looked for only in texts that hold all words of a phrase, or a prefix token and the needed number
+of tokens of a template: any other text has neither. All of it is DataFrame functions, and no pair of blocks is formed.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import bind, bounded, lower_ascii, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
 #: Base phrases and the label each stands for.
 PHRASES = (
@@ -52,53 +53,59 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, token string")
 
 
-def ranked_templates(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(template, label, token, seen, place, n, need): tokens in global order, the rarest in all texts first."""
-    own = written(templates, "templates")
-    count = (
-        docs.select(F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0))).alias("token"))
-        .join(bounded(own.select("token").distinct()), "token")
-        .groupBy("token").agg(F.count("*").alias("seen"))
-    )
-    t = own.join(bounded(written(count, "frequencies")), "token", "left")
+def words(text: Column) -> Column:
+    """The words of a text, A-Z lower-cased, in order."""
+    return F.array_remove(F.split(lower_ascii(text), GAP), "")
+
+
+def read_once(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, text_key, n_words, have) of each row of ``docs``; ``have``: the distinct words of ``vocabulary`` it holds."""
+    cut = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), words(F.col("text")).alias("ws"))
+    return cut.select("doc_id", "text_key", F.size("ws").cast("long").alias("n_words"), F.array_intersect("ws", F.array(*map(F.lit, vocabulary))).alias("have"))
+
+
+def ranked_templates(rows: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(template, label, token, seen, place, n, need): tokens in global order, those that the fewest ``rows`` (have) hold first."""
+    count = rows.select(F.explode_outer("have").alias("token")).groupBy("token").agg(F.count("*").alias("seen"))
+    t = templates.join(bounded(written(count, "frequencies")), "token", "left")
     order = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("token").alias("token"))
     sets = t.groupBy("template", "label").agg(F.array_sort(F.collect_list(order)).alias("tokens"))
     return sets.select(
-        "template", "label", F.posexplode("tokens").alias("place", "t"), F.size("tokens").alias("n"), F.ceil(threshold * F.size("tokens") - 1e-9).alias("need")
+        "template", "label", F.posexplode("tokens").alias("place", "t"), F.size("tokens").alias("n"), F.ceil(threshold * F.size("tokens") - 1e-9).cast("int").alias("need")
     ).select("template", "label", F.col("t.token").alias("token"), F.col("t.seen").alias("seen"), "place", "n", "need")
 
 
-def _any_of(words: list[str]) -> str:
-    return f"(?:^|{GAP})(?:{'|'.join(map(re.escape, words))})(?:$|{GAP})"
+def candidate_texts(rows: DataFrame, ranked: list, phrases) -> DataFrame:
+    """The distinct text_key of ``rows`` that may hold a phrase or a template; ``ranked`` are the rows of ranked templates."""
+    have, may = F.col("have"), F.lit(False)
+    for phrase, _ in phrases:
+        own = list(dict.fromkeys(phrase.split()))
+        may = may | (F.size(F.array_intersect("have", F.array(*map(F.lit, own)))) == len(own))
+    for k in sorted({r["template"] for r in ranked}):
+        own = [r for r in ranked if r["template"] == k]
+        n, need = own[0]["n"], own[0]["need"]
+        prefix = [r["token"] for r in own if r["place"] < n - need + 1]
+        may = may | (F.arrays_overlap(have, F.array(*map(F.lit, prefix))) & (F.size(F.array_intersect(have, F.array(*[F.lit(r["token"]) for r in own]))) >= need))
+    return rows.where(may).select("text_key").distinct()
 
 
-def block_matches(docs: DataFrame, ranked: DataFrame, block_words: int) -> DataFrame:
+def block_matches(places: DataFrame, ranked: DataFrame, block_words: int) -> DataFrame:
     """(text_key, block, template, label, score) of every block that holds the needed share of a template.
 
-    ``docs`` has (text_key, text); texts of equal key are equal. A template's places are the shortest runs of words that
+    ``places`` has (text_key, pos, token) of vocabulary words. A template's places are the shortest runs of words that
     hold all it has in the block. It is left out only where each of them lies inside a place of a template the block
     holds a larger share of, or as large a share and more tokens; so it doesn't stand beside one that contains it.
     """
-    ranked = written(ranked, "ranked")
     prefix = ranked.where(F.col("place") < F.col("n") - F.col("need") + 1)
-    first = sorted(r["token"] for r in prefix.select("token").distinct().collect())  # words of the templates, a parameter
-    if not first:
-        return docs.select("text_key", F.lit(0).cast("long").alias("block"), F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("score")).limit(0)
-    some = docs.select("text_key", lower_ascii(F.col("text")).alias("t")).where(F.col("t").rlike(_any_of(first))).dropDuplicates(["text_key"])
-    at = some.select("text_key", F.posexplode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("pos", "token"))
-    step = block_words // 2
-    nth = F.floor(F.col("pos") / step)
-    at = at.select("text_key", "pos", "token", F.explode(F.array(nth, nth - 1)).alias("block")).where("block >= 0")
-    vocabulary = bounded(ranked.select("token", "seen").distinct())
-    blocks = at.join(vocabulary, "token", "left").groupBy("text_key", "block").agg(
-        F.array_sort(F.collect_set(F.when(F.col("seen").isNotNull(), F.struct("seen", "token")))).alias("tokens"),
-        F.size(F.collect_set("token")).alias("m"),
-        F.array_sort(F.collect_list(F.when(F.col("seen").isNotNull(), F.struct("pos", "token")))).alias("words"),
+    nth = F.floor(F.col("pos") / (block_words // 2))
+    at = places.join(bounded(ranked.select("token", "seen").distinct()), "token")
+    at = at.select("text_key", "pos", F.struct("seen", "token").alias("t"), F.explode(F.array(nth, nth - 1)).alias("block")).where("block >= 0")
+    blocks = at.groupBy("text_key", "block").agg(
+        F.array_sort(F.collect_set("t")).alias("tokens"), F.array_sort(F.collect_list(F.struct("pos", F.col("t.token").alias("token")))).alias("words")
     )
-    blocks = blocks.where(F.size("tokens") > 0)
     lookup = bounded(prefix.select("token", "template", "place", "n", "need"))
-    probe = blocks.select("text_key", "block", "tokens", "words", "m", F.posexplode("tokens").alias("j", "x")).select("text_key", "block", "tokens", "words", "m", "j", F.col("x.token").alias("token"))
-    fits = (F.col("m") >= F.col("need")) & (1 + F.least(F.col("n") - F.col("place") - 1, F.size("tokens") - F.col("j") - 1) >= F.col("need"))
+    probe = blocks.select("text_key", "block", "tokens", "words", F.size("tokens").alias("m"), F.posexplode_outer("tokens").alias("j", "x")).withColumn("token", F.col("x.token"))
+    fits = (F.col("m") >= F.col("need")) & (1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("j") - 1) >= F.col("need"))
     met = probe.join(lookup, "token")
     # the first common token decides: later ones repeat the pair with a weaker bound
     met = met.groupBy("text_key", "block", "template").agg(F.max(fits).alias("fits"), F.first("tokens").alias("tokens"), F.first("words").alias("words")).where("fits")
@@ -125,51 +132,46 @@ def _places() -> Column:
     return bind(whole, lambda r: F.filter(r, lambda w: ~F.exists(r, lambda v: (v["hi"] == w["hi"]) & (v["lo"] > w["lo"]))))
 
 
-def _starts(words: Column, phrases) -> Column:
-    """Ascending places, from 0, where a phrase's words stand consecutively."""
-
-    def here(ws: Column, i: Column) -> Column:
-        any_of = F.lit(False)
-        for phrase, _ in phrases:
-            own = F.lit(True)
-            for k, w in enumerate(phrase.split()):
-                own = own & (F.get(ws, i + k).eqNullSafe(F.lit(w)))
-            any_of = any_of | own
-        return any_of
-
-    return bind(words, lambda ws: F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0))), lambda i: here(ws, i)))
+def phrase_starts(places: DataFrame, phrases) -> DataFrame:
+    """(text_key, at, base): ascending starts, from 0, where a phrase's words stand consecutively, and the labels."""
+    spark = places.sparkSession
+    table = [(w, k, nth, len(p.split()), label) for k, (p, label) in enumerate(phrases) for nth, w in enumerate(p.split())]
+    own = F.broadcast(spark.createDataFrame(table, "token string, phrase int, nth int, size int, base string"))  # the phrases: a parameter
+    runs = places.join(own, "token").groupBy("text_key", (F.col("pos") - F.col("nth")).alias("at"), "phrase", "size", "base").count().where("count = size")
+    return runs.groupBy("text_key").agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set("base")).alias("base"))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
+    score, template_score.
 
     A-Z are lower-cased; null texts are empty. Without a phrase first_word and last_word are null and base_labels is
-    empty. ``score`` is the largest share of a template that a block of the text holds, at least 1 with a base phrase,
-    else 0 below the threshold. Repeated rows each come back; other columns are not used.
+    empty. ``template_score`` is the largest share of a template that a block of the text holds, 0 below the threshold;
+    ``score`` is the same, but 1 with a base phrase. Repeated rows each come back; other columns are not used. An empty
+    table gives an empty result; a text of any length is one row's words, no block of it meets another.
     """
     spark = docs.sparkSession
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    table = template_table(spark, templates)
+    vocabulary = sorted({w for text, _ in [*phrases, *templates] for w in text.lower().split()})
+    rows = written(read_once(docs, vocabulary), "read")
     longest = max((len(text.split()) for text, _ in templates), default=1)
-    matches = block_matches(d.select("text_key", "text"), ranked_templates(d, table, threshold), 2 * longest)
-    matches = matches.groupBy("text_key").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
-    matches = written(matches, "matches")
-
-    t = lower_ascii(F.col("text"))
-    of = {p: f"(?:^|{GAP}){f'{GAP}+'.join(map(re.escape, p.split()))}(?:$|{GAP})" for p, _ in phrases}
-    base = F.array_compact(F.array(*[F.when(F.col("t").rlike(of[p]), F.lit(label)) for p, label in phrases]))
-    places = F.when(F.size("base") > 0, _starts(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), phrases)).otherwise(F.array().cast("array<int>"))
-    rows = d.select("doc_id", "text_key", t.alias("t")).select(
-        "doc_id", "text_key", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), F.array_sort(F.array_distinct(base)).alias("base"), "t"
-    ).select("doc_id", "text_key", "n_words", "base", places.alias("at"))
-    rows = rows.join(bounded(matches), "text_key", "left")
+    ranked = written(ranked_templates(rows, template_table(spark, templates), threshold), "ranked")
+    wanted = bounded(written(candidate_texts(rows, ranked.collect(), phrases), "candidates"))  # ranked: the templates, a parameter
+    texts = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text").join(wanted, "text_key", "left_semi")
+    known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "token string"))
+    places = texts.select("text_key", F.posexplode_outer(words(F.col("text"))).alias("pos", "token")).join(known, "token").distinct()
+    places = written(places, "places")
+    found = block_matches(places, ranked, 2 * longest).groupBy("text_key").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
+    found = written(phrase_starts(places, phrases).join(found, "text_key", "full"), "found")
+
     none = F.array().cast("array<string>")
-    return rows.select(
-        "doc_id", "n_words", F.size("at").cast("long").alias("n_base"),
-        F.get("at", F.lit(0)).cast("long").alias("first_word"), F.get("at", F.size("at") - 1).cast("long").alias("last_word"),
+    out = rows.join(bounded(found), "text_key", "left").withColumn("base", F.coalesce("base", none))
+    best = F.coalesce("best", F.lit(0.0))
+    return out.select(
+        "doc_id", "n_words", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("found", none))), ",").alias("labels"),
-        F.greatest(F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.when(F.size("base") > 0, 1.0).otherwise(best).alias("score"), best.alias("template_score"),
     )
 
 
@@ -192,15 +194,23 @@ b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_wo
 tpl(template, label, txt) AS (VALUES {", ".join(f"({i}, {quoted(label)}, {quoted(t)})" for i, (t, label) in enumerate(templates))}),
 tok AS (SELECT DISTINCT template, label, unnest(string_split(txt, ' ')) AS token FROM tpl),
 tn AS (SELECT template, count(*) AS n FROM tok GROUP BY template),
-k AS (SELECT DISTINCT doc_id, template, label, token, unnest([i // {step}, i // {step} - 1]) AS block FROM p JOIN tok ON token = ws[i + 1]),
-c AS (SELECT doc_id, block, label, count(*) / n AS score, struct_pack(score := count(*) / n, same := count(*)) AS x FROM k JOIN tn USING (template) WHERE block >= 0
-      GROUP BY doc_id, block, template, label, n HAVING count(*) >= ceil({THRESHOLD}::DOUBLE * n - 1e-9)),
-m AS (SELECT doc_id, list(DISTINCT label) AS found, max(score) AS best FROM c
-      JOIN (SELECT doc_id, block, max(x) AS x FROM c GROUP BY doc_id, block) USING (doc_id, block, x) GROUP BY doc_id)
+h AS (SELECT doc_id, template, label, token, i, unnest([i // {step}, i // {step} - 1]) AS block FROM p JOIN tok ON token = ws[i + 1]),
+c AS (SELECT doc_id, block, template, label, count(DISTINCT token) AS same, count(DISTINCT token) / n AS score FROM h JOIN tn USING (template) WHERE block >= 0
+      GROUP BY doc_id, block, template, label, n HAVING count(DISTINCT token) >= ceil({THRESHOLD}::DOUBLE * n - 1e-9)),
+g AS (SELECT h.doc_id, h.block, h.template, h.token, h.i FROM h JOIN c USING (doc_id, block, template)),
+nx AS (SELECT x.doc_id, x.block, x.template, x.i AS lo, y.token, min(y.i) AS i FROM g x JOIN g y USING (doc_id, block, template) WHERE y.i >= x.i GROUP BY ALL),
+r AS (SELECT doc_id, block, template, hi, max(lo) AS lo FROM (
+        SELECT nx.doc_id, nx.block, nx.template, lo, max(i) AS hi FROM nx JOIN c USING (doc_id, block, template) GROUP BY ALL HAVING count(*) = any_value(same))
+      GROUP BY ALL),
+pl AS (SELECT r.*, label, score, same FROM r JOIN c USING (doc_id, block, template)),
+k AS (SELECT DISTINCT a.doc_id, a.label, a.score FROM pl a WHERE NOT EXISTS (
+        SELECT 1 FROM pl o WHERE o.doc_id = a.doc_id AND o.block = a.block AND o.lo <= a.lo AND o.hi >= a.hi
+        AND (o.score > a.score OR o.score = a.score AND o.same > a.same))),
+m AS (SELECT doc_id, list(DISTINCT label) AS found, max(score) AS best FROM k GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
        coalesce(array_to_string(base, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels,
-       greatest(CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE 0.0 END, coalesce(best, 0.0::DOUBLE)) AS score
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score, coalesce(best, 0.0::DOUBLE) AS template_score
 FROM w LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
