@@ -14,15 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bind, bounded, written
+from marlstone.llm.common import bind, bounded, free_names, written
 
 WIDTH, THRESHOLD = 5, 0.8
-#: What makes a word: letters and digits of ASCII, and what lies beyond it but for its blanks, dashes and quotes.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F\u00A0-\u00BF\u2000-\u206F\u3000-\u303F]+"
+#: What lies between words: ASCII but its letters and digits, and the blanks, dashes and quotes beyond it.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\u00A0-\u00BF\u2000-\u206F\u3000-\u303F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def shingles(w: Column, width: int, make, kind: str) -> Column:
@@ -32,6 +32,21 @@ def shingles(w: Column, width: int, make, kind: str) -> Column:
     return bind(w, lambda ws: F.when(F.size(ws) >= width, each(ws)).otherwise(F.array().cast(f"array<{kind}>")))
 
 
+def hashed_shingles(docs: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """(``keep``, n, h): a row for each run of a number of words in ``sizes`` of ``docs`` (text); n counts the text's words.
+
+    Words, the words after them and so on stand beside each other in one array of structs, which is dealt out before
+    anything is hashed: the hashing then is compiled code over rows, not a function called for each element.
+    """
+    most = max(sizes)
+    cut = docs.select(*keep, words(F.col("text")).alias("ws"))
+    beside = F.arrays_zip(*[(F.col("ws") if k == 0 else F.slice("ws", k + 1, F.greatest(F.size("ws"), F.lit(1)))).alias(f"w{k}") for k in range(most)])
+    rows = cut.select(*keep, F.size("ws").alias("n"), beside.alias("z")).select(*keep, "n", F.explode_outer("z").alias("z")).select(*keep, "n", *[F.col(f"z.w{k}") for k in range(most)])
+    hashed = [F.when(F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*[f"w{i}" for i in range(k)])) for k in sizes]
+    rows = rows.select(*keep, "n", (hashed[0] if len(sizes) == 1 else F.explode(F.array(*hashed))).alias("h"))
+    return rows.where("h IS NOT NULL")
+
+
 def _joined(parts: list[Column]) -> Column:
     return F.concat_ws(" ", *parts)
 
@@ -74,16 +89,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     if not sizes:
         return it.select(
             F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", F.lit(0).alias("n_shingles"),
-            F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("text_key"),
+            F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment"), F.lit(b"").alias("text_key"),
         ).limit(0)
     kinds = it.groupBy("set_id").agg(F.first("k").alias("k"), F.first("sh").alias("sh"))
     sketch = bounded(written(sketches(kinds, threshold), "sketches"))
 
-    key = F.xxhash64("text").alias("text_key")
+    key = F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key")
     d = docs.select("doc_id", "text", key).where("text IS NOT NULL")
-    hashed = lambda ws: F.concat(*[shingles(ws, k, lambda x: F.xxhash64(*x), "bigint") for k in sizes])
-    rows = d.select("doc_id", "text_key", bind(words(F.col("text")), lambda ws: F.struct(F.size(ws).alias("n"), hashed(ws).alias("hs"))).alias("s"))
-    rows = rows.select("doc_id", "text_key", F.col("s.n").alias("n"), F.explode("s.hs").alias("h"))
+    rows = hashed_shingles(d, sizes, "doc_id", "text_key")
     hits = rows.join(sketch, "h").where("n >= need").select("doc_id", "text_key", "set_id").distinct()
     hits = written(hits, "candidates")
 
@@ -104,9 +117,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``docs``, all its columns and rows, but for the texts that hold an item; null texts stay."""
-    bad = bounded(written(contaminated(docs, items, threshold, width).select("text_key").distinct(), "bad"))
-    rows = docs.withColumn("_text_key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    return rows.join(bad, rows["_text_key"] == bad["text_key"], "left_anti").select(*docs.columns)
+    (mine,) = free_names(docs, "_text_key")
+    bad = bounded(written(contaminated(docs, items, threshold, width).select(F.col("text_key").alias(mine + "_bad")).distinct(), "bad"))
+    rows = docs.withColumn(mine, F.unhex(F.md5(F.col("text").cast("binary"))))
+    return rows.join(bad, F.col(mine) == F.col(mine + "_bad"), "left_anti").select(*docs.columns)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
