@@ -326,11 +326,44 @@ def _hits(spark, d) -> tuple[DataFrame, DataFrame]:
     return _items(spark, d).withColumnRenamed("text", "query"), hits
 
 
-@query()
+def _sql_fold(c: str) -> str:
+    from marlstone.functions.translit import FOLDS
+
+    for spelling, sound in FOLDS:
+        c = f"replace({c}, '{spelling}', '{sound}')"
+    return c
+
+
+def _sql_content(c: str) -> str:
+    """Content words of a text in Latin letters, which are their own Latin form."""
+    from marlstone.operators.rerank import SOUNDS, STOP
+
+    quoted = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws)
+    return f"list_distinct(list_filter({_TOKENS.format(c)}, lambda t: length(t) > 1 AND t NOT IN ({quoted(STOP)}) AND {_sql_fold('t')} NOT IN ({quoted(SOUNDS)})))"
+
+
+@query(
+    _BM25 + f"""k AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0),
+u AS (SELECT k.qid, k.doc_id::VARCHAR AS chunk_id, k.score, k.rank, d.text, i.text AS query, {_HASH.format('d.text')} AS h FROM k JOIN documents d USING (doc_id) JOIN benchmark i ON i.item_id = k.qid WHERE rank <= 20),
+f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY qid, CASE WHEN trim(text) = '' THEN chunk_id ELSE substr(h, 1, 16) END ORDER BY rank, chunk_id) = 1),
+w AS (SELECT *, {_sql_content('query')} AS qw, {_sql_content("(text || ' ' || text)")} AS dw,
+        list_distinct(list_transform(regexp_extract_all(query, '\b[A-Z][A-Za-z]{{2,}}\b'), lambda x: lower(x))) AS names, lower(text || ' ' || text) AS low FROM f),
+x AS (SELECT qid, chunk_id, rank AS was, round(CASE WHEN len(qw) > 0 AND len(dw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0 END
+        + CASE WHEN score > 0 AND score <= 1.5 THEN 0.2::DOUBLE * score ELSE 0 END + 0.15::DOUBLE * (1.0::DOUBLE / (60 + rank))
+        + 1.25::DOUBLE * CASE WHEN len(names) > 0 THEN len(list_filter(names, lambda x: contains(low, x))) / len(names) ELSE 0 END, 6) AS rerank_score FROM w),
+z AS (SELECT qid, chunk_id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, was, chunk_id) AS rank FROM x)
+SELECT * FROM z WHERE rank <= 5"""
+)
 def rerank_topk(spark, d):
+    """Scores to 6 digits; the items are in Latin letters, so nothing is compared by sound."""
+    from pyspark.sql import Window
+
     from marlstone.operators.rerank import rerank
 
-    return rerank(*_hits(spark, d), 5)
+    questions, hits = _hits(spark, d)
+    w = Window.partitionBy("qid").orderBy(F.col("rerank_score").desc(), "was", "chunk_id")
+    out = rerank(questions, hits, 20).withColumn("rerank_score", F.round("rerank_score", 6)).join(hits.select("qid", "chunk_id", F.col("rank").alias("was")), ["qid", "chunk_id"])
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").drop("was")
 
 
 @query()
@@ -340,20 +373,51 @@ def coverage_refusals(spark, d):
     return refusals(*_hits(spark, d))
 
 
-@query()
+_SLIDE = """SELECT doc_id, i - 1 AS chunk_no, CASE WHEN len(s) <= 3 THEN array_to_string(s, ' ') ELSE array_to_string(s[i:i + 2], ' ') END AS chunk
+FROM (SELECT doc_id, s, unnest(range(1, greatest(len(s) - 1, 2))) AS i FROM (SELECT doc_id, {0} AS s FROM c) WHERE len(s) > 0)""".format(_SENTS.format("text"))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, lang, {_CLEAN.format('text')} AS text FROM documents WHERE length({_CLEAN.format('text')}) >= 40),
+p AS ({_PACK.replace('FROM documents', 'FROM c')}), m AS ({_MERGE.replace('FROM documents', 'FROM c')}), s AS ({_SLIDE}),
+u AS (SELECT doc_id, 0 AS s_no, chunk_no, 'semantic' AS kind, chunk FROM p UNION ALL SELECT doc_id, 1, chunk_no, 'parent_child', chunk FROM m
+      UNION ALL SELECT doc_id, 2, chunk_no, 'sentence', chunk FROM m UNION ALL SELECT doc_id, 3, chunk_no, 'sliding', chunk FROM s),
+n AS (SELECT u.*, lang || ':' || doc_id || ':p0:english' || CASE kind WHEN 'parent_child' THEN '::c' || chunk_no || ':parent_child' ELSE ':' || kind || ':' || chunk_no END AS chunk_id FROM u JOIN c USING (doc_id))
+SELECT doc_id AS query_id, arg_min(chunk_id, s_no * 1000000 + chunk_no) AS chunk_id, string_agg(DISTINCT kind, '+' ORDER BY kind) AS chunk_type,
+       arg_min(chunk, s_no * 1000000 + chunk_no) AS text FROM n GROUP BY doc_id, {_HASH.format('chunk')}"""
+)
 def compact_index_chunks(spark, d):
+    """The whole table's chunks, without a limit."""
     from marlstone.operators import records as R
 
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("document").alias("query"), F.struct(F.array("text").alias("English_passages")).alias("passages"), "lang")
     return R.compact_chunks(R.clean(R.normalize(texts, F.col("lang")))).select("query_id", "chunk_id", "chunk_type", "text")
 
 
-@query()
+_PROFILE = r"(' ' || trim(regexp_replace(lower({0}), '\s+', ' ', 'g')) || ' ')"
+_GRAMS = "SELECT {0}, o, substr(p, i, o) AS gram, count(*) AS n FROM (SELECT {0}, p, o, unnest(range(1, length(p) - o + 2)) AS i FROM {1}, (VALUES (1), (2), (3)) v(o) WHERE length(p) >= o) GROUP BY ALL"
+
+
+@query(
+    f"""WITH a AS (SELECT lang, text, sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - length(text) AS before FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+t AS (SELECT lang, {_PROFILE.format('text')} AS p FROM a WHERE before < 60000 AND lang IN (SELECT lang FROM a WHERE before < 60000 GROUP BY 1 HAVING sum(length(text)) >= 400)),
+g AS ({_GRAMS.format('lang', 't')}), z AS (SELECT lang, o, sum(n) AS t, count(*) AS v FROM g GROUP BY 1, 2),
+m AS (SELECT lang, o, gram, ln((n + 0.5) / (t + 0.5 * (v + 1))) AS logp FROM g JOIN z USING (lang, o)),
+f AS (SELECT lang, o, ln(0.5 / (t + 0.5 * (v + 1))) AS floor FROM z),
+q AS (SELECT item_id AS qid, {_PROFILE.format("coalesce(text, '')")} AS p FROM benchmark),
+h AS ({_GRAMS.format('qid', '(SELECT * FROM q WHERE length(p) >= 20)')}), tt AS (SELECT qid, o, sum(n) AS t FROM h GROUP BY 1, 2),
+s AS (SELECT qid, lang, o, sum(n * logp) AS s, sum(n) AS m FROM h JOIN m USING (o, gram) GROUP BY 1, 2, 3),
+e AS (SELECT qid, lang, (coalesce(s, 0) + (t - coalesce(m, 0)) * floor) / t AS mean FROM tt JOIN f USING (o) LEFT JOIN s USING (qid, lang, o)),
+r AS (SELECT qid, lang, round(avg(mean), 9) AS score FROM e GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER w AS rk, lead(score) OVER w AS nx FROM r WINDOW w AS (PARTITION BY qid ORDER BY score DESC, lang))
+SELECT q.qid, k.lang, round(score - nx, 6) AS margin FROM q LEFT JOIN k ON k.qid = q.qid AND rk = 1 AND nx IS NOT NULL"""
+)
 def ngram_language(spark, d):
     """Models learnt from ``documents.lang``, asked of the benchmark items."""
     from marlstone.operators import languages as L
 
-    return L.predict(_items(spark, d), L.fit(table(spark, d, "documents").select("lang", "text", "doc_id"), "doc_id"))
+    out = L.predict(_items(spark, d), L.fit(table(spark, d, "documents").select("lang", "text", "doc_id"), "doc_id"))
+    return out.withColumn("margin", F.round("margin", 6))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 #: Sides of at most this many rows and bytes are broadcast, after both were counted; larger ones are shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +70,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done; it does so when the driver's JVM collects its garbage, which
+    may be late where one job follows another."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About how many bytes a row takes: 8 for each plain value, what strings, binaries and arrays of numbers hold, and the
     JSON of anything else."""
