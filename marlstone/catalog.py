@@ -347,10 +347,10 @@ def _sql_content(c: str) -> str:
 u AS (SELECT k.qid, k.doc_id::VARCHAR AS chunk_id, k.score, k.rank, d.text, i.text AS query, {_HASH.format('d.text')} AS h FROM k JOIN documents d USING (doc_id) JOIN benchmark i ON i.item_id = k.qid WHERE rank <= 20),
 f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY qid, CASE WHEN trim(text) = '' THEN chunk_id ELSE substr(h, 1, 16) END ORDER BY rank, chunk_id) = 1),
 w AS (SELECT *, {_sql_content('query')} AS qw, {_sql_content("(text || ' ' || text)")} AS dw,
-        list_distinct(list_transform(regexp_extract_all(query, '\b[A-Z][A-Za-z]{{2,}}\b'), lambda x: lower(x))) AS names, lower(text || ' ' || text) AS low FROM f),
-x AS (SELECT qid, chunk_id, rank AS was, round(CASE WHEN len(qw) > 0 AND len(dw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0 END
+        list_distinct(list_transform(list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z]{{2,}}')), lambda x: lower(x))) AS names, lower(text || ' ' || text) AS low FROM f),
+x AS (SELECT qid, chunk_id, rank AS was, round(round(CASE WHEN len(qw) > 0 AND len(dw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0 END
         + CASE WHEN score > 0 AND score <= 1.5 THEN 0.2::DOUBLE * score ELSE 0 END + 0.15::DOUBLE * (1.0::DOUBLE / (60 + rank))
-        + 1.25::DOUBLE * CASE WHEN len(names) > 0 THEN len(list_filter(names, lambda x: contains(low, x))) / len(names) ELSE 0 END, 6) AS rerank_score FROM w),
+        + 1.25::DOUBLE * CASE WHEN len(names) > 0 THEN len(list_filter(names, lambda x: contains(low, x))) / len(names) ELSE 0 END, 8), 6) AS rerank_score FROM w),
 z AS (SELECT qid, chunk_id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, was, chunk_id) AS rank FROM x)
 SELECT * FROM z WHERE rank <= 5"""
 )
