@@ -1,14 +1,15 @@
 """WARC: a deterministic sharded writer, and the reader of what it wrote.
 
-Records are range-sorted by page_id; each task rolls gzip files by compressed size, with headers, lengths and SHA-1
-digests made anew from the payload. Equal payloads are found by digest and length: the smallest page_id is the
+Records are range-sorted by page_id into shards of about ``shard_bytes`` of payload, whose bounds follow from a running
+sum over the page_ids and so from the data alone, not from samples or partitions. Within a shard gzip files are rolled
+by compressed size, with headers, lengths and SHA-1 digests made anew from the payload. Equal payloads are found by digest and length: the smallest page_id is the
 response, the others are marked as its revisits. The marks travel with the pages through one range exchange, as rows
 beside them, so the html is shuffled once and never joined.
 
 Commit: a task writes temporary names that hold its attempt, and returns a row for each file; those rows, written by
 Spark as the manifest, are the only files that count. They are renamed to names that depend on the data alone (shard
 and roll), each by a task that may be repeated, and the manifest is read, never the folder. Record identifiers, dates
-and order follow from the data too, so reruns give the same bytes for the same shards.
+and order follow from the data too, so reruns give the same files, byte by byte.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from marlstone.llm.common import fresh_path, open_fs, spread, written
+from marlstone.llm.common import fresh_path, open_fs, running_sum, spread, written
 
-ROLL_BYTES = 32 << 20
+#: Payload of a shard, which one task writes; and the compressed size at which its files roll.
+SHARD_BYTES, ROLL_BYTES = 32 << 20, 32 << 20
 #: Stands in every record; the pages carry no date of their own.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,41 +72,60 @@ def _marked(pages: DataFrame, smallest: int) -> DataFrame:
     return rows.select("page_id", "url", "html", "sha", F.lit(None).cast("long").alias("mark")).unionByName(marks)
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, smallest: int = 0) -> DataFrame:
+def shard_starts(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """The first page_id of each shard but the first, ascending: pages stand by page_id, and one starts a shard where the
+    payload before it, with 1 KB for each record, passes a multiple of ``shard_bytes``. One number a shard is collected.
+    """
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) + 1024
+    each = pages.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum(size).alias("size"))
+    at = running_sum(each, ["page_id"], "size", "upto").withColumn("shard", F.floor((F.col("upto") - F.col("size")) / shard_bytes))
+    return sorted(r["first"] for r in at.groupBy("shard").agg(F.min("page_id").alias("first")).collect())[1:]
+
+
+def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, smallest: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The manifest (file, shard, roll, n_records, n_bytes, sha1) of the archives of ``pages`` (page_id, url, html) in ``folder``.
 
     Null html is an empty payload. Payloads of fewer than ``smallest`` bytes are always responses. Rows that repeat a
-    page_id and payload are the response and revisits of it; null page_ids come first and are never referred to. An
-    empty table gives no files.
+    page_id and payload are the response and revisits of it, all in one shard; null page_ids come first and are never
+    referred to. An empty table gives no files. Other columns are not used.
     """
     spark = pages.sparkSession
-    sort = ["page_id", "sha", F.col("mark").asc_nulls_last(), "url"]
+    sort = ["shard", "page_id", "sha", F.col("mark").asc_nulls_last(), "url"]
+    pages = pages.select(F.col("page_id").cast("long"), "url", "html")
+    starts = shard_starts(pages, shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard_of(page: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(starts, np.int64), page.to_numpy(np.int64), side="right"), dtype="int32")
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         files, out, n, size, sha, roll = [], None, 0, 0, None, 0
-        at, mark, nth = None, None, 0
+        at, mark, nth, shard = None, None, 0, None
 
         def close():
             out.close()
-            files.append((name, f"pages-{task.partitionId():06d}-{roll:05d}.warc.gz", task.partitionId(), roll, n, size, sha.hexdigest()))
+            files.append((name, f"pages-{shard:06d}-{roll:05d}.warc.gz", shard, roll, n, size, sha.hexdigest()))
 
         for b in batches:
-            ids = [None if x is None or x != x else int(x) for x in b["page_id"]]
-            for page, url, html, key, to in zip(ids, b["url"], b["html"], b["sha"], b["mark"], strict=True):
+            for page, url, html, key, to, own in zip(b["page"], b["url"], b["html"], b["sha"], b["refers_to"], b["shard"], strict=True):
+                if own != shard:
+                    if out is not None:
+                        close()
+                    out, roll, shard = None, 0, int(own)
                 if (page, key) != at:
                     at, mark, nth = (page, key), None, 0
-                if to is not None and to == to:
-                    mark = int(to)
+                if to is not None:
+                    mark = to
                     continue
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 again = nth > 0 and len(payload) >= smallest and page is not None
                 data = _record(page, url, payload, mark if mark is not None else page if again else None, nth)
                 nth += 1
                 if out is None:
-                    name = f"_temporary-{task.partitionId():06d}-{roll:05d}-{task.taskAttemptId()}"
+                    name = f"_temporary-{shard:06d}-{roll:05d}-{task.taskAttemptId()}"
                     out, n, size, sha = fs.open_output_stream(f"{base}/{name}", compression=None), 0, 0, hashlib.sha1()
                 out.write(data)
                 sha.update(data)
@@ -116,8 +138,11 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, smallest:
         yield pd.DataFrame(files, columns=["temporary", "file", "shard", "roll", "n_records", "n_bytes", "sha1"])
 
     # a mark sorts before its pages: nulls of ``mark`` come last
-    sorted_rows = _marked(pages, smallest).repartitionByRange("page_id", "sha").sortWithinPartitions(*sort)
-    drafts = written(sorted_rows.mapInPandas(save, "temporary string, file string, shard int, roll int, n_records long, n_bytes long, sha1 string"), "drafts")
+    rows = _marked(pages, smallest).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(2**63)))))
+    sorted_rows = rows.repartitionByRange(len(starts) + 1, "shard").sortWithinPartitions(*sort)
+    # as text: pandas would turn integers beside nulls into floats
+    texts = sorted_rows.select("shard", F.col("page_id").cast("string").alias("page"), "url", "html", "sha", F.col("mark").cast("string").alias("refers_to"))
+    drafts = written(texts.mapInPandas(save, "temporary string, file string, shard int, roll int, n_records long, n_bytes long, sha1 string"), "drafts")
 
     def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow.fs import FileType
@@ -180,7 +205,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+        frame = lambda rows: pd.DataFrame(rows, columns=names, dtype=object).astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
         fs, base = open_fs(folder)
         for b in batches:
             for file in b["file"]:
