@@ -2,12 +2,14 @@
 
 Legal is an optional system turn, then user and assistant in turn, an assistant last. Dynamic programming over that
 automaton chooses for each turn whether it keeps its role, takes another, joins the turn before, or has an empty turn
-put before it; a last empty turn may be added. Costs are exact, ties go to fewer turns and then to the order of MOVES.
+put before it; a last empty turn may be added. Costs are exact. Ties go to fewer turns; of equal repairs, the roles read
+from the last turn to the first decide, in the order system, user, assistant. So each conversation has one repair,
+however its turns are dealt out.
 
 A conversation of any length is repaired without meeting in one task: turns are range-sorted, a partition's run of a
-conversation is a matrix of least costs from state to state, and the matrices of runs that cross partitions multiply
-(in the min-plus sense) on the driver, two small ones a partition at most. That fixes each run's end states and its
-first turn's number; the runs are then solved by themselves.
+conversation is a matrix of least costs from state to state, with the rank its path has among those of other first
+states. The matrices of runs that cross partitions multiply (in the min-plus sense) on the driver, two small ones a
+partition at most. That fixes each run's end states and its first turn's number; the runs are then solved by themselves.
 """
 
 from __future__ import annotations
@@ -82,6 +84,18 @@ def solve(steps: list, first: int = START, end: int | None = None, costs: dict =
     return path[::-1]
 
 
+def _longer(m: list[list[int]], rank: list[list[int]], step: list) -> tuple[list[list[int]], list[list[int]]]:
+    """The matrix of a run and its ranks, one turn longer. rank[a][b] orders the first states a by their best path to b,
+    read backwards."""
+    costs, keys = [], []
+    for a in range(4):
+        row = [min((m[a][c] + step[c][b][0], c) for c in range(4)) for b in range(4)]
+        costs.append([min(x, NEVER) for x, _ in row])
+        keys.append([(c, rank[a][c]) for _, c in row])
+    order = [sorted({keys[a][b] for a in range(4)}) for b in range(4)]
+    return costs, [[order[b].index(keys[a][b]) for b in range(4)] for a in range(4)]
+
+
 def repair(conversations: DataFrame, costs: dict = COSTS, head: str = HEAD, tail: str = TAIL) -> DataFrame:
     """The repaired, rendered turns of ``conversations`` (conv_id, turn, role, text): a row for each turn given or put in.
 
@@ -100,7 +114,7 @@ def repair(conversations: DataFrame, costs: dict = COSTS, head: str = HEAD, tail
 
     def runs(batches: Iterator[pd.DataFrame]):
         """(conv_id, rows) of a partition, whose rows are sorted."""
-        whole = lambda x: None if x is None or x != x else int(x)
+        whole = lambda x: None if x is None else int(x)
         rows = (r for b in batches for r in zip(map(whole, b["conv_id"]), map(whole, b["turn"]), b["role"], b["text"], b["n_rows"], b["_part"], strict=True))
         return groupby(rows, key=lambda r: r[0])
 
@@ -109,25 +123,37 @@ def repair(conversations: DataFrame, costs: dict = COSTS, head: str = HEAD, tail
         known, kept = {}, []
         for k, group in runs(batches):
             m, n, part = [[0 if a == b else NEVER for b in range(4)] for a in range(4)], 0, 0
+            rank = [[a] * 4 for a in range(4)]
             for r in group:
                 role = normal_role(r[2])
                 step = known[role] if role in known else known.setdefault(role, moves(role, costs))
-                m, n, part = [_times(v, step) for v in m], n + 1, r[5]
-            kept = [*kept[:1], (part, str(k), n, ",".join(str(x) for v in m for x in v))]
+                m, rank = _longer(m, rank, step)
+                n, part = n + 1, r[5]
+            kept = [*kept[:1], (part, str(k), n, ",".join(str(x) for v in m + rank for x in v))]
         yield pd.DataFrame(kept, columns=["part", "conv", "n", "costs"])
 
-    table = parts.select("conv_id", "turn", "role", F.lit("").alias("text"), "n_rows", "_part")
-    found = table.mapInPandas(edges, "part int, conv string, n long, costs string").collect()  # two rows a partition
+    # identifiers as text: pandas would turn integers beside nulls into floats
+    parts = parts.withColumns({c: F.col(c).cast("string") for c in ("conv_id", "turn")})
+    found = parts.withColumn("text", F.lit("")).mapInPandas(edges, "part int, conv string, n long, costs string").collect()  # two rows a partition
     enter, leave, chain = {}, {}, []
 
     def close() -> None:
         """Fixes the states between the runs of a conversation that crosses partitions, and what stands before each."""
         if len(chain) > 1:
-            steps = [[[(m[4 * a + b], ()) for b in range(4)] for a in range(4)] for _, _, _, m in chain]
-            state, turns, before = START, 0, 0
-            for (part, conv, n, m), after in zip(chain, solve(steps, costs=costs), strict=True):
-                enter[part, conv], leave[part, conv] = (state, turns, before), after
-                turns, before, state = turns + m[4 * state + after] % UNIT, before + n, after
+            before = [[0 if s == START else NEVER for s in range(4)]]  # least costs before each run, by state
+            for *_, m in chain:
+                before.append([min(min(before[-1][a] + m[4 * a + b] for a in range(4)), NEVER) for b in range(4)])
+            ending = last(costs)
+            after = min(range(4), key=lambda s: before[-1][s] + ending[s])
+            path = []
+            for (*_, m), costs_before in zip(reversed(chain), reversed(before[:-1]), strict=True):
+                a = min(range(4), key=lambda a: (costs_before[a] + m[4 * a + after], m[16 + 4 * a + after]))  # noqa: B023
+                path.append((a, after))
+                after = a
+            turns = gone = 0
+            for (part, conv, n, m), (a, b) in zip(chain, reversed(path), strict=True):
+                enter[part, conv], leave[part, conv] = (a, turns, gone), b
+                turns, gone = turns + m[4 * a + b] % UNIT, gone + n
             del leave[chain[-1][:2]]
 
     for i, r in enumerate(found := sorted(found, key=lambda r: r["part"])):
@@ -140,7 +166,7 @@ def repair(conversations: DataFrame, costs: dict = COSTS, head: str = HEAD, tail
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["conv_id", "row_no", "piece", "turn", "role", "action", "out_turn", "n_rows", "rendered"]
-        frame = lambda: pd.DataFrame(out, columns=names).astype({"conv_id": "Int64", "turn": "Int64"})
+        frame = lambda: pd.DataFrame(out, columns=names, dtype=object).astype({"conv_id": "Int64", "turn": "Int64"})
         known, out = {}, []
         for k, group in runs(batches):
             rows = list(group)
