@@ -2,8 +2,9 @@
 
 A linear model on how a text is written: counts of bytes and of triples of character classes, and measures of
 repetition. It learns from trusted positives and unlabelled web text. The risk is pi * R+(positives) plus
-R-(unlabelled) - pi * R-(positives), the latter part held at zero or above; pi is the class prior, estimated from the
-audited rows where both classes were marked, else from how the scores of positives and unlabelled rows are spread.
+R-(unlabelled) - pi * R-(positives), the latter part held at zero or above. pi is the class prior, estimated from
+positives and unlabelled rows alone: a first model is fitted on two thirds of the sample, and on the third it hasn't
+seen pi is the least ratio, over cuts, of the unlabelled to the positive share above the cut. No negative label is used.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import free_names, written
+
 #: Fitting reads this many positives and this many unlabelled texts at most; everything else reads all rows.
 MAX_POSITIVES = MAX_UNLABELLED = 6000
 CLASSES = 8
@@ -79,11 +82,11 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
 
 def non_negative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-4) -> np.ndarray:
     """Weights, the intercept last, of the linear model of least non-negative PU risk with the logistic loss (Adam)."""
-    p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
+    p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32, copy=False) for x in (positive, unlabelled))
     w, m, v = (np.zeros(p.shape[1]) for _ in range(3))
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
+        zp, zu = p @ w.astype(np.float32), u @ w.astype(np.float32)
         wrong = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         back = u.T @ sig(zu) / len(u) - prior * (p.T @ sig(zp)) / len(p)
         grad = -prior * (p.T @ sig(-zp)) / len(p) + back if wrong >= 0 else -back
@@ -94,41 +97,65 @@ def non_negative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
 
 
 def spread_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Prior from scores alone: the least ratio of the unlabelled to the positive share above a cut that keeps a tenth of the positives."""
-    cuts = np.quantile(positive, np.linspace(0, 0.9, 46))
+    """Prior from scores alone: the least ratio of the unlabelled to the positive share above a cut that keeps a fifth of
+    the positives. Above the best cut nearly all are positive, so the ratio is their share among the unlabelled."""
+    cuts = np.quantile(positive, np.linspace(0, 0.8, 41))
     above = lambda x: np.array([(x >= c).mean() for c in cuts])
     return float(np.clip((above(unlabelled) / np.maximum(above(positive), 1e-9)).min(), 0.01, 0.99))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior of ``unlabelled``: ``spread_prior`` on each third of the rows, scored by a model of the others; the
+    mean of the three. Half where there are too few rows."""
+    if min(len(positive), len(unlabelled)) < 9:
+        return 0.5
+    found = []
+    for k in range(3):
+        own = [np.arange(len(x)) % 3 == k for x in (positive, unlabelled)]
+        w = non_negative_pu(positive[~own[0]], unlabelled[~own[1]], 0.5, steps=150)
+        found.append(spread_prior(positive[own[0]] @ w[:-1], unlabelled[own[1]] @ w[:-1]))
+    return float(np.mean(found))
+
+
+def _learnt(rows: DataFrame) -> dict | None:
+    """The model of the sample ``rows`` (kind, h, x), fitted in one task: their number is bounded. None without both kinds."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        sample = pd.concat(parts).sort_values(["kind", "h", "x"]).drop_duplicates(["kind", "h"])  # a repeated doc_id gives one row
+        x = {k: np.stack([np.frombuffer(b, np.float32) for b in g["x"]]) for k, g in sample.groupby("kind")}
+        if 1 not in x or 0 not in x:
+            return
+        n = sum(map(len, x.values()))
+        mean = sum(v[:, :-1].sum(axis=0, dtype=np.float64) for v in x.values()) / n
+        std = np.sqrt(sum(((v[:, :-1] - mean) ** 2).sum(axis=0) for v in x.values()) / n) + 1e-3
+        mean, std = mean.astype(np.float32), std.astype(np.float32)
+        p, u = (standard(x[k], mean, std) for k in (1, 0))
+        prior = estimated_prior(p, u)
+        yield pd.DataFrame([{"w": non_negative_pu(p, u, prior).tobytes(), "mean": mean.tobytes(), "std": std.tobytes(), "prior": prior}])
+
+    got = rows.repartition(1).mapInPandas(learn, "w binary, mean binary, std binary, prior double").collect()
+    if not got:
+        return None
+    r = got[0]
+    return {"w": np.frombuffer(r["w"]), "mean": np.frombuffer(r["mean"], np.float32), "std": np.frombuffer(r["std"], np.float32), "prior": r["prior"]}
+
+
 def fit(docs: DataFrame, labels: DataFrame, trusted: Column, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> dict:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), reading only labels and texts where ``trusted`` holds.
 
-    The samples are the rows of least md5(doc_id): the same in each run, and bounded by the two parameters. Without
-    positives the model scores every text with the prior.
+    The samples are the rows of least md5(doc_id): the same in each run, and bounded by the two parameters. Rows with a
+    null doc_id or quality teach nothing. Without positives the model scores every text with one half.
     """
     h = F.md5(F.concat(F.lit("pu:"), F.col("doc_id").cast("string")))
-    audit = labels.where(trusted).where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good, marked = audit.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
-    pos = audit.where("quality = 1").withColumn("h", h).orderBy("h").limit(max_positives).select("doc_id", "h", F.lit(1).alias("kind"))
+    good = labels.where(trusted).where("doc_id IS NOT NULL AND quality = 1").select("doc_id").distinct()
+    pos = good.withColumn("h", h).orderBy("h").limit(max_positives).select("doc_id", "h", F.lit(1).alias("kind"))
     unl = docs.select("doc_id").where(trusted).where("doc_id IS NOT NULL").distinct().withColumn("h", h).orderBy("h").limit(max_unlabelled).select("doc_id", "h", F.lit(0).alias("kind"))
-    ids = pos.unionByName(unl).collect()  # at most max_positives + max_unlabelled ids
-    prior = good / marked if 0 < good < marked else None
-    flat = {"w": None, "mean": None, "std": None, "prior": 0.5 if prior is None else prior}
-    if not ids:
-        return flat
-    picked = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "doc_id long, h string, kind int")
-    rows = _feature_rows(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("kind", "h", "text")).toPandas()
-    rows = rows.sort_values(["kind", "h", "x"]).drop_duplicates(["kind", "h"])  # a repeated doc_id gives one row
-    x = {k: np.stack([np.frombuffer(b, np.float32) for b in g["x"]]) for k, g in rows.groupby("kind")}
-    if 1 not in x or 0 not in x:
-        return flat
-    both = np.vstack([x[1], x[0]])
-    mean, std = both[:, :-1].mean(axis=0), both[:, :-1].std(axis=0) + 1e-3
-    p, u = (standard(x[k], mean, std) for k in (1, 0))
-    if prior is None:
-        w = non_negative_pu(p, u, 0.5)
-        prior = spread_prior(p @ w[:-1], u @ w[:-1])
-    return {"w": non_negative_pu(p, u, prior), "mean": mean, "std": std, "prior": prior}
+    picked = written(pos.unionByName(unl), "sample")  # at most max_positives + max_unlabelled ids
+    rows = _feature_rows(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("kind", "h", "text"))
+    return _learnt(rows) or {"w": None, "mean": None, "std": None, "prior": 0.5}
 
 
 def score(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
@@ -156,14 +183,18 @@ def held_out() -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with held_out, score and predicted (1 if score >= 0.5). Repeated rows each get theirs; columns stay."""
-    scored = score(docs, fit(docs, labels, ~held_out()))
+    """``docs`` with held_out, score and predicted (1 if score >= 0.5); columns of these names are replaced, others stay.
+
+    Each repeated row gets the same score; null and empty texts one of their own; an empty table gives an empty result.
+    """
+    rows = docs.drop("held_out", "score", "predicted")
+    scored = score(rows, fit(docs, labels, ~held_out()))
     return scored.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs``, all its columns, without the rows that the classifier rejects."""
-    mine = "_quality_score"
+    """``docs``, all its columns, without the rows that the classifier rejects. Repeated rows share their fate."""
+    (mine,) = free_names(docs, "_quality_score")
     return score(docs, fit(docs, labels, ~held_out()), mine).where(F.col(mine) >= 0.5).select(*docs.columns)
 
 
