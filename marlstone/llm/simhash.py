@@ -12,9 +12,10 @@ it. Copies of one text share a fingerprint and count once.
 Texts of high shingle similarity may differ in far more bits than segments can find, so ``keep_one`` can add an exact
 set-similarity join: links between texts whose word shingles have a Jaccard similarity of 4/5 or more. Shingles have one
 global order, frequent ones last (counted in a sample, which touches speed only). Similar sets share a shingle among
-the first n - ceil(4n/5) + 1 of each; pairs that meet there and pass the length and positional filters are verified on
-whole shingle sets. In a bucket all are first compared with one member only; what that links is contracted before the
-remaining pairs are formed.
+the first n - ceil(4n/5) + 1 of each; pairs that meet there and pass the length and positional filters, and then a
+comparison of sketches (the parities of shingles by hash class: those that differ bound the symmetric difference from
+below), are verified on whole shingle sets. In a bucket all are first compared with one member only; what that links is
+contracted before the remaining pairs are formed.
 """
 
 from __future__ import annotations
@@ -22,56 +23,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded, components, written
+from marlstone.llm import shingles as S
+from marlstone.llm.common import bounded, components, first_rows, free_names, released, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 WIDTH, SEED, MAX_DISTANCE, NIBBLE = 4, 42, 4, 4
 BIG_GROUP = 16
 SIMILAR_WIDTH = 5  # words of a shingle; the similarity asked for is SIMILAR[0] / SIMILAR[1]
 SIMILAR = (4, 5)
-SAMPLE, FREQUENT, MOST_FREQUENT = 8, 16, 100_000  # one text of 8 is counted; shingles in 16 of those or more are frequent
+SAMPLE, FREQUENT, MOST_FREQUENT = 8, 3, 100_000  # one text of 8 is counted; shingles in 3 of those or more are frequent
+SKETCH = 1024  # bits, a power of two
 
 
-def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
+def fingerprint(text: str | None) -> int:
     """Unsigned 64-bit SimHash of the text's word shingles; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    h = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return h(b" ".join(words), seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    line = b" ".join(words)
-    n = len(words) - width + 1
-    votes = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
-        to = min(n, at + (1 << 15))
-        cut = zip(starts[at:to].tolist(), (ends[at + width - 1 : to + width - 1] - 1).tolist(), strict=True)
-        got = np.array([h(line[s:e], seed) for s, e in cut], dtype="<u8")
-        bits = np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for part in range(0, len(bits), 255):  # 255 rows at most fit a byte's sum
-            votes += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column fp (long, the fingerprint's 64 bits); a text met again in a batch is hashed once."""
-
-    @F.pandas_udf("long")
-    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            known: dict = {}
-            yield pd.Series(
-                np.array([known[t] if t in known else known.setdefault(t, fingerprint(t)) for t in texts], np.uint64).astype(np.int64)
-            )
-
-    return docs.withColumn("fp", fp(F.col(text)))
+    return int(S.fingerprints(S.words(pa.array([text], pa.string())), WIDTH, SEED)[0])
+
+
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """(``keep``, fp) of ``docs`` (text, and the columns ``keep``): fp is a long of the fingerprint's 64 bits."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(len(keep))
+            fps = [S.fingerprints(S.words(text.slice(at, to - at)), WIDTH, SEED) for at, to in S.slices(text)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(fps).view(np.int64) if fps else [], pa.int64())], [*keep, "fp"])
+
+    rows = docs.select(*keep, "text")
+    return rows.mapInArrow(of, rows.drop("text").schema.add("fp", "long"))
 
 
 def _certain_links(fps: DataFrame) -> DataFrame:
@@ -129,12 +112,15 @@ def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
 
 def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, text_key, fp, grp, component_id) for each row of ``docs`` (doc_id, text)."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    seen = written(fingerprints(keyed).select("doc_id", "text_key", "fp"), "fingerprints")
+    keyed = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"))
+    seen = written(fingerprints(keyed, "doc_id", "text_key"), "fingerprints")
     first = written(seen.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = written(link_components(first.select("fp"), max_distance), "found")
-    lowest = found.join(first, "fp").groupBy("label").agg(F.min("first").alias("component_id"))
-    of_fp = written(found.join(lowest, "label").select("fp", F.col("label").alias("grp"), "component_id"), "components")
+    named = written(found.join(first, "fp"), "named")
+    # only labels of several fingerprints have another smallest id; a large component is one row of theirs
+    lowest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    of_fp = named.join(bounded(written(lowest, "lowest")), "label", "left").select("fp", F.col("label").alias("grp"), F.coalesce("component_id", "first").alias("component_id"))
+    of_fp = written(of_fp, "components")
     return seen.join(of_fp, "fp").select("doc_id", "text_key", "fp", "grp", "component_id")
 
 
@@ -149,153 +135,171 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, width: int = SIMILAR_WIDTH) -> set:
-    """The distinct word shingles of the text; one shorter shingle where it has fewer words, none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return set()
-    return set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else {tuple(words)}
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
-def shingle_keys(text: str | None, width: int = SIMILAR_WIDTH) -> np.ndarray:
-    """Ascending 64-bit keys (signed) of ``shingle_set``: words are hashed, shingles are sums of odd multiples, mixed."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    width = min(width, len(words))
-    n = len(words) - width + 1
-    x = np.full(n, width, np.uint64)
-    for k in range(width):
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique((x ^ (x >> np.uint64(32))).view(np.int64))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, S.Words]]:
+    """(ids, words) of some rows (id, text) at a time."""
+    for b in batches:
+        for at, to in S.slices(b.column(1)):
+            part = b.slice(at, to - at)
+            yield part.column(0), S.words(part.column(1))
 
 
-def _prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
-    """(key, id, n, place): the first n - ceil(4n/5) + 1 of each text's n shingles in global order."""
+def _marks(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
+    """(id, fp, n, prefix, sketch) of ``texts`` (id, text), each read once: SimHash, number n of distinct shingles, the
+    first n - ceil(4n/5) + 1 of them in global order, and the parity sketch."""
     known, times = frequent
+    may = np.zeros(1 << 22, bool)  # by a key's last bits: whether it may be a frequent one
+    may[known & (len(may) - 1)] = True
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, ids, ns, places = [], [], [], []
-            for i, t in zip(b["text_key"], b["text"], strict=True):
-                x = shingle_keys(t, width)
-                if not len(x):
-                    continue
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    x = x[np.argsort(np.where(known[at] == x, times[at], 0), kind="stable")]
-                k = len(x) - -(-SIMILAR[0] * len(x) // SIMILAR[1]) + 1
-                keys.append(x[:k])
-                ids.append(np.full(k, i, np.int64))
-                ns.append(np.full(k, len(x), np.int32))
-                places.append(np.arange(k, dtype=np.int32))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "n": np.concatenate(ns), "place": np.concatenate(places)})
-
-    return texts.select("text_key", "text").mapInPandas(cut, "key long, id long, n int, place int")
+    def ordered(x: np.ndarray) -> np.ndarray:
+        hit = np.flatnonzero(may[x & (len(may) - 1)])
+        if not len(hit):
+            return x
+        seen = np.zeros(len(x), np.int64)
+        at = np.minimum(np.searchsorted(known, x[hit]), len(known) - 1)
+        seen[hit] = np.where(known[at] == x[hit], times[at], 0)
+        return x[np.argsort(seen, kind="stable")]
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, w in _texts(batches):
+            ns, prefixes, sketches = [], [], []
+            for x in S.shingle_keys(w, width):
+                sketches.append(np.packbits(np.bincount(x & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64))
+                prefixes.append(ordered(x)[: len(x) - -(-SIMILAR[0] * len(x) // SIMILAR[1]) + 1])
+                ns.append(len(x))
+            fps = pa.array(S.fingerprints(w, WIDTH, SEED).view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, fps, pa.array(ns, pa.int32()), _lists(prefixes), _lists(sketches)], ["id", "fp", "n", "prefix", "sketch"])
 
-def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ascending, and their counts) of the shingles that many texts of a sample hold."""
+    return texts.select("id", "text").mapInArrow(mark, "id long, fp long, n int, prefix array<long>, sketch array<long>")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys = [shingle_keys(t, width) for t in b["text"]]
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys)})
 
-    some = texts.where(F.pmod("text_key", F.lit(SAMPLE)) == 0).select("text").mapInPandas(cut, "key long")
-    count = some.groupBy("key").count().where(f"count >= {FREQUENT}").orderBy(F.desc("count"), "key").limit(MOST_FREQUENT)
-    got = sorted((r["key"], r["count"]) for r in count.collect())
-    return np.array([k for k, _ in got], np.int64), np.array([c for _, c in got], np.int64)
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, keys): the shingle keys of ``texts`` (id, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, w in _texts(batches):
+            yield pa.RecordBatch.from_arrays([ids, _lists(S.shingle_keys(w, width))], ["id", "keys"])
 
+    return texts.select("id", "text").mapInArrow(cut, "id long, keys array<long>")
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Those of ``pairs`` (p, pg, q, qg) whose texts' shingles have the similarity asked for."""
 
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            a, b = shingle_set(a, width), shingle_set(b, width)
-            both = len(a & b)
-            out.append(both * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
+def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ascending, and their counts) of the shingles that several texts of a sample hold."""
+    some = _sets(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), width).select(F.explode_outer("keys").alias("key"))
+    count = some.groupBy("key").count().where(f"key IS NOT NULL AND count >= {FREQUENT}").orderBy(F.desc("count"), "key").limit(MOST_FREQUENT)
+    got = count.toPandas().sort_values("key")  # MOST_FREQUENT rows at most
+    return got["key"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
+
 
+def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Those of ``pairs`` (p, pg, q, qg) whose texts' shingles have the similarity asked for.
+
+    Sketches come first: bits that differ stand for one shingle at least that only one of the texts has, and similar
+    texts have few of those. What is left is verified on whole shingle sets.
+    """
+    a, b = SIMILAR
     pairs = written(pairs, "candidates")
-    ends = bounded(pairs.select(F.explode(F.array("p", "q")).alias("text_key")).distinct())
-    some = texts.join(ends, "text_key", "left_semi")
-    left, right = some.select(F.col("text_key").alias("p"), F.col("text").alias("a")), some.select(F.col("text_key").alias("q"), F.col("text").alias("b"))
-    return pairs.join(left, "p").join(right, "q").where(similar("a", "b")).select("p", "pg", "q", "qg")
+
+    def sides(rows: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        of = bounded(of.join(bounded(rows.select(F.explode(F.array("p", "q")).alias("id")).distinct()), "id", "left_semi"))
+        for end in ("p", "q"):
+            rows = rows.join(of.select(F.col("id").alias(end), *[F.col(c).alias(end + c) for c in columns]), end)
+        return rows
+
+    apart = "aggregate(zip_with(psketch, qsketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    near = sides(pairs, marks, "n", "sketch").where(f"{apart} * {a + b} <= (pn + qn) * {b - a}").select("p", "pg", "q", "qg")
+    near = written(near, "near")
+    whole = written(_sets(texts.join(bounded(near.select(F.explode(F.array("p", "q")).alias("id")).distinct()), "id", "left_semi"), width), "sets")
+    both = f"size(array_intersect(pkeys, qkeys)) * {a + b} >= {a} * (size(pkeys) + size(qkeys))"
+    return sides(near, whole, "keys").where(both).select("pg", "qg")
 
 
-def similar_components(texts: DataFrame, groups_of: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """(grp, label) of every group in ``groups_of`` (text_key, grp) after links between similar texts.
+def similar_components(texts: DataFrame, marks: DataFrame, groups_of: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """(grp, label) of the groups in ``groups_of`` (id, grp) that links between similar texts join to others.
 
-    ``texts`` (text_key, text) has each text once. Groups are kept whole; label is one of those reachable over texts
-    with a shingle similarity of 4/5 or more.
+    ``texts`` (id, text) has each text once. Groups are kept whole; label is one of those reachable over texts with a
+    shingle similarity of 4/5 or more.
     """
     a, b = SIMILAR
     fits = f"n * {b} >= {a} * qn AND qn * {b} >= {a} * n AND least(n - place, qn - qplace) * {a + b} >= {a} * (n + qn)"
-    rows = _prefixes(texts, _frequent(texts, width), width)
-    bucket = Window.partitionBy("key")
-    met = written(rows.withColumn("many", F.count("*").over(bucket)).where("many > 1").drop("many"), "met")
-    met = written(met.join(bounded(groups_of), met["id"] == groups_of["text_key"]).select("key", "id", "n", "place", "grp"), "met-groups")
-    label = groups_of.select("grp").distinct().withColumn("label", F.col("grp"))
-    label = written(label, "labels-of-groups")
-
-    def contracted(links: DataFrame, label: DataFrame) -> DataFrame:
-        reached = components(links.select(F.col("pg").alias("a"), F.col("qg").alias("b")))
-        reached = bounded(reached.select(F.col("node").alias("label"), F.col("label").alias("to")))
-        return written(label.join(reached, "label", "left").select("grp", F.coalesce("to", "label").alias("label")), "labels-of-groups")
 
-    def left(label: DataFrame) -> DataFrame:
-        """The rows of buckets that hold more than one group."""
-        now = met.join(bounded(label), "grp").select("key", "id", "n", "place", "label")
-        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return written(now.join(mixed, "key", "left_semi"), "left")
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one label."""
+        keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        return rows.join(bounded(written(keys, "keys")), "key", "left_semi")
+
+    rows = marks.join(bounded(groups_of), "id").select("id", "n", F.col("grp").alias("label"), F.posexplode_outer("prefix").alias("place", "key")).where("key IS NOT NULL")
+    met = written(mixed(rows).withColumnRenamed("label", "grp"), "met")
+    moved = groups_of.select("grp", F.col("grp").alias("label")).limit(0)
+    released(marks.sparkSession)
+
+    def now() -> DataFrame:
+        return met.join(bounded(moved), "grp", "left").select("key", "id", "n", "place", F.coalesce("label", "grp").alias("label"))
+
+    def contracted(links: DataFrame) -> DataFrame:
+        reached = components(links.select(F.col("pg").alias("a"), F.col("qg").alias("b")))
+        old = moved.join(reached.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("grp", F.coalesce("to", "label").alias("label"))
+        new = reached.select(F.col("node").alias("grp"), "label").join(moved.select("grp"), "grp", "left_anti")
+        return written(old.unionByName(new), "moved")
 
     # one member a bucket, by two orders: a large group of near copies becomes one label here
     for seed in (1, 2):
-        now = left(label)
-        hub = F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "place", "label")).over(bucket)
-        star = now.withColumn("hub", hub).select(
+        rows = now()
+        hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "place", "label")).alias("hub"))
+        star = rows.join(hubs, "key").select(
             F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place", F.col("hub.id").alias("q"), F.col("hub.label").alias("qg"),
             F.col("hub.n").alias("qn"), F.col("hub.place").alias("qplace"),
         )
         star = star.where("pg <> qg").where(fits).select("p", "pg", "q", "qg").distinct()
-        label = contracted(_verified(star, texts, width), label)
-    now = left(label)
-    one = now.select("key", F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place")
-    two = now.select("key", F.col("id").alias("q"), F.col("label").alias("qg"), F.col("n").alias("qn"), F.col("place").alias("qplace"))
-    pairs = one.join(two, (one["key"] == two["key"]) & F.expr(f"p < q AND pg <> qg AND {fits}")).select("p", "pg", "q", "qg").distinct()
-    return contracted(_verified(pairs, texts, width), label)
+        moved = contracted(_verified(star, marks, texts, width))
+        released(marks.sparkSession)
+    rows = written(mixed(now()), "left")
+    # a bucket's most frequent label is never compared with itself: each pair has an end outside it
+    main = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", "count").alias("main"))
+    one = rows.join(main, "key").where("label <> main").select("key", "main", F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place")
+    two = rows.select("key", F.col("id").alias("q"), F.col("label").alias("qg"), F.col("n").alias("qn"), F.col("place").alias("qplace"))
+    pairs = one.join(two, (one["key"] == two["key"]) & F.expr(f"pg <> qg AND (p < q OR qg = main) AND {fits}")).select("p", "pg", "q", "qg").distinct()
+    moved = contracted(_verified(pairs, marks, texts, width))
+    released(marks.sparkSession)
+    return moved
 
 
 def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE, similar: bool = False, width: int = SIMILAR_WIDTH) -> DataFrame:
     """``docs``, all its columns, with one row of each component: that of the smallest doc_id, then text hash.
 
     With ``similar`` texts whose shingles of ``width`` words have a Jaccard similarity of 0.8 or more are linked as well,
-    at whatever distance their fingerprints are. Null doc_ids come last; of rows with the same doc_id and text any one
-    stays.
+    at whatever distance their fingerprints are. Null and empty texts are one text without words. Null doc_ids come
+    last. Of rows with the same doc_id and text that of the smallest hash of all its columns stays. An empty table gives
+    an empty result.
     """
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    key = F.unhex(F.md5(whole.cast("binary")))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    seen = written(groups(docs, max_distance).select("grp", rank.alias("rank")), "grouped")
+    seen = docs.select("doc_id", key.alias("text_key"))
     if similar:
-        texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-        texts = written(texts.groupBy("text_key").agg(F.first("text").alias("text")), "texts")
-        of = written(seen.select(F.col("rank.text_key").alias("text_key"), "grp").distinct(), "groups-of")
-        label = bounded(similar_components(texts, of, width))
-        seen = written(seen.join(label, "grp").select(F.col("label").alias("grp"), "rank"), "grouped")
+        texts = written(docs.groupBy(whole.alias("text")).agg(F.lit(1).alias("_")).select(F.monotonically_increasing_id().alias("id"), "text"), "texts")
+        marks = written(_marks(texts, _frequent(texts, width), width), "marks")
+        found = written(link_components(marks.select("fp").distinct(), max_distance), "found")
+        released(docs.sparkSession)
+        of = written(marks.select("id", "fp").join(bounded(found), "fp").select("id", F.col("label").alias("grp")), "groups-of")
+        label = bounded(similar_components(texts, marks, of, width))
+        of = of.join(label, "grp", "left").select("id", F.coalesce("label", "grp").alias("grp"))
+        of = written(texts.select("id", key.alias("text_key")).join(of, "id").select("text_key", "grp"), "grouped-texts")
+        seen = written(seen.join(bounded(of), "text_key").select("grp", rank.alias("rank")), "grouped")
+    else:
+        seen = written(groups(docs, max_distance).select("grp", "doc_id", F.col("text_key")).select("grp", rank.alias("rank")), "grouped")
     best = seen.groupBy("grp").agg(F.min("rank").alias("best"))
     gone = seen.join(best, "grp").where("rank <> best").select("rank.doc_id", "rank.text_key").distinct()
-    gone = bounded(written(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "gone"))
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_text_key"] == gone["_key"]), "left_anti")
+    mine, other, hashed = free_names(docs, "_id", "_key", "_text_key")
+    gone = bounded(written(gone.select(F.col("doc_id").alias(mine), F.col("text_key").alias(other)), "gone"))
+    rows = docs.withColumn(hashed, key)
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(hashed) == F.col(other)), "left_anti")
     if not seen.groupBy("rank").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_text_key"])
+        rows = first_rows(rows, ["doc_id", hashed])
     return rows.select(*docs.columns)
 
 
