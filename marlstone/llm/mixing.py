@@ -8,61 +8,18 @@ carried to the next as one number, so no source, however large, meets in one tas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import checkpointed, written
+from marlstone.llm.common import first_rows, free_names, running_sum, written
 
 WEIGHTS, BUDGET, MAX_REPEATS = (5.0, 2.0, 1.0), 1.5, 2
 
 
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than the six ASCII blanks; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
-def running_sum(df: DataFrame, order: list[str], value: str, out: str, within: str | None = None) -> DataFrame:
-    """``df`` range-sorted by ``order`` with ``out``, the running sum of ``value``, from anew at each ``within``.
-
-    ``within`` must be order[0]. Rows equal in all of ``order`` stand together, in any order. One number a partition,
-    and the value of ``within`` it is for, passes through the driver.
-    """
-    sort = [F.col(c).asc_nulls_last() for c in order]
-    parts = checkpointed(df.repartitionByRange(*sort).sortWithinPartitions(*sort)).withColumn("_part", F.spark_partition_id())
-    key = F.coalesce(F.concat(F.lit("k"), F.col(within)), F.lit("n")) if within else F.lit("k")  # in the rows' order, null last
-    ends = parts.groupBy("_part").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
-    tails = parts.withColumn("_key", key).join(
-        F.broadcast(df.sparkSession.createDataFrame([(r["_part"], r["last"]) for r in ends], "_part int, _last string")), "_part"
-    ).where("_key = _last").groupBy("_part").agg(F.sum(value).alias("sum")).collect()
-    tail, carry, before, open_key = {r["_part"]: r["sum"] for r in tails}, {}, 0, None
-    for r in sorted(ends, key=lambda r: r["_part"]):
-        first, last = r["first"], r["last"]
-        carry[r["_part"]] = before if first == open_key else 0
-        before = tail[r["_part"]] + (carry[r["_part"]] if first == last else 0)
-        open_key = last
-    names = [c for c in parts.columns if c != "_part"]
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, total = None, 0
-        for b in batches:
-            if not len(b):
-                continue
-            k = pd.Series(["k"] * len(b)) if within is None else ("k" + b[within]).fillna("n")
-            new = k.ne(k.shift(fill_value=k.iloc[0]))
-            group = new.cumsum()
-            sums = b[value].groupby(group).cumsum()
-            if at is None:
-                total = carry.get(int(b["_part"].iloc[0]), 0)
-            elif at != k.iloc[0]:
-                total = 0
-            sums = sums.where(group.ne(0), sums + total)
-            at, total = k.iloc[-1], int(sums.iloc[-1])
-            yield b[names].assign(**{out: sums.astype("int64")})
-
-    return parts.mapInPandas(add, parts.select(names).schema.add(out, "long"))
+    marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x")  # a count of the matches would hold them all
+    return F.coalesce(F.length(marks) - F.length(F.replace(marks, F.lit("x"))), F.lit(0)).cast("long")
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -119,19 +76,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeats: i
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with all their columns, size, target, taken and copies (times taken).
+    """The rows of ``docs`` that the mix takes, with all their columns, and size, target, taken and copies (times taken).
 
-    Repeated rows of one doc_id and text come back as one, their copies added up.
+    Columns of ``docs`` with one of these four names are left out for the new ones; other names may clash with nothing.
+    Repeated rows of one doc_id and text come back as one, their copies added up: that of the smallest hash of all its
+    columns. Null sources are one source; null and empty texts have size 0 and are never taken. An empty table gives an
+    empty result.
     """
+    new = ["size", "target", "taken", "copies"]
+    rows = docs.drop(*new)
+    key, mine, other, n_rows = free_names(docs, "_row_key", "_id", "_key", "_rows")
     of = mix(docs, **how).groupBy("doc_id", "row_key").agg(
-        F.max("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("copies").alias("copies"), F.count("*").alias("_rows")
+        F.max("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("copies").alias("copies"), F.count("*").alias(n_rows)
     )
-    of = written(of.where("copies > 0").withColumnRenamed("doc_id", "_id").withColumnRenamed("row_key", "_key"), "plan")
-    new = ["size", "target", "taken", "copies"]
-    rows = docs.drop(*new).withColumn("_row_key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
-    if not of.where("_rows > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_row_key"])
-    out = rows.join(of, (rows["_row_key"] == of["_key"]) & rows["doc_id"].eqNullSafe(of["_id"]))
+    of = written(of.where("copies > 0").withColumnsRenamed({"doc_id": mine, "row_key": other}), "plan")
+    rows = rows.withColumn(key, F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    if not of.where(F.col(n_rows) > 1).isEmpty():
+        rows = first_rows(rows, ["doc_id", key])
+    out = rows.join(of, (F.col(key) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(mine)))
     return out.select(*[c for c in docs.columns if c not in new], *new)
 
 
