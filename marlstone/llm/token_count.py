@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -50,8 +51,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, separator: int = SEPAR
     """(file, nth, doc_id), a row for each document of ``docs`` (doc_id, text), and the flat files under ``folder``.
 
     A file is named after its partition and attempt; only a task that succeeded has its rows in the result, so what
-    lost attempts left behind is never read.
+    lost attempts left behind is never read. ``path``, the ranks file, is the driver's: Spark sends it to the workers.
     """
+    docs.sparkSession.sparkContext.addFile(path)
+    ranks = os.path.basename(path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,7 +66,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, separator: int = SEPAR
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             for b in batches:
                 for text in b["text"]:
-                    out.write(np.array([*tokens(text, path), separator], dtype=f"<u{width}").tobytes())
+                    out.write(np.array([*tokens(text, SparkFiles.get(ranks)), separator], dtype=f"<u{width}").tobytes())
                 yield pd.DataFrame({"file": name, "nth": np.arange(nth, nth + len(b), dtype=np.int64), "doc_id": b["doc_id"]})
                 nth += len(b)
 
@@ -142,7 +145,8 @@ def scan(spark: SparkSession, folder: str, names: DataFrame, separator: int = SE
 def count_tokens(docs: DataFrame, path: str, separator: int = SEPARATOR, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens), a row per row of ``docs`` (doc_id, text): written as flat files in the shared folder, scanned back.
 
-    Null and empty texts count 0; null and repeated doc_ids each keep their row; other columns are not used.
+    Null and empty texts count 0; null and repeated doc_ids each keep their row; other columns are not used. A text of any
+    length is one document of its file, whose blocks are read by themselves; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")
