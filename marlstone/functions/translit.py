@@ -154,3 +154,8 @@ def _letters(c: Column) -> Column:
 def is_mixed_script(c: Column) -> Column:
     """Whether a text has Latin letters and Indic or Arabic ones."""
     return F.coalesce(c, F.lit("")).rlike("[A-Za-z]") & _letters(c)
+
+
+def is_indic(c: Column) -> Column:
+    """Whether a text has an Indic or Arabic letter."""
+    return _letters(c)

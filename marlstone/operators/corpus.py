@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from marlstone.functions import text as T
 from marlstone.functions import translit as X
@@ -193,6 +194,32 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | N
     return (none if found is None else found).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def embed(rows: DataFrame, encode: Callable[[list[str]], np.ndarray], column: str = "text", out: str = "embedding", batch: int = 256) -> DataFrame:
+    """``rows`` with ``out``, the vectors that the hook ``encode`` gives for the texts in ``column``, ``batch`` at a time.
+
+    The hook is sent to the workers and gets a list of strings (nulls as empty ones); it returns one row of numbers each.
+    Vectors are brought to length one; zero vectors stay.
+    """
+    schema = S.StructType([*rows.schema.fields, S.StructField(out, S.ArrayType(S.FloatType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), batch):
+                part = b.iloc[at : at + batch]
+                x = np.asarray(encode([t or "" for t in part[column]]), np.float32)
+                if x.shape[0] != len(part):
+                    raise ValueError(f"{len(part)} texts gave {x.shape[0]} vectors")
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                yield part.assign(**{out: list(x / np.where(norm > 0, norm, 1))})
+
+    return rows.mapInPandas(run, schema)
+
+
+def semantic_search(vectors: DataFrame, queries: DataFrame, encode: Callable, k: int = 20, keep: Column | None = None) -> DataFrame:
+    """``dense_top_k`` of ``queries`` (qid, text) whose vectors the hook gives."""
+    return dense_top_k(vectors, embed(queries.select("qid", "text"), encode), k, keep)
+
+
 def fuse(lists: list[DataFrame], k: int = 60, limit: int = 20) -> DataFrame:
     """(qid, id, rrf, orig_score, rank) of ranked lists (qid, id, score, rank): reciprocal ranks summed.
 

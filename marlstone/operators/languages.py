@@ -73,6 +73,13 @@ def grams(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(each).alias("_g")).groupBy(*keys, "_g.order", "_g.gram").agg(F.count("*").alias("n"))
 
 
+def samples(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, text) of ``docs`` (doc_id, language, text, parent_text), the parent's text preferred; blank ones go."""
+    shown = F.trim(F.coalesce(F.nullif("parent_text", F.lit("")), F.col("text"), F.lit("")))
+    rows = docs.select("doc_id", F.lower(F.trim("language")).alias("lang"), shown.alias("text"))
+    return rows.where("lang <> '' AND text <> ''").withColumn("lang", normalize_code(F.col("lang")))
+
+
 def fit(samples: DataFrame, order: str, budget: int = BUDGET) -> DataFrame:
     """(lang, order, gram, logp) from ``samples`` (lang, text, ``order``); ``gram`` null holds what unseen grams get.
 

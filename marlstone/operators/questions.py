@@ -96,6 +96,17 @@ def answer(index: Index, docs: DataFrame, queries: DataFrame, dense: DataFrame |
     )
 
 
+def retrieve(index: Index, docs: DataFrame, queries: DataFrame, k: int = SELECTED, dense: DataFrame | None = None, chunk_type: str | None = None) -> DataFrame:
+    """The ``k`` hits of each of ``queries`` (qid, text, languages) as they are shown: by words, or with ``dense`` hits fused.
+
+    Blank questions are an error of their asker: they have no hits. Where hits are fused, twice ``k`` candidates of either
+    side take part, twenty at least. ``chunk_type`` keeps chunks of that kind before the cut, so that ``k`` of them can stay.
+    """
+    most = max(2 * k, CANDIDATES)
+    hits = found(index, queries.where("trim(coalesce(text, '')) <> ''"), docs, dense, most)
+    return response(first_ranked(hits if chunk_type is None else of_type(hits, chunk_type), k))
+
+
 def first_ranked(hits: DataFrame, k: int) -> DataFrame:
     """The first ``k`` hits of each question, ranked anew after a filter."""
     w = Window.partitionBy("qid").orderBy("rank", "chunk_id")

@@ -195,3 +195,50 @@ def quota(records: DataFrame, per_language: int, order: str = "query_id", long:
     n = F.length("query")
     w = Window.partitionBy("language").orderBy((n >= long).desc(), n.desc(), order)
     return records.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_language)
+
+
+def curated(facts: DataFrame, first: int = 9001) -> DataFrame:
+    """Records of hand-written ``facts`` (n, language, query, answer, passage), one for each language, in order of n.
+
+    The fact in English gives every record its English question, answer and passage; ids count from ``first``.
+    """
+    english = F.broadcast(facts.where("language = 'en'").select(F.col("query").alias("eq"), F.col("answer").alias("ea"), F.col("passage").alias("ep")).limit(1))  # one row
+    f = facts.join(english, how="left")
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("language") == "en", none).otherwise(F.array("passage"))
+    return f.select(
+        (F.col("n") - 1 + first).cast("long").alias("query_id"), "query", filled(F.col("eq")).alias("eng_query"), "answer", filled(F.col("ea")).alias("eng_answer"),
+        F.lit("LOCATION").alias("query_type"), F.lit("eng_Latn").alias("source_lang"), F.col("language").alias("target_lang"), "language",
+        F.when(F.col("ep").isNotNull(), F.array("ep")).otherwise(none).alias("english_passages"), own.alias("translated_passages"), F.array(F.lit(1)).alias("is_selected"),
+    )
+
+
+def sample_records(rows: DataFrame, per_language: int, blocks: dict[str, tuple[int, int]], order: str = "n", first: int = 9101, prefer_long: bool = True, long: int = 40) -> DataFrame:
+    """Records of raw ``rows`` (``order``, language, query, passage, answer, query_type): ``per_language`` of each, the sample
+    asked for, with ids from ``first`` on by language and place.
+
+    A question has four characters or more and two letters of its language's block (``blocks``: language to first and last
+    code point), a passage forty and ten; the passage holds a word of the answer. Long questions come first, the longest
+    before; else ``order`` decides.
+    """
+    tidy = lambda c: T.strip(F.coalesce(c, F.lit("")))
+    r = rows.select(F.col(order).alias("_n"), "language", *[tidy(F.col(c)).alias(c) for c in ("query", "passage", "answer")], filled(F.col("query_type"), "DESCRIPTION").alias("query_type"))
+    native = F.lit(False)
+    for lang, (lo, hi) in blocks.items():
+        native = native | ((F.col("language") == lang) & native_script(F.col("query"), lo, hi, 2) & native_script(F.col("passage"), lo, hi, 10))
+    r = r.where((F.length("query") >= 4) & (F.length("passage") >= 40) & native & answer_supported(F.col("answer"), F.col("passage")))
+    n = F.length("query")
+    w = Window.partitionBy("language").orderBy(*([(n >= long).desc(), n.desc()] if prefer_long else []), "_n")
+    kept = written(r.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_language), "sample")
+    at = running_sum(kept.select("language", "_rank").withColumn("_one", F.lit(1)), ["language", "_rank"], "_one", "_upto")
+    none = F.array().cast("array<string>")
+    return kept.join(at, ["language", "_rank"]).select(
+        (F.col("_upto") - 1 + first).alias("query_id"), "query", F.lit("").alias("eng_query"), "answer", F.lit("").alias("eng_answer"), "query_type",
+        F.lit("eng_Latn").alias("source_lang"), F.col("language").alias("target_lang"), "language", none.alias("english_passages"),
+        F.array("passage").alias("translated_passages"), F.array(F.lit(1)).alias("is_selected"),
+    )
+
+
+def payload(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, payload): each chunk's other columns as one struct, as a vector store keeps them."""
+    return chunks.select("chunk_id", F.struct(*[c for c in chunks.columns if c != "chunk_id"]).alias("payload"))

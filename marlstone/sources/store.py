@@ -73,7 +73,19 @@ def first_rows(df: DataFrame, order: str, limit: int) -> DataFrame:
     """The first ``limit`` rows by ``order`` (the size asked of a sample), found by a running count and not in one task."""
     upto = running_sum(df.select(F.col(order).alias("_at")).withColumn("_one", F.lit(1)), ["_at"], "_one", "_upto")
     keep = written(upto.where(F.col("_upto") <= limit).select("_at"), "first")
-    return df.join(bounded(keep), df[order] == keep["_at"], "left_semi")
+    return df.join(bounded(keep), df[order] == keep["_at"], "left_semi").select(*df.columns)
+
+
+def first_of(df: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of a scan, in the order of its files and of the rows in them."""
+    placed = written(df.withColumn("_place", F.monotonically_increasing_id()), "placed")
+    return first_rows(placed, "_place", limit).drop("_place")
+
+
+def read_sample(spark: SparkSession, root: str, language: str, limit: int, split: str = "train", kept: bool = True) -> DataFrame:
+    """Clean records of a language's hub file: the first ``limit`` that stay (``kept``), or those among its first ``limit`` rows."""
+    rows = normalize(spark.read.parquet(parquet_path(root, language, split)), language)
+    return first_of(clean(rows), limit) if kept else clean(first_of(rows, limit))
 
 
 def read_languages(spark: SparkSession, root: str, languages: list[str], skip: tuple[str, ...] = ("sa",)) -> DataFrame:
@@ -104,8 +116,8 @@ def _usable(rows: DataFrame, name: Column) -> DataFrame:
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The chunk index in ``folder``: chunks.jsonl if there is one, else the collection ``vectors`` without its vectors."""
     if exists(spark, f"{folder}/chunks.jsonl"):
-        rows = read_jsonl(spark, f"{folder}/chunks.jsonl", CHUNK)
-        return _usable(rows, F.concat(F.lit("jsonl:"), F.sha1(F.concat_ws("\1", "text", "parent_text", "language", "query_id"))))
+        rows = read_lines(spark, f"{folder}/chunks.jsonl", schema=CHUNK)
+        return _usable(rows, F.concat(F.lit("jsonl:"), F.col("line").cast("string"))).drop("line")
     rows = Collection(spark, f"{folder}/vectors").read()
     have = [c for c in CHUNK.names if c in rows.columns]
     rows = rows.select("point_id", *have, *[F.lit(None).cast("string").alias(c) for c in CHUNK.names if c not in have])

@@ -155,3 +155,36 @@ def test_a_dropped_passage_takes_its_mark_along(spark):
     rec = R.clean(R.normalize(raw.select("query_id", "query", F.struct(F.col("e").alias("English_passages"), F.col("s").alias("is_selected")).alias("passages")), "en"))
     assert rec.first().is_selected == [1, 0]
     assert [r.passage for r in R.passages(rec).collect()] == [long[1]]
+
+
+def test_encoder_hook(spark):
+    import numpy
+
+    def encode(texts):
+        return numpy.array([[t.count("a"), t.count("b"), 0.0] for t in texts])
+
+    docs = spark.createDataFrame([(1, "aaa"), (2, "bbb"), (3, "ab"), (4, None)], "vec_id long, text string")
+    v = C.embed(docs, encode, batch=2)
+    assert {r.vec_id: [round(x, 4) for x in r.embedding] for r in v.collect()} == {1: [1, 0, 0], 2: [0, 1, 0], 3: [0.7071, 0.7071, 0], 4: [0, 0, 0]}
+    got = C.semantic_search(v, spark.createDataFrame([(9, "b")], "qid long, text string"), encode, 2).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 1.0), (3, 0.707107)]
+
+
+def test_samples_and_curated_records(spark, tmp_path):
+    from marlstone.operators import records as R
+    from marlstone.sources import store
+
+    facts = spark.createDataFrame([(1, "en", "Where?", "There.", "It is there, as everyone knows."), (2, "hi", "कहाँ?", "वहाँ।", "वह वहाँ है।")], "n int, language string, query string, answer string, passage string")
+    got = R.curated(facts).orderBy("query_id").collect()
+    assert [(r.query_id, r.eng_query, r.translated_passages) for r in got] == [(9001, "Where?", []), (9002, "Where?", ["वह वहाँ है।"])]
+    long = "यह एक बहुत लंबा वाक्य है जिसमें उत्तर दिल्ली भी लिखा हुआ है।"
+    rows = [(1, "hi", "दिल्ली कहाँ है", long, "दिल्ली", None), (2, "hi", "where", long, "दिल्ली", None), (3, "hi", "भारत की राजधानी का नाम क्या है और वह कहाँ बसी हुई है", long, "दिल्ली", "X"), (4, "hi", "दिल्ली कहाँ", long, "मुंबई", None), (5, "hi", "दिल्ली किधर है", long, "", None)]
+    raw = spark.createDataFrame(rows, "n int, language string, query string, passage string, answer string, query_type string")
+    got = R.sample_records(raw, 2, {"hi": (0x900, 0x97F)}).orderBy("query_id").collect()
+    assert [(r.query_id, r.query[:4], r.query_type) for r in got] == [(9101, "भारत", "X"), (9102, "दिल्", "DESCRIPTION")]
+    df = spark.range(100).repartition(3).sortWithinPartitions("id")
+    df.write.parquet(str(tmp_path / "x"))
+    back = spark.read.parquet(str(tmp_path / "x"))
+    assert store.first_of(back, 7).count() == 7 and store.first_of(back, 7).columns == ["id"]
+    (tmp_path / "chunks.jsonl").write_text('\n{"text": "one"}\n{"chunk_id": "c", "text": "two"}\n{"text": " "}\n')
+    assert sorted(r.chunk_id for r in store.read_chunks(spark, f"file://{tmp_path}").collect()) == ["c", "jsonl:1"]
