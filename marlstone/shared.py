@@ -97,7 +97,7 @@ def row_bytes(df: DataFrame) -> Column:
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, to be broadcast if it was counted to have ``rows`` rows and ``size`` bytes at most."""
-    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(row_bytes(df))).first()
+    n, held = df.select(row_bytes(df).alias("size")).limit(rows + 1).agg(F.count("*"), F.sum("size")).first()
     return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
