@@ -135,9 +135,10 @@ _INDEXES: dict = {}
 def _index(spark, d) -> C.Index:
     """The stored index of the documents of ``d``, built by the first query of a session that needs it."""
     from marlstone.shared import fresh_path
+    from marlstone.sources.store import exists
 
     key = spark.sparkContext.applicationId, d
-    if key not in _INDEXES:
+    if key not in _INDEXES or not exists(spark, f"{_INDEXES[key].folder}/roman/_SUCCESS"):  # the last table written
         docs = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("language"))
         # a document with the number of a benchmark item came with that item's question
         asked = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").alias("source_query"))
