@@ -20,13 +20,16 @@ STOP = A.CONTENT_STOP + (
     "कहाँ कहा क्या कौन कैसे क्यों है हैं का की के में से और ने को कुत्र अस्ति आहे कुठे छे কোথায় কত আছে একটি এবং எங்கே என்ன உள்ளது ஒரு "
     "ఎక్కడ ఉంది ఒక ಎಲ್ಲಿದೆ ಇದೆ ಒಂದು എവിടെയാണ് ആണ് ഒരു ક્યાં કયાં છે એક کہاں ہے ایک छ हो କେଉଁଠି ଅଛି ଏକ ਕਿੱਥੇ ਹੈ ਇੱਕ"
 ).split()
-SOUNDS = sorted({X.folded(X.romanized(w)) for w in STOP} - {""})
+#: Fixed value: the guard's list has one word more than the reranker's; grounding has a list of its own.
+GUARD_STOP = [*STOP, "کيٿے"]
+SOUNDS, GUARD_SOUNDS = (sorted({X.folded(X.romanized(w)) for w in words} - {""}) for words in (STOP, GUARD_STOP))
 _PROPER = r"\b[A-Z][A-Za-z]{2,}\b"
 
 
-def content(c: Column) -> Column:
-    """Distinct tokens of two characters or more that are no stop words by spelling or by sound."""
-    named = F.filter(T.tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(*STOP) & ~X.fold(X.romanize(t)).isin(*SOUNDS))
+def content(c: Column, guard: bool = False) -> Column:
+    """Distinct tokens of two characters or more that are no stop words, of the reranker or the guard, by spelling or by sound."""
+    stop, sounds = (GUARD_STOP, GUARD_SOUNDS) if guard else (STOP, SOUNDS)
+    named = F.filter(T.tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(*stop) & ~X.fold(X.romanize(t)).isin(*sounds))
     return F.array_distinct(named)
 
 
@@ -75,10 +78,10 @@ def first_hits(hits: DataFrame) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 
 
-def _with_words(pairs: DataFrame) -> DataFrame:
+def _with_words(pairs: DataFrame, guard: bool = False) -> DataFrame:
     both = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("parent_text", F.lit("")))
     return pairs.withColumns({
-        "_both": both, "_q": content(F.col("query")), "_d": content(both), "_s": content(F.col("source_query")),
+        "_both": both, "_q": content(F.col("query"), guard), "_d": content(both, guard), "_s": content(F.col("source_query"), guard),
         "_scripts": X.scripts(both),
     })
 
@@ -148,7 +151,7 @@ def cover(queries: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
     coverage: largest share of the question's content words that a hit's text, parent or source question has, by sound
     too; related: the same against the source question alone; same: whether a source question has the same words.
     """
-    p = _with_words(queries.select("qid", "query").join(hits.where(F.col("rank") <= k), "qid", "left"))
+    p = _with_words(queries.select("qid", "query").join(hits.where(F.col("rank") <= k), "qid", "left"), guard=True)
     p = p.withColumn("_all", F.array_union("_d", "_s"))
     any_ = F.lit(None).cast("array<int>")
     p = p.withColumn("_m", _heard(F.array_except("_q", "_all"), F.col("_all"), any_))
