@@ -83,7 +83,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     Words are lower-cased runs of letters, digits and characters beyond ASCII. An item of fewer words than ``width`` is
     one shingle of all its words; an item without words matches nothing. Null texts have no words. Items of the same
     shingles are searched once and each reported, texts met in several rows are verified once; repeated rows give one
-    pair. Null ids stay null. ``text_key`` tells apart texts that share a doc_id. Other columns are not used.
+    pair. Null ids stay null. ``text_key`` tells apart texts that share a doc_id. Other columns are not used. A text of any
+    length is read whole, a row for each of its shingles; empty tables on either side give an empty result.
     """
     it, sizes = item_sets(items, width)
     if not sizes:
