@@ -1,12 +1,13 @@
 """Media columns: lossless FLAC streams held in a binary column.
 
-``encode`` writes mono streams of 8-bit samples in frames of 4,096 samples (constant, verbatim or fixed predictor with
-Rice residuals, whichever is least). ``decode_frames`` reads any stream of up to 32-bit samples and 8 channels: constant,
+``encode`` writes mono streams of 8-bit samples in frames of 4,096 samples (constant, verbatim, fixed or linear predictor
+with Rice residuals, whichever is least). ``decode_many`` reads any stream of up to 32-bit samples and 8 channels: constant,
 verbatim, fixed and linear predictors, both Rice codings with escapes, stereo decorrelation; it verifies the header's
 CRC-8, the frame's CRC-16 and the stream's MD5, and yields a PCM block for each frame with its sample offset.
 
 Rice codes are read without a loop over bits: the places of all one-bits are found at once, each is linked to the one
 that would end the next code, and the chain from the first is followed in strides by composing that link with itself.
+Linear predictors are undone for many frames at once, one sample of each a step.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK, LINEAR_ORDER = 4096, 4
 PAD_TO, TAIL = 192, 16
 #: A byte less this, modulo 256, is its sample: it brings small letters near zero.
 SHIFT = 108
@@ -112,9 +114,39 @@ def _zigzag(r: np.ndarray) -> np.ndarray:
     return (r << 1) ^ (r >> (8 * r.itemsize - 1))
 
 
+def predictor(x: np.ndarray, order: int = LINEAR_ORDER, precision: int = 8, shift: int = 6) -> tuple | None:
+    """(coefficients, precision, shift) of the linear predictor of least squared error of ``x``; None where there is none."""
+    if len(x) <= 4 * order:
+        return None
+    y = x.astype(np.float64)
+    r = [float(y[k:] @ y[: len(y) - k]) for k in range(order + 1)]
+    a, error = [], r[0]
+    for i in range(order):  # Levinson's recursion
+        if error <= 0:
+            return None
+        k = (r[i + 1] - sum(c * r[i - j] for j, c in enumerate(a))) / error
+        a = [c - k * a[i - 1 - j] for j, c in enumerate(a)] + [k]
+        error *= 1 - k * k
+    most = (1 << (precision - 1)) - 1
+    coef = tuple(max(-most, min(most, round(c * (1 << shift)))) for c in a)
+    return (coef, precision, shift) if any(coef) else None
+
+
+def _predicted(x: np.ndarray, linear: tuple) -> np.ndarray:
+    """What the linear predictor leaves of ``x``."""
+    coef, _, shift = linear
+    y, order = x.astype(np.int32), len(coef)
+    sums = coef[0] * y[order - 1 : -1]
+    for i, c in enumerate(coef[1:], 1):
+        sums += c * y[order - 1 - i : len(y) - 1 - i]
+    return y[order:] - (sums >> shift)
+
+
 def _frame(x: np.ndarray, number: int, linear: tuple | None = None) -> bytes:
-    """One mono frame of 8-bit samples. ``linear``: (coefficients, precision, shift) forces a linear predictor."""
-    linear = linear if linear and len(x) > len(linear[0]) else None
+    """One mono frame of 8-bit samples: constant, plain, or by the fixed or linear predictor that is shortest. ``linear``:
+    (coefficients, precision, shift) forces a linear predictor."""
+    forced = bool(linear) and len(x) > len(linear[0])
+    linear = linear if forced else None
     n = len(x)
     head = b"\xff\xf8" + bytes([0x70 if n != BLOCK else 0xC0, 0x02]) + _utf8_number(number)
     head += (n - 1).to_bytes(2, "big") if n != BLOCK else b""
@@ -129,14 +161,21 @@ def _frame(x: np.ndarray, number: int, linear: tuple | None = None) -> bytes:
                 d.append(d[-1][1:] - d[-1][:-1])
             o = min(range(len(d)), key=lambda o: int(np.abs(d[o][4:]).sum(dtype=np.int64)) if n > 4 else o)
             size, k = _best_rice(_zigzag(d[o]))
-            if size + 8 * o + 10 < 8 * n:
+            size += 8 * o + 10
+            if size < 8 * n:
                 order, r = o, d[o]
-        else:
+            guess = predictor(x)
+            if guess:
+                rest = _predicted(x, guess)
+                bits, own = _best_rice(_zigzag(rest))
+                if bits + len(guess[0]) * (8 + guess[1]) + 19 < min(size, 8 * n):
+                    linear, r, k = guess, rest, own
+        if linear is not None:
             coef, precision, shift = linear
             order = len(coef)
-            y = x.astype(np.int64)
-            r = y[order:] - (sum(c * y[order - 1 - i : n - 1 - i] for i, c in enumerate(coef)) >> shift)
-            k = _best_rice(_zigzag(r))[1]
+            if forced:
+                r = _predicted(x, linear)
+                k = _best_rice(_zigzag(r))[1]
             extra, skip = ((precision - 1) << 5) | shift, 9
             for c in coef:
                 extra, skip = (extra << precision) | (c & ((1 << precision) - 1)), skip + precision
@@ -275,7 +314,35 @@ def _residual(r: _Reader, n: int, order: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _subframe(r: _Reader, n: int, width: int) -> np.ndarray:
+def _synthesise(later: list[tuple]) -> None:
+    """Fills the samples of linear subframes (out, coefficients, shift, residual, wasted bits), whose warm-up stands in
+    ``out``: one step of all subframes of one order at a time, the longest first."""
+    by_order: dict[int, list[tuple]] = {}
+    for x in later:
+        by_order.setdefault(len(x[1]), []).append(x)
+    for order, group in by_order.items():
+        group.sort(key=lambda x: -len(x[0]))
+        n = [len(x[0]) for x in group]
+        coef = np.array([x[1] for x in group], np.int64).T.copy()
+        shift = np.array([x[2] for x in group], np.int64)
+        y = np.zeros((n[0], len(group)), np.int64)
+        for i, (out, _, _, rest, _) in enumerate(group):
+            y[:order, i], y[order : len(out), i] = out[:order], rest
+        left = len(group)
+        for t in range(order, n[0]):
+            while n[left - 1] <= t:
+                left -= 1
+            sums = coef[0, :left] * y[t - 1, :left]
+            for k in range(1, order):
+                sums += coef[k, :left] * y[t - 1 - k, :left]
+            sums >>= shift[:left]
+            y[t, :left] += sums
+        for i, (out, _, _, _, wasted) in enumerate(group):
+            out[:] = y[: len(out), i] << wasted
+
+
+def _subframe(r: _Reader, n: int, width: int, later: list[tuple]) -> np.ndarray:
+    """The samples of a subframe; those of a linear one are its warm-up until ``later`` is synthesised."""
     if r.take(1):
         raise FlacError("bad subframe")
     kind = r.take(6)
@@ -301,10 +368,10 @@ def _subframe(r: _Reader, n: int, width: int) -> np.ndarray:
         if precision == 16 or shift < 0:
             raise FlacError("bad predictor")
         coef = [r.signed(precision) for _ in range(order)]
-        x = warm.tolist()
-        for e in _residual(r, n, order).tolist():
-            x.append(e + (sum(c * x[-1 - i] for i, c in enumerate(coef)) >> shift))
-        x = np.array(x, np.int64)
+        x = np.zeros(n, np.int64)
+        x[:order] = warm
+        later.append((x, coef, shift, _residual(r, n, order), wasted))
+        return x
     else:
         raise FlacError("reserved subframe")
     return x << wasted
@@ -332,11 +399,9 @@ def stream_info(data: bytes) -> dict:
 _BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 
 
-def decode_frames(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(frame number, sample offset, samples as channels x n) for each frame; raises FlacError where a checksum fails."""
-    info = stream_info(data)
-    at, offset, number, md5 = info["first"], 0, 0, hashlib.md5()
-    size = -(-info["bits"] // 8)
+def _frames(data: bytes, info: dict, later: list[tuple]) -> Iterator[tuple[int, int, int, list[np.ndarray], bool]]:
+    """(frame number, sample offset, channel code, subframes, whether it is the last) of a stream; checksums are verified."""
+    at, offset, number = info["first"], 0, 0
     while at < len(data):
         h = data[at : at + 16]
         if len(h) < 6 or h[0] != 0xFF or h[1] & 0xFE != 0xF8:
@@ -357,30 +422,60 @@ def decode_frames(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
             raise FlacError(f"frame {number}: its header's checksum is wrong")
         width = _BITS.get(bits, info["bits"])
         r = _Reader(data, at + end + 1)
-        if channels < 8:
-            x = [_subframe(r, n, width) for _ in range(channels + 1)]
-        elif channels < 11:
-            x = [_subframe(r, n, width + (channels in (9,))), _subframe(r, n, width + (channels in (8, 10)))]
-            if channels == 8:  # left and side
-                x[1] = x[0] - x[1]
-            elif channels == 9:  # side and right
-                x[0] = x[0] + x[1]
-            else:  # mid and side
-                mid = (x[0] << 1) | (x[1] & 1)
-                x = [(mid + x[1]) >> 1, (mid - x[1]) >> 1]
-        else:
+        if channels > 10:
             raise FlacError("reserved channels")
+        widths = [width] * (channels + 1) if channels < 8 else [width + (channels == 9), width + (channels in (8, 10))]
+        x = [_subframe(r, n, w, later) for w in widths]
         stop = (r.at + 7) >> 3
         if stop + 2 > len(data) or crc16(data[at:stop]) != int.from_bytes(data[stop : stop + 2], "big"):
             raise FlacError(f"frame {number}: its checksum is wrong")
-        pcm = x[0][None] if len(x) == 1 else np.stack(x)
-        md5.update(_interleaved(pcm, size))
-        yield number, offset, pcm
-        at, offset, number = stop + 2, offset + n, number + 1
+        at = stop + 2
+        yield number, offset, channels, x, at >= len(data)
+        offset, number = offset + n, number + 1
     if info["samples"] and offset != info["samples"]:
         raise FlacError("samples are missing")
-    if any(info["md5"]) and md5.digest() != info["md5"]:
-        raise FlacError("the MD5 of the samples is wrong")
+
+
+def _channels(code: int, x: list[np.ndarray]) -> np.ndarray:
+    if code == 8:  # left and side
+        x = [x[0], x[0] - x[1]]
+    elif code == 9:  # side and right
+        x = [x[0] + x[1], x[1]]
+    elif code == 10:  # mid and side
+        mid = (x[0] << 1) | (x[1] & 1)
+        x = [(mid + x[1]) >> 1, (mid - x[1]) >> 1]
+    return x[0][None] if len(x) == 1 else np.stack(x)
+
+
+def decode_many(streams, hold: int = 512) -> Iterator[tuple]:
+    """(tag, info, frame number, sample offset, samples as channels x n) for each frame of ``streams``, pairs of a tag and a
+    stream, in order; raises FlacError where a checksum fails. ``hold`` frames are in memory at a time."""
+    held, later = [], []
+
+    def done() -> Iterator[tuple]:
+        _synthesise(later)
+        for tag, info, md5, number, offset, code, x, is_last in held:
+            pcm = _channels(code, x)
+            md5.update(_interleaved(pcm, -(-info["bits"] // 8)))
+            if is_last and any(info["md5"]) and md5.digest() != info["md5"]:
+                raise FlacError("the MD5 of the samples is wrong")
+            yield tag, info, number, offset, pcm
+        held.clear()
+        later.clear()
+
+    for tag, data in streams:
+        info, md5 = stream_info(data), hashlib.md5()
+        for number, offset, code, x, is_last in _frames(data, info, later):
+            held.append((tag, info, md5, number, offset, code, x, is_last))
+            if len(held) == hold:
+                yield from done()
+    yield from done()
+
+
+def decode_frames(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(frame number, sample offset, samples as channels x n) for each frame; raises FlacError where a checksum fails."""
+    for _, _, number, offset, pcm in decode_many([(None, data)]):
+        yield number, offset, pcm
 
 
 def _interleaved(pcm: np.ndarray, size: int) -> bytes:
@@ -390,30 +485,28 @@ def _interleaved(pcm: np.ndarray, size: int) -> bytes:
     return flat.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :size].tobytes()
 
 
-def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per frame of each stream: key, block, sample_offset, n_samples, channels, rate, bits, pcm (little-endian,
-    interleaved). Seek by sample_offset. Null streams give no rows; a damaged stream raises FlacError. Rows of equal
-    keys are read each by itself."""
-    kind = media.schema[key].dataType.simpleString()
+    interleaved), and the columns ``keep`` of its row. Seek by sample_offset. Null streams give no rows; a damaged stream
+    raises FlacError. Rows of equal keys are read each by itself; a stream's blocks stand together, in order."""
+    names = ["key", "block", "sample_offset", "n_samples", "channels", "rate", "bits", "pcm", *keep]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "block", "sample_offset", "n_samples", "channels", "rate", "bits", "pcm"]
         for b in batches:
             rows, held = [], 0
-            for k, data in zip(b["key"], b["media"], strict=True):
-                if data is None:
-                    continue
-                info = stream_info(data)
-                for number, offset, pcm in decode_frames(data):
-                    rows.append((k, number, offset, pcm.shape[1], pcm.shape[0], info["rate"], info["bits"], _interleaved(pcm, -(-info["bits"] // 8))))
-                    held += len(rows[-1][-1])
-                    if held > 8 << 20:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
+            own = list(zip(*[b[c] for c in ("key", *keep)], strict=True))
+            for row, info, number, offset, pcm in decode_many((r, d) for r, d in zip(own, b["media"], strict=True) if d is not None):
+                rows.append((row[0], number, offset, pcm.shape[1], pcm.shape[0], info["rate"], info["bits"], _interleaved(pcm, -(-info["bits"] // 8)), *row[1:]))
+                held += len(rows[-1][7])
+                if held > 2 << 20:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    out = media.selectExpr(f"`{key}` AS key", f"`{column}` AS media").mapInPandas(
-        read, f"key {kind}, block int, sample_offset long, n_samples int, channels int, rate int, bits int, pcm binary"
+    kinds = {f.name: f.dataType.simpleString() for f in media.schema}
+    more = "".join(f", {c} {kinds[c]}" for c in keep)
+    out = media.select(F.col(key).alias("key"), F.col(column).alias("media"), *keep).mapInPandas(
+        read, f"key {kinds[key]}, block int, sample_offset long, n_samples int, channels int, rate int, bits int, pcm binary{more}"
     )
     return out.withColumnRenamed("key", key)
 
@@ -443,25 +536,51 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(write, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """What the stored streams of ``media`` (doc_id, n_bytes, media) hold, read back and verified: see op9.
+def digests(blocks: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of the streams whose
+    ``blocks`` (of ``pcm_blocks``, with the columns n_bytes, media_bytes and media_sha256) are put together by sample offset.
 
-    One row per row; null texts were stored as empty ones (192 blanks). Equal texts have equal values.
+    The blocks come straight from ``pcm_blocks``, so a stream's stand together; a gap in their offsets is an error. One row
+    per stream: null texts were stored as empty ones (192 blanks), repeated rows each have theirs, equal texts equal values.
     """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for data in b["media"]:
-                pcm = np.concatenate([p[0] for _, _, p in decode_frames(data)])
-                payload = (pcm + SHIFT).astype(np.uint8).tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), feature(pcm)))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield pd.concat([b[["doc_id", "n_bytes"]].reset_index(drop=True), out], axis=1)
+        out, parts, own, at = [], [], None, 0
 
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInPandas(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        def close() -> None:
+            pcm = np.frombuffer(b"".join(parts), np.int8)
+            payload = (pcm.astype(np.int16) + SHIFT).astype(np.uint8).tobytes()
+            out.append((own[0], own[1], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), own[2], own[3], feature(pcm)))
+
+        for b in batches:
+            for doc, n, size, sha, offset, samples, pcm in zip(
+                b["doc_id"], b["n_bytes"], b["media_bytes"], b["media_sha256"], b["sample_offset"], b["n_samples"], b["pcm"], strict=True
+            ):
+                if offset == 0 and own is not None:
+                    close()
+                if offset == 0:
+                    parts, own, at = [], (doc, n, size, sha), 0
+                if offset != at:
+                    raise FlacError(f"samples {at} to {offset} are missing")
+                parts.append(pcm)
+                at += samples
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        if own is not None:
+            close()
+        yield pd.DataFrame(out, columns=names)
+
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    rows = blocks.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "sample_offset", "n_samples", "pcm")
+    return rows.mapInPandas(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def features(media: DataFrame) -> DataFrame:
+    """``digests`` of the streams of ``media`` (doc_id, n_bytes, media), read through their PCM blocks."""
+    known = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return digests(pcm_blocks(known, keep=("n_bytes", "media_bytes", "media_sha256")))
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
-    return digests(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return features(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
