@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.shared import bounded, checkpointed, fresh_path, released, running_sum, shared_dir, written
+from marlstone.shared import bounded, checkpointed, fresh_path, released, running_sum, scratch, shared_dir, written
 
-__all__ = ["bind", "bounded", "checkpointed", "components", "first_rows", "free_names", "fresh_path", "lower_ascii", "open_fs", "released", "running_sum", "shared_dir", "spread", "written"]
+__all__ = ["bind", "bounded", "checkpointed", "components", "first_rows", "free_names", "fresh_path", "lower_ascii", "open_fs", "released", "running_sum", "scratch", "shared_dir", "spread", "written"]
 
 
 def open_fs(uri: str):

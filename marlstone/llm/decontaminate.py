@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bind, bounded, free_names, written
+from marlstone.llm.common import bind, bounded, free_names, fresh_path, scratch, written
 
 WIDTH, THRESHOLD = 5, 0.8
 #: What lies between words: ASCII but its letters and digits, and the blanks, dashes and quotes beyond it.
@@ -119,7 +119,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``docs``, all its columns and rows, but for the texts that hold an item; null texts stay."""
     (mine,) = free_names(docs, "_text_key")
-    bad = bounded(written(contaminated(docs, items, threshold, width).select(F.col("text_key").alias(mine + "_bad")).distinct(), "bad"))
+    path = fresh_path(docs.sparkSession, "bad")
+    with scratch(docs.sparkSession):  # all else that is written on the way is deleted
+        bad = contaminated(docs, items, threshold, width).select(F.col("text_key").alias(mine + "_bad")).distinct()
+        bad.write.parquet(path)
+    bad = bounded(docs.sparkSession.read.schema(bad.schema).parquet(path))
     rows = docs.withColumn(mine, F.unhex(F.md5(F.col("text").cast("binary"))))
     return rows.join(bad, F.col(mine) == F.col(mine + "_bad"), "left_anti").select(*docs.columns)
 

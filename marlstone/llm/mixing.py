@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import first_rows, free_names, running_sum, written
+from marlstone.llm.common import first_rows, free_names, fresh_path, running_sum, scratch, written
 
 WEIGHTS, BUDGET, MAX_REPEATS = (5.0, 2.0, 1.0), 1.5, 2
 
@@ -86,10 +86,13 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     new = ["size", "target", "taken", "copies"]
     rows = docs.drop(*new)
     key, mine, other, n_rows = free_names(docs, "_row_key", "_id", "_key", "_rows")
-    of = mix(docs, **how).groupBy("doc_id", "row_key").agg(
-        F.max("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("copies").alias("copies"), F.count("*").alias(n_rows)
-    )
-    of = written(of.where("copies > 0").withColumnsRenamed({"doc_id": mine, "row_key": other}), "plan")
+    path = fresh_path(docs.sparkSession, "plan")
+    with scratch(docs.sparkSession):  # all else that is written on the way is deleted
+        of = mix(docs, **how).groupBy("doc_id", "row_key").agg(
+            F.max("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("copies").alias("copies"), F.count("*").alias(n_rows)
+        ).where("copies > 0").withColumnsRenamed({"doc_id": mine, "row_key": other})
+        of.write.parquet(path)
+    of = docs.sparkSession.read.schema(of.schema).parquet(path)
     rows = rows.withColumn(key, F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
     if not of.where(F.col(n_rows) > 1).isEmpty():
         rows = first_rows(rows, ["doc_id", key])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import shingles as S
-from marlstone.llm.common import bounded, components, first_rows, free_names, released, written
+from marlstone.llm.common import bounded, components, first_rows, free_names, fresh_path, released, scratch, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 WIDTH, SEED, MAX_DISTANCE, NIBBLE = 4, 42, 4, 4
@@ -230,7 +230,7 @@ def similar_components(texts: DataFrame, marks: DataFrame, groups_of: DataFrame,
     def mixed(rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold more than one label."""
         keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return rows.join(bounded(written(keys, "keys")), "key", "left_semi")
+        return rows.join(bounded(written(keys, "keys"), 2_000_000), "key", "left_semi")  # 8 bytes each
 
     rows = marks.join(bounded(groups_of), "id").select("id", "n", F.col("grp").alias("label"), F.posexplode_outer("prefix").alias("place", "key")).where("key IS NOT NULL")
     met = written(mixed(rows).withColumnRenamed("label", "grp"), "met")
@@ -254,7 +254,8 @@ def similar_components(texts: DataFrame, marks: DataFrame, groups_of: DataFrame,
             F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place", F.col("hub.id").alias("q"), F.col("hub.label").alias("qg"),
             F.col("hub.n").alias("qn"), F.col("hub.place").alias("qplace"),
         )
-        star = star.where("pg <> qg").where(fits).select("p", "pg", "q", "qg").distinct()
+        # one hub for each text, the first by the same order; other pairs are left to the last comparison
+        star = star.where("pg <> qg").where(fits).groupBy("p").agg(F.min(F.struct(F.xxhash64("q", F.lit(seed)).alias("h"), "pg", "q", "qg")).alias("x")).select("p", "x.pg", "x.q", "x.qg")
         moved = contracted(_verified(star, marks, texts, width))
         released(marks.sparkSession)
     rows = written(mixed(now()), "left")
@@ -276,29 +277,35 @@ def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE, similar: bool =
     last. Of rows with the same doc_id and text that of the smallest hash of all its columns stays. An empty table gives
     an empty result.
     """
+    spark = docs.sparkSession
     whole = F.coalesce(F.col("text"), F.lit(""))
     key = F.unhex(F.md5(whole.cast("binary")))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    seen = docs.select("doc_id", key.alias("text_key"))
-    if similar:
-        texts = written(docs.groupBy(whole.alias("text")).agg(F.lit(1).alias("_")).select(F.monotonically_increasing_id().alias("id"), "text"), "texts")
-        marks = written(_marks(texts, _frequent(texts, width), width), "marks")
-        found = written(link_components(marks.select("fp").distinct(), max_distance), "found")
-        released(docs.sparkSession)
-        of = written(marks.select("id", "fp").join(bounded(found), "fp").select("id", F.col("label").alias("grp")), "groups-of")
-        label = bounded(similar_components(texts, marks, of, width))
-        of = of.join(label, "grp", "left").select("id", F.coalesce("label", "grp").alias("grp"))
-        of = written(texts.select("id", key.alias("text_key")).join(of, "id").select("text_key", "grp"), "grouped-texts")
-        seen = written(seen.join(bounded(of), "text_key").select("grp", rank.alias("rank")), "grouped")
-    else:
-        seen = written(groups(docs, max_distance).select("grp", "doc_id", F.col("text_key")).select("grp", rank.alias("rank")), "grouped")
-    best = seen.groupBy("grp").agg(F.min("rank").alias("best"))
-    gone = seen.join(best, "grp").where("rank <> best").select("rank.doc_id", "rank.text_key").distinct()
     mine, other, hashed = free_names(docs, "_id", "_key", "_text_key")
-    gone = bounded(written(gone.select(F.col("doc_id").alias(mine), F.col("text_key").alias(other)), "gone"))
+    path = fresh_path(spark, "gone")
+    with scratch(spark):  # all else that is written on the way is deleted
+        seen = docs.select("doc_id", key.alias("text_key"))
+        if similar:
+            texts = written(docs.groupBy(whole.alias("text")).agg(F.lit(1).alias("_")).select(F.monotonically_increasing_id().alias("id"), "text"), "texts")
+            marks = written(_marks(texts, _frequent(texts, width), width), "marks")
+            found = written(link_components(marks.select("fp").distinct(), max_distance), "found")
+            released(spark)
+            of = written(marks.select("id", "fp").join(bounded(found), "fp").select("id", F.col("label").alias("grp")), "groups-of")
+            label = bounded(similar_components(texts, marks, of, width))
+            of = of.join(label, "grp", "left").select("id", F.coalesce("label", "grp").alias("grp"))
+            of = written(texts.select("id", key.alias("text_key")).join(of, "id").select("text_key", "grp"), "grouped-texts")
+            seen = written(seen.join(bounded(of), "text_key").select("grp", rank.alias("rank")), "grouped")
+        else:
+            seen = written(groups(docs, max_distance).select("grp", rank.alias("rank")), "grouped")
+        # only groups of several rows lose any; a large group is one row of theirs
+        best = seen.groupBy("grp").agg(F.min("rank").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
+        gone = seen.join(bounded(written(best, "best")), "grp").where("rank <> best").select("rank.doc_id", "rank.text_key").distinct()
+        gone.select(F.col("doc_id").alias(mine), F.col("text_key").alias(other)).write.parquet(path)
+        repeated = not seen.groupBy("rank").count().where("count > 1").isEmpty()
+    gone = bounded(spark.read.schema(docs.select(F.col("doc_id").alias(mine), key.alias(other)).schema).parquet(path))
     rows = docs.withColumn(hashed, key)
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(hashed) == F.col(other)), "left_anti")
-    if not seen.groupBy("rank").count().where("count > 1").isEmpty():
+    if repeated:
         rows = first_rows(rows, ["doc_id", hashed])
     return rows.select(*docs.columns)
 
