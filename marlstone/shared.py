@@ -9,7 +9,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -104,7 +106,8 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYT
 def running_sum(df: DataFrame, order: list[str], value: str, out: str, within: str | None = None) -> DataFrame:
     """``df`` range-sorted by ``order`` with ``out``, the running sum of ``value``, from anew at each ``within``.
 
-    ``within`` must be order[0], a string column. Rows equal in all of ``order`` stand together, in any order. One
+    ``within`` must be order[0], a string column. A null value adds nothing; the other columns, ids of any size beside nulls
+    too, go through as they are. Rows equal in all of ``order`` stand together, in any order. One
     number a partition, and the value of ``within`` it is for, passes through the driver.
     """
     sort = [F.col(c).asc_nulls_last() for c in order]
@@ -122,21 +125,25 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str, within: s
         open_key = last
     names = [c for c in parts.columns if c != "_part"]
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, 0
         for b in batches:
             if not len(b):
                 continue
-            k = pd.Series(["k"] * len(b)) if within is None else ("k" + b[within]).fillna("n")
-            new = k.ne(k.shift(fill_value=k.iloc[0]))
-            group = new.cumsum()
-            sums = b[value].groupby(group).cumsum()
+            part = b.column(b.schema.get_field_index("_part"))[0].as_py()
+            v = pc.fill_null(b.column(b.schema.get_field_index(value)).cast(pa.int64()), 0).to_numpy()
+            k = np.full(len(b), "k", object)
+            if within is not None:
+                k = np.array(["n" if x is None else "k" + x for x in b.column(b.schema.get_field_index(within)).to_pylist()], object)
+            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            upto, size = np.cumsum(v), np.diff(np.append(starts, len(v)))
+            sums = upto - np.repeat(upto[starts] - v[starts], size)
             if at is None:
-                total = carry.get(int(b["_part"].iloc[0]), 0)
-            elif at != k.iloc[0]:
+                total = carry.get(part, 0)
+            elif at != k[0]:
                 total = 0
-            sums = sums.where(group.ne(0), sums + total)
-            at, total = k.iloc[-1], int(sums.iloc[-1])
-            yield b[names].assign(**{out: sums.astype("int64")})
+            sums[: size[0]] += total
+            at, total = k[-1], int(sums[-1])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in names], pa.array(sums, pa.int64())], [*names, out])
 
-    return parts.mapInPandas(add, parts.select(names).schema.add(out, "long"))
+    return parts.mapInArrow(add, parts.select(names).schema.add(out, "long"))
