@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -491,26 +491,32 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", kee
     raises FlacError. Rows of equal keys are read each by itself; a stream's blocks stand together, in order."""
     names = ["key", "block", "sample_offset", "n_samples", "channels", "rate", "bits", "pcm", *keep]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[b.schema.field(i).type for i in range(2, 2 + len(keep))]]
             rows, held = [], 0
-            own = list(zip(*[b[c] for c in ("key", *keep)], strict=True))
-            for row, info, number, offset, pcm in decode_many((r, d) for r, d in zip(own, b["media"], strict=True) if d is not None):
+            own = list(zip(*[b.column(i).to_pylist() for i in (0, *range(2, 2 + len(keep)))], strict=True))
+            for row, info, number, offset, pcm in decode_many((r, d.as_py()) for r, d in zip(own, b.column(1), strict=True) if d.is_valid):
                 rows.append((row[0], number, offset, pcm.shape[1], pcm.shape[0], info["rate"], info["bits"], _interleaved(pcm, -(-info["bits"] // 8)), *row[1:]))
                 held += len(rows[-1][7])
                 if held > 2 << 20:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield _batch(rows, kinds, names)
                     rows, held = [], 0
-            yield pd.DataFrame(rows, columns=names)
+            yield _batch(rows, kinds, names)
 
     kinds = {f.name: f.dataType.simpleString() for f in media.schema}
     more = "".join(f", {c} {kinds[c]}" for c in keep)
-    out = media.select(F.col(key).alias("key"), F.col(column).alias("media"), *keep).mapInPandas(
+    out = media.select(F.col(key).alias("key"), F.col(column).alias("media"), *keep).mapInArrow(
         read, f"key {kinds[key]}, block int, sample_offset long, n_samples int, channels int, rate int, bits int, pcm binary{more}"
     )
     return out.withColumnRenamed("key", key)
 
 
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    """``rows`` by their exact values: ids never pass through floating point."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
 def padded(text: str | None) -> tuple[int, bytes]:
     """(bytes of the text, payload): UTF-8, then bytes 32 up to a positive multiple of 192."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -526,14 +532,17 @@ def feature(pcm: np.ndarray) -> str:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text of ``docs`` (doc_id, text) as a FLAC stream of its padded bytes."""
+    """(doc_id, n_bytes, media): each text of ``docs`` (doc_id, text) as a FLAC stream of its padded bytes.
+
+    Null texts are stored as empty ones; any doc_id, null ones too, goes through as it is; repeated rows each come back.
+    """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = [padded(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [n for n, _ in pairs], "media": [encode(p) for _, p in pairs]})
+            pairs = [padded(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in pairs], pa.int64()), pa.array([encode(p) for _, p in pairs], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInPandas(write, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(write, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def digests(blocks: DataFrame) -> DataFrame:
@@ -545,8 +554,8 @@ def digests(blocks: DataFrame) -> DataFrame:
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, parts, own, at = [], [], None, 0
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, parts, own, at, kinds = [], [], None, 0, None
 
         def close() -> None:
             pcm = np.frombuffer(b"".join(parts), np.int8)
@@ -554,9 +563,8 @@ def digests(blocks: DataFrame) -> DataFrame:
             out.append((own[0], own[1], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), own[2], own[3], feature(pcm)))
 
         for b in batches:
-            for doc, n, size, sha, offset, samples, pcm in zip(
-                b["doc_id"], b["n_bytes"], b["media_bytes"], b["media_sha256"], b["sample_offset"], b["n_samples"], b["pcm"], strict=True
-            ):
+            kinds = [b.schema.field(0).type, *[pa.int64()] * 2, pa.string(), *[pa.int64()] * 2, pa.string(), pa.string()]
+            for doc, n, size, sha, offset, samples, pcm in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if offset == 0 and own is not None:
                     close()
                 if offset == 0:
@@ -565,15 +573,15 @@ def digests(blocks: DataFrame) -> DataFrame:
                     raise FlacError(f"samples {at} to {offset} are missing")
                 parts.append(pcm)
                 at += samples
-            yield pd.DataFrame(out, columns=names)
+            yield _batch(out, kinds, names)
             out.clear()
         if own is not None:
             close()
-        yield pd.DataFrame(out, columns=names)
+            yield _batch(out, kinds, names)
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
     rows = blocks.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "sample_offset", "n_samples", "pcm")
-    return rows.mapInPandas(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def features(media: DataFrame) -> DataFrame:

@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,21 +33,63 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLOCK_BYTES, GROUP = 4 << 20, 1024
 
 
+#: Characters the pattern takes for blanks; fixed value, the property White_Space of Unicode.
+BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Runs of this many blanks are merged by themselves; other stretches are cut to about this many characters.
+LONG_RUN, STRETCH = 10_000, 1 << 18
+_RUN, _EDGE = re.compile(f"[{BLANKS}]{{{LONG_RUN},}}"), re.compile(f"(?<=[^{BLANKS}])(?=[{BLANKS}])")
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible ones themselves, the others from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """The tokenizer of a ranks file; read once for each worker."""
+    """The tokenizer of a ranks file, or of the same vocabulary as JSON; read once for each worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        byte, special = _byte_of(), {t["content"] for t in model["added_tokens"]}
+        ranks = {bytes(byte[c] for c in word): n for word, n in model["model"]["vocab"].items() if word not in special}
+    else:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokens(text: str | None, path: str) -> list[int]:
-    """Identifiers of the whole text; none for null. No text, whatever it says, gives the separator."""
+def stretches(text: str):
+    """(stretch, whether it is one word of the pattern), in order: ``text`` cut where the pattern cuts it for certain.
+
+    That is before a blank that follows none, and before the last blank of a run that more follows. So each stretch can
+    be encoded by itself, and long runs of blanks, which the pattern's search can't take, need no search.
+    """
+    at = 0
+    for run in [*_RUN.finditer(text), None]:
+        stop = run.start() if run else len(text)
+        while stop - at > STRETCH and (edge := _EDGE.search(text, at + STRETCH, stop)):
+            yield text[at : edge.start()], False
+            at = edge.start()
+        if stop > at:
+            yield text[at:stop], False
+        if run:
+            at = run.end() - (run.end() < len(text))
+            yield text[stop:at], True
+
+
+def tokens(text: str | None, path: str) -> np.ndarray:
+    """Identifiers of the whole text; none for null. No text, whatever it says or how long, gives the separator or fails."""
     if not text:
-        return []
-    return encoder(path).encode_ordinary(text.encode("utf-8", "replace").decode("utf-8"))
+        return np.empty(0, np.uint32)
+    own, parts = encoder(path), []
+    for part, is_word in stretches(text.encode("utf-8", "replace").decode("utf-8")):
+        parts.append(np.array(own._encode_single_piece(part), np.uint32) if is_word else own.encode_to_numpy(part, disallowed_special=()))
+    return np.concatenate(parts)
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, separator: int = SEPARATOR, width: int = 2) -> DataFrame:
@@ -57,20 +102,20 @@ def write_tokens(docs: DataFrame, folder: str, path: str, separator: int = SEPAR
     ranks = os.path.basename(path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         name = f"tokens-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
-        nth = 0
+        nth, end = 0, np.array([separator], f"<u{width}").tobytes()
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             for b in batches:
-                for text in b["text"]:
-                    out.write(np.array([*tokens(text, SparkFiles.get(ranks)), separator], dtype=f"<u{width}").tobytes())
-                yield pd.DataFrame({"file": name, "nth": np.arange(nth, nth + len(b), dtype=np.int64), "doc_id": b["doc_id"]})
+                for text in b.column(1):
+                    out.write(tokens(text.as_py(), SparkFiles.get(ranks)).astype(f"<u{width}").tobytes() + end)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(b)), pa.array(range(nth, nth + len(b)), pa.int64()), b.column(0)], ["file", "nth", "doc_id"])
                 nth += len(b)
 
-    return docs.select("doc_id", "text").mapInPandas(write, f"file string, nth long, doc_id {kind}")
+    return docs.select("doc_id", "text").mapInArrow(write, f"file string, nth long, doc_id {kind}")
 
 
 def flat_blocks(spark: SparkSession, folder: str, names: DataFrame, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:

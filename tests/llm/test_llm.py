@@ -39,7 +39,7 @@ def agree(spark, sf, names):
 
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         p = f"{sf}/{t}.parquet"
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{p}{'/*.parquet' if os.path.isdir(p) else ''}'")
     show = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
