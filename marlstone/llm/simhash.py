@@ -12,9 +12,9 @@ it. Copies of one text share a fingerprint and count once.
 Texts of high shingle similarity may differ in far more bits than segments can find, so ``keep_one`` can add an exact
 set-similarity join: links between texts whose word shingles have a Jaccard similarity of 4/5 or more. Shingles have one
 global order, frequent ones last (counted in a sample, which touches speed only). Similar sets share a shingle among
-the first n - ceil(4n/5) + 1 of each; pairs that meet there and pass the length and positional filters, and then a
-comparison of sketches (the parities of shingles by hash class: those that differ bound the symmetric difference from
-below), are verified on whole shingle sets. In a bucket all are first compared with one member only; what that links is
+the first n - ceil(4n/5) + 1 of each. The join's own condition has the length and positional filters and compares
+sketches (the parities of shingles by hash class: those that differ bound the symmetric difference from below), folded to
+256 bits; what it lets pass is held against the whole sketches and then verified on whole shingle sets. In a bucket all are first compared with one member only; what that links is
 contracted before the remaining pairs are formed.
 """
 
@@ -143,7 +143,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, S.Words]]:
     """(ids, words) of some rows (id, text) at a time."""
     for b in batches:
-        for at, to in S.slices(b.column(1)):
+        for at, to in S.slices(b.column(1), 1 << 20):  # half the default: working memory counts where joins run beside
             part = b.slice(at, to - at)
             yield part.column(0), S.words(part.column(1))
 
@@ -195,6 +195,17 @@ def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return got["key"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
 
 
+#: A sketch folded to 256 bits, which rows carry into joins: classes that fall together add up, so their parities do.
+_FOLDED = [" ^ ".join(f"sketch[{i}]" for i in range(k, SKETCH // 64, 4)) + f" AS s{k}" for k in range(4)]
+
+
+def _near(p: str, q: str) -> str:
+    """Whether the folded sketches and numbers of shingles, with these prefixes to their names, allow the similarity."""
+    a, b = SIMILAR
+    apart = " + ".join(f"bit_count({p}s{k} ^ {q}s{k})" for k in range(4))
+    return f"({apart}) * {a + b} <= ({p}n + {q}n) * {b - a}"
+
+
 def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Those of ``pairs`` (p, pg, q, qg) whose texts' shingles have the similarity asked for.
 
@@ -204,16 +215,18 @@ def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int)
     a, b = SIMILAR
     pairs = written(pairs, "candidates")
 
+    def ids(rows: DataFrame) -> DataFrame:
+        return bounded(written(rows.select(F.explode(F.array("p", "q")).alias("id")).distinct(), "ids"))
+
     def sides(rows: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
-        of = bounded(of.join(bounded(rows.select(F.explode(F.array("p", "q")).alias("id")).distinct()), "id", "left_semi"))
         for end in ("p", "q"):
             rows = rows.join(of.select(F.col("id").alias(end), *[F.col(c).alias(end + c) for c in columns]), end)
         return rows
 
     apart = "aggregate(zip_with(psketch, qsketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    near = sides(pairs, marks, "n", "sketch").where(f"{apart} * {a + b} <= (pn + qn) * {b - a}").select("p", "pg", "q", "qg")
+    near = sides(pairs, bounded(marks.join(ids(pairs), "id", "left_semi").select("id", "n", "sketch")), "n", "sketch").where(f"{apart} * {a + b} <= (pn + qn) * {b - a}").select("p", "pg", "q", "qg")
     near = written(near, "near")
-    whole = written(_sets(texts.join(bounded(near.select(F.explode(F.array("p", "q")).alias("id")).distinct()), "id", "left_semi"), width), "sets")
+    whole = bounded(written(_sets(texts.join(ids(near), "id", "left_semi"), width), "sets"))
     both = f"size(array_intersect(pkeys, qkeys)) * {a + b} >= {a} * (size(pkeys) + size(qkeys))"
     return sides(near, whole, "keys").where(both).select("pg", "qg")
 
@@ -246,6 +259,7 @@ def similar_components(texts: DataFrame, marks: DataFrame, groups_of: DataFrame,
         new = reached.select(F.col("node").alias("grp"), "label").join(moved.select("grp"), "grp", "left_anti")
         return written(old.unionByName(new), "moved")
 
+    folded = bounded(written(marks.selectExpr("id", "n", *_FOLDED), "folded"))
     # one member a bucket, by two orders: a large group of near copies becomes one label here
     for seed in (1, 2):
         rows = now()
@@ -254,16 +268,20 @@ def similar_components(texts: DataFrame, marks: DataFrame, groups_of: DataFrame,
             F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place", F.col("hub.id").alias("q"), F.col("hub.label").alias("qg"),
             F.col("hub.n").alias("qn"), F.col("hub.place").alias("qplace"),
         )
-        # one hub for each text, the first by the same order; other pairs are left to the last comparison
-        star = star.where("pg <> qg").where(fits).groupBy("p").agg(F.min(F.struct(F.xxhash64("q", F.lit(seed)).alias("h"), "pg", "q", "qg")).alias("x")).select("p", "x.pg", "x.q", "x.qg")
+        star = star.where("pg <> qg").where(fits).select("p", "pg", "q", "qg").distinct()
+        for end in ("p", "q"):
+            star = star.join(folded.withColumnsRenamed({c: end + c for c in folded.columns if c != "id"}).withColumnRenamed("id", end), end)
+        # one hub for each text, the first by the same order that its sketch allows; other pairs are left to the last comparison
+        star = star.where(_near("p", "q")).groupBy("p").agg(F.min(F.struct(F.xxhash64("q", F.lit(seed)).alias("h"), "pg", "q", "qg")).alias("x")).select("p", "x.pg", "x.q", "x.qg")
         moved = contracted(_verified(star, marks, texts, width))
         released(marks.sparkSession)
-    rows = written(mixed(now()), "left")
+    rows = written(mixed(now()).join(folded.drop("n"), "id"), "left")
     # a bucket's most frequent label is never compared with itself: each pair has an end outside it
     main = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", "count").alias("main"))
-    one = rows.join(main, "key").where("label <> main").select("key", "main", F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place")
-    two = rows.select("key", F.col("id").alias("q"), F.col("label").alias("qg"), F.col("n").alias("qn"), F.col("place").alias("qplace"))
-    pairs = one.join(two, (one["key"] == two["key"]) & F.expr(f"pg <> qg AND (p < q OR qg = main) AND {fits}")).select("p", "pg", "q", "qg").distinct()
+    one = rows.join(main, "key").where("label <> main").select("key", "main", F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place", *[F.col(f"s{k}").alias(f"ps{k}") for k in range(4)])
+    two = rows.select("key", F.col("id").alias("q"), F.col("label").alias("qg"), F.col("n").alias("qn"), F.col("place").alias("qplace"), *[F.col(f"s{k}").alias(f"qs{k}") for k in range(4)])
+    close = _near("p", "q").replace("(pn + qn)", "(n + qn)")
+    pairs = one.join(two, (one["key"] == two["key"]) & F.expr(f"pg <> qg AND (p < q OR qg = main) AND {fits} AND {close}")).select("p", "pg", "q", "qg").distinct()
     moved = contracted(_verified(pairs, marks, texts, width))
     released(marks.sparkSession)
     return moved
