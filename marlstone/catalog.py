@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import answers as A
 from marlstone.operators import corpus as C
+from marlstone.shared import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -197,8 +198,6 @@ k AS (SELECT qid, id, rrf, orig_score, row_number() OVER (PARTITION BY qid ORDER
 def rrf_fusion(spark, d):
     from pyspark.sql import Window
 
-    from marlstone.shared import written
-
     a = written(_bm25(spark, d, 20).withColumnRenamed("doc_id", "id"), "ranked")
 
     back = a.where("rank <= 10").select("qid", "id", F.lit(1.0).alias("score"), F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rank").desc())).alias("rank"))
@@ -324,7 +323,7 @@ def _hits(spark, d) -> tuple[DataFrame, DataFrame]:
         "qid", "rank", F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("text").alias("parent_text"), F.col("score").alias("orig_score"),
         (1.0 / (60 + F.col("rank"))).alias("rrf_score"), F.lit(None).cast("string").alias("source_query"),
     )
-    return _items(spark, d).withColumnRenamed("text", "query"), hits
+    return _items(spark, d).withColumnRenamed("text", "query"), written(hits, "hits")  # read several times
 
 
 def _sql_fold(c: str) -> str:

@@ -103,6 +103,23 @@ def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sound_score(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def may_sound(a: str, b: str) -> tuple[Column, Column]:
+    """(sure, open) of two columns of Latin forms, whose skeletons are in ``a``_bones and ``b``_bones: whether ``sound_score``
+    is above 0 without a matching ratio, and whether only a ratio can tell, which their lengths and letters leave possible."""
+    x, y, p, q = F.col(a), F.col(b), F.col(f"{a}_bones"), F.col(f"{b}_bones")
+    near, far = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    short, long = F.when(F.length(p) <= F.length(q), p).otherwise(q), F.when(F.length(p) <= F.length(q), q).otherwise(p)
+    more = F.substring(long, F.length(short) + 1, F.length(long))
+    rooted = F.startswith(long, short) & (
+        (more == "") | ((F.length(short) >= 4) & (F.length(more) <= 3)) | (more.isin(*VOWELS) & (F.substring(x, 1, 1) == F.substring(y, 1, 1)))
+    )
+    in_range = (near >= 3) & (far <= 2 * near) & (short != "")
+    shared = lambda u, v: F.length(u) - F.length(F.call_function("translate", u, v, F.lit("")))  # noqa: E731  letters of u that v has
+    most = lambda u, v: 10 * F.least(shared(u, v), shared(v, u)) >= 4 * (F.length(u) + F.length(v))  # noqa: E731  no ratio of 0.8 with fewer
+    sure = (x == y) & (x != "") | in_range & rooted
+    return sure, ~sure & in_range & (near >= 5) & (most(x, y) | most(p, q))
+
+
 def romanize(c: Column) -> Column:
     """Latin form of a text, within the JVM."""
     table = F.array(*[F.lit(DEVANAGARI.get(BRAHMIC[0] + i, "")) for i in range(128)])

@@ -1,19 +1,18 @@
 """Reranking of hits, how far hits cover a question, and refusal; expansion of questions to other scripts.
 
-Pairs of a question and its few hits are scored by Arrow-batched functions where words are compared by sound, which
-expressions can't say; all else are expressions.
+Words are compared by sound in a blocked join over distinct words; only the last rule of that comparison, a matching
+ratio, is an Arrow-batched function, on distinct pairs of words. All else are expressions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from marlstone.functions import text as T
 from marlstone.functions import translit as X
 from marlstone.operators import answers as A
+from marlstone.shared import written
 
 #: Words of questions in the languages served that name nothing.
 STOP = A.CONTENT_STOP + (
@@ -28,27 +27,50 @@ _PROPER = r"\b[A-Z][A-Za-z]{2,}\b"
 
 def content(c: Column, guard: bool = False) -> Column:
     """Distinct tokens of two characters or more that are no stop words, of the reranker or the guard, by spelling or by sound."""
+    return F.filter(F.array_distinct(T.tokens(c)), lambda t: _is_content(t, guard))
+
+
+def _is_content(word: Column, guard: bool) -> Column:
     stop, sounds = (GUARD_STOP, GUARD_SOUNDS) if guard else (STOP, SOUNDS)
-    named = F.filter(T.tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(*stop) & ~X.fold(X.romanize(t)).isin(*sounds))
-    return F.array_distinct(named)
-
-
-@F.pandas_udf(IntegerType())
-def _heard(q: pd.Series, d: pd.Series, scripts: pd.Series) -> pd.Series:
-    """How many words of ``q`` sound like one of ``d``; where ``scripts`` (those of the text) are given, only words that
-    could be spelt in another of them are tried."""
-    out = []
-    for words, text, used in zip(q, d, scripts, strict=True):
-        every, used = used is None, set(used if used is not None else ())
-        forms = [r for r in map(X.romanized, text if text is not None else ()) if r]
-        n = 0
-        for w in words if words is not None else ():
-            at = ord(w[0])
-            own = at - at % 128 if X.BRAHMIC[0] <= at <= X.BRAHMIC[1] else 0x600 if 0x600 <= at <= 0x6FF else None
-            roman = X.romanized(w)
-            n += bool((every or (used and (w.isascii() or own not in used))) and len(roman) >= 3 and X.heard(roman, forms))
-        out.append(n)
-    return pd.Series(out, dtype="int32")
+    return (F.length(word) > 1) & ~word.isin(*stop) & ~X.fold(X.romanize(word)).isin(*sounds)
+
+
+def sounding(asks: DataFrame, texts: DataFrame, guard: bool = False) -> DataFrame:
+    """(key, word): the words of ``asks`` (key, word) that sound like a content word of the text under the same key.
+
+    ``texts`` (key, words) has each key once, with its distinct tokens. A blocked join: a word meets words of its text by
+    the first letters it may be spelt with, an equal key; rules on skeletons settle most of the pairs there, and each
+    distinct pair of Latin forms that only a matching ratio can settle is scored once, in whatever texts it stands. Stop words and Latin forms are worked out once for each
+    distinct word. Null or empty words sound like nothing.
+    """
+    asks = asks.where("word IS NOT NULL").distinct()
+    form = lambda name: [X.romanize(F.col("word")).alias(name), X.skeleton(X.romanize(F.col("word"))).alias(f"{name}_bones")]
+    forms = written(asks.select("word").distinct().select("word", *form("roman")).where("length(roman) >= 3"), "forms")
+    letters = F.array_distinct(F.array(F.substring("roman", 1, 1), F.substring("roman_bones", 1, 1)))
+    forms = forms.select("*", F.explode(F.filter(letters, lambda x: x != "")).alias("letter"))
+    said = texts.join(asks.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("word"))
+    vocabulary = said.select("word").distinct().where(_is_content(F.col("word"), guard)).select("word", *form("heard"))
+    vocabulary = written(vocabulary.where("heard <> ''").withColumn("letter", F.substring("heard", 1, 1)), "vocabulary")
+    said = said.join(vocabulary, "word").select("key", "heard", "heard_bones", "letter").distinct()
+    met = asks.join(forms, "word").join(said, ["key", "letter"]).select("key", "word", "roman", "heard", *[c.alias(n) for c, n in zip(X.may_sound("roman", "heard"), ("sure", "open"), strict=True)])
+    met = written(met.where("sure OR open").select("key", "word", "roman", "heard", "sure"), "met")
+    n = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes that stand for much work, kept in many tasks
+    alike = met.where("NOT sure").select("roman", "heard").repartition(n, "roman", "heard").distinct().where(X.fuzzy_score("roman", "heard") > 0)
+    return met.where("sure").select("key", "word").unionByName(met.where("NOT sure").join(alike, ["roman", "heard"], "left_semi").select("key", "word")).distinct()
+
+
+def _count_heard(pairs: DataFrame, guard: bool = False, **of: tuple[Column, str]) -> DataFrame:
+    """``pairs`` (_id, ...) with a column for each name in ``of``, (missing, words): how many of a row's ``missing`` words
+    sound like one of those in the column ``words``. All are looked up in one join."""
+    of_key = lambda i: (F.col("_id") * len(of) + i).alias("key")
+    asks = texts = None
+    for i, (missing, words) in enumerate(of.values()):
+        tried = pairs.where(F.size(words) > 0)
+        ask, text = tried.select(of_key(i), F.explode(missing).alias("word")), tried.select(of_key(i), F.col(words).alias("words"))
+        asks, texts = (ask, text) if asks is None else (asks.unionByName(ask), texts.unionByName(text))
+    n = sounding(asks, texts, guard).groupBy(F.expr(f"key div {len(of)}").alias("_id")).agg(
+        *[F.count_if(F.col("key") % len(of) == i).alias(name) for i, name in enumerate(of)])
+    return pairs.join(n, "_id", "left").withColumns({name: F.coalesce(name, F.lit(0)) for name in of})
 
 
 def skeleton_overlap(q: Column, s: Column) -> Column:
@@ -78,12 +100,18 @@ def first_hits(hits: DataFrame) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 
 
-def _with_words(pairs: DataFrame, guard: bool = False) -> DataFrame:
-    both = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("parent_text", F.lit("")))
-    return pairs.withColumns({
-        "_both": both, "_q": content(F.col("query"), guard), "_d": content(both, guard), "_s": content(F.col("source_query"), guard),
-        "_scripts": X.scripts(both),
-    })
+def _with_words(queries: DataFrame, hits: DataFrame, how: str, guard: bool = False) -> DataFrame:
+    """Hits beside their questions: _id, the question's content words _q and scripts _qs, the distinct tokens _t of text and
+    parent (cut once where they are the same), the source question's content words _s, the scripts used in the text.
+
+    A token that equals a content word is one itself, so shares of words met need no stop list on the text's side.
+    """
+    q = queries.select("qid", "query", content(F.col("query"), guard).alias("_q"), X.scripts(F.col("query")).alias("_qs"))
+    text, parent = F.coalesce("text", F.lit("")), F.coalesce("parent_text", F.lit(""))
+    both = F.when(text == parent, text).otherwise(F.concat(text, F.lit(" "), parent))
+    p = q.join(hits, "qid", how).withColumns({"_both": both, "_t": F.array_distinct(T.tokens(both)), "_scripts": X.scripts(both)})
+    of = F.when(F.col("source_query").isNull(), F.array().cast("array<string>")).otherwise(content(F.col("source_query"), guard))
+    return written(p.withColumns({"_s": of, "_id": F.monotonically_increasing_id()}), "pairs")
 
 
 def rerank(queries: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
@@ -94,12 +122,15 @@ def rerank(queries: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
     1.5, 0.15 of the fused score, 1.25 of the share of capitalised words met, and 1 for the same words as the source
     question or else 1.6 of their overlap by skeleton. Ties stand as they were ranked.
     """
-    p = _with_words(first_hits(hits).join(queries.select("qid", "query"), "qid"))
-    mixed = X.is_mixed_script(F.col("query")) | (F.size(F.array_except("_scripts", X.scripts(F.col("query")))) > 0)
-    missing = F.when(mixed, F.array_except("_q", "_d"))
-    p = p.withColumn("_more", _heard(missing, F.when(mixed, F.col("_d")), F.col("_scripts")))
+    p = _with_words(queries, first_hits(hits), "inner")
+    mixed = X.is_mixed_script(F.col("query")) | (F.size(F.array_except("_scripts", "_qs")) > 0)
+    # only words that could be spelt in another of the text's scripts are tried
+    own = lambda w: F.get(X.scripts(F.substring(w, 1, 1)), F.lit(0))
+    other = lambda w: w.rlike(r"^\p{ASCII}*$") | own(w).isNull() | ~F.array_contains("_scripts", own(w))
+    missing = F.when(mixed & (F.size("_scripts") > 0), F.filter(F.array_except("_q", "_t"), other))
+    p = _count_heard(p, _more=(missing, "_t"))
     n = F.size("_q")
-    met = F.when((n > 0) & (F.size("_d") > 0), (F.size(F.array_intersect("_q", "_d")) + F.col("_more")) / n).otherwise(0.0)
+    met = F.when(n > 0, (F.size(F.array_intersect("_q", "_t")) + F.col("_more")) / n).otherwise(0.0)
     orig = F.coalesce(F.col("orig_score").cast("double"), F.lit(0.0))
     proper = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(_PROPER), F.lit(0)), F.lower))
     p = p.withColumn("_p", proper).withColumn("_low", F.lower("_both"))
@@ -151,15 +182,13 @@ def cover(queries: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
     coverage: largest share of the question's content words that a hit's text, parent or source question has, by sound
     too; related: the same against the source question alone; same: whether a source question has the same words.
     """
-    p = _with_words(queries.select("qid", "query").join(hits.where(F.col("rank") <= k), "qid", "left"), guard=True)
-    p = p.withColumn("_all", F.array_union("_d", "_s"))
-    any_ = F.lit(None).cast("array<int>")
-    p = p.withColumn("_m", _heard(F.array_except("_q", "_all"), F.col("_all"), any_))
-    p = p.withColumn("_r", _heard(F.array_except("_q", "_s"), F.col("_s"), any_))
+    p = _with_words(queries, hits.where(F.col("rank") <= k), "left", guard=True)
+    p = p.withColumns({"_all": F.array_union("_t", T.tokens(F.col("source_query"))), "_st": F.array_distinct(T.tokens(F.col("source_query")))})
+    p = _count_heard(p, guard=True, _m=(F.array_except("_q", "_all"), "_all"), _r=(F.array_except("_q", "_st"), "_st"))
     n = F.size("_q")
     share = lambda other, more: F.when(n > 0, (F.size(F.array_intersect("_q", other)) + F.col(more)) / n).otherwise(0.0)
     return p.groupBy("qid").agg(
-        F.max(n).alias("n_words"), F.max(share("_all", "_m")).alias("coverage"), F.max(share("_s", "_r")).alias("related"),
+        F.max(n).alias("n_words"), F.max(share("_all", "_m")).alias("coverage"), F.max(share("_st", "_r")).alias("related"),
         F.max((n > 0) & (F.array_sort("_q") == F.array_sort("_s"))).alias("same"),
     )
 

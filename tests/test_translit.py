@@ -74,3 +74,29 @@ def test_expand(spark):
     got = {(r.qid, r.term) for r in R.expand(q, R.roman_vocabulary(terms)).collect()}
     assert (1, "ગોવા") in got and (3, "ગોવા") in got and not {t for n, t in got if n in (2, 4)} and (1, "ગોલા") not in got and (3, "गोवा") not in got
     assert len(R.expand(q, R.roman_vocabulary(terms), 1).where("qid = 1").collect()) == 1
+
+
+def test_rules_without_a_ratio(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marlstone.functions import translit as X
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeikpstvdhrnm") for _ in range(rng.randint(0, 9))) for _ in range(120)] + ["goa", "gova", "kathmandu", "katmandoo", "mumbai", "mumbay", "delhi", "dehli", "", "a"]
+    words += [w[:-1] for w in words[:60]] + [w + "a" for w in words[:60]]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words[::2]], "a string, b string")
+    pairs = pairs.withColumns({"a_bones": X.skeleton(F.col("a")), "b_bones": X.skeleton(F.col("b"))})
+    sure, open_ = X.may_sound("a", "b")
+    for r in pairs.select("a", "b", sure.alias("sure"), open_.alias("open")).collect():
+        score = X.sound_score(r.a, r.b)
+        assert (score > 0) == (r.sure or (r.open and score > 0)) and not (r.sure and r.open)
+
+
+def test_words_heard_in_texts(spark):
+    from marlstone.operators.rerank import sounding
+
+    asks = spark.createDataFrame([(1, "goa"), (1, "delhi"), (2, "goa"), (2, None), (3, "goa"), (4, "kathmandu"), (5, "is")], "key long, word string")
+    texts = spark.createDataFrame([(1, ["गोवा", "है"]), (2, ["paris"]), (4, ["काठमाण्डू", "katmandu"]), (5, ["is", "iss"]), (6, ["goa"]), (7, None)], "key long, words array<string>")
+    assert sorted(map(tuple, sounding(asks, texts).collect())) == [(1, "goa"), (4, "kathmandu")]
