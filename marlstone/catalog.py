@@ -173,9 +173,19 @@ _COS = """WITH s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(v.
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) """
 
 
+def _dense_queries(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+def _vector_index(spark, d):
+    from marlstone.operators.dense import VectorIndex
+    from marlstone.shared import fresh_path
+
+    return VectorIndex.build(table(spark, d, "embeddings"), fresh_path(spark, "vectors"))
+
+
 def _vectors(spark, d, k, keep=None):
-    v = table(spark, d, "embeddings")
-    return C.dense_top_k(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), k, keep)
+    return C.dense_top_k(table(spark, d, "embeddings"), _dense_queries(spark, d), k, keep)
 
 
 @query(_COS.format("") + "SELECT * FROM k WHERE rank <= 10")
@@ -188,6 +198,19 @@ def dense_topk_label_filtered(spark, d):
     return _vectors(spark, d, 10, F.col("label") == 1)
 
 
+@query(_COS.format("") + "SELECT * FROM k WHERE rank <= 10")
+def dense_index_all_lists(spark, d):
+    """The stored index of vectors with every list probed: what it stores is whole, and its scores are exact."""
+    ix = _vector_index(spark, d)
+    return ix.search(_dense_queries(spark, d), 10, len(ix.centroids))
+
+
+@query()
+def dense_index_topk(spark, d):
+    """The same by the lists nearest to each query; tests hold its recall against the exact way."""
+    return _vector_index(spark, d).search(_dense_queries(spark, d), 10)
+
+
 @query(
     _BM25 + """a AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20),
 b AS (SELECT qid, doc_id, 1.0 AS score, row_number() OVER (PARTITION BY qid ORDER BY rank DESC) AS rank FROM a WHERE rank <= 10),
@@ -437,36 +460,6 @@ def bm25_search(spark, d):
     return _index(spark, d).search(_items(spark, d).withColumn("languages", want), 5)
 
 
-#: Questions, what their asker forced and what was heard, and the languages they resolve to and are searched in.
-ROUTES = (
-    ("Where is Goa located?", None, None, "en", "en", False), ("गोवा कहाँ है?", None, None, "hi", "hi,mr,ne,sa", False), ("गोवा कुठे आहे?", None, None, "mr", "hi,mr,ne,sa", False),
-    ("गोवा कुत्र अस्ति?", None, None, "sa", "hi,mr,ne,sa", False), ("গোয়া কোথায়?", None, None, "bn", "as,bn", False), ("গোৱা ক'ত আছে?", None, None, "as", "as,bn", False),
-    ("ગોવા ક્યાં છે?", None, None, "gu", "gu", False), ("ಗೋವಾ ಎಲ್ಲಿದೆ?", None, None, "kn", "kn", False), ("ഗോവ എവിടെയാണ്?", None, None, "ml", "ml", False),
-    ("ଗୋଆ କେଉଁଠି ଅଛି?", None, None, "or", "or", False), ("ਗੋਆ ਕਿੱਥੇ ਹੈ?", None, None, "pa", "pa", False), ("கோவா எங்கே உள்ளது?", None, None, "ta", "ta", False),
-    ("గోవా ఎక్కడ ఉంది?", None, None, "te", "te", False), ("گوا کہاں ہے؟", None, None, "ur", "ur", False), ("गोवा कहाँ है?", "mr", None, "mr", "mr", False),
-    ("गोवा कहाँ है?", "gu", None, "gu,hi", "gu,hi,mr,ne,sa", False), ("ગોવા ક્યાં છે?", "gu", None, "gu", "gu", False), ("गोवा", None, "mar", "mr", "mr", False),
-    ("गोवा", None, "ne", "ne", "ne", False), ("गोवा", None, None, "hi,mr,ne,sa", "hi,mr,ne,sa", False), ("Where is Goa located?", None, "ta", "en,ta", "en,ta", False),
-    ("एन्जाइना कहाँ फैलिन्छ ?", None, "nep", "hi,ne", "ne", False), ("गोवा क्यां छे?", None, "hi", "gu,hi,mr,ne,sa", "gu,hi,mr,ne,sa", False),
-    ("गोवा कहाँ है?", None, "hi", "hi", "hi", False), ("क्यान्सर भएका वा भएका प्रसिद्ध व्यक्तिहरू", None, None, "hi,mr,ne,sa", "hi,mr,ne,sa", False),
-    ("Goa kya chhe", None, None, "en", "en", True), ("goa kahan hai", None, None, "en", "en", True), ("goa kuthe ahe", None, None, "en,mr", "en,mr", True),
-    ("goa engey ulladhu enna", None, None, "en", "en", True), ("What is the weather in Goa today?", None, None, "en", "en", False), ("ݐݑݒ", None, None, "ur", "ur", False),
-    ("", None, None, "", "", False), ("123 ?", None, "hin", "hi", "hi", False),
-)
-_quoted = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-
-
-@query(
-    "SELECT qid, languages, search_languages, romanized FROM (VALUES "
-    + ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)}, {_quoted(r)})" for i, (_, _, _, a, b, r) in enumerate(ROUTES)) + ") t(qid, languages, search_languages, romanized)"
-)
-def language_routing(spark, d):
-    from marlstone.operators.routing import route
-
-    rows = [(i, text, forced, hint) for i, (text, forced, hint, *_) in enumerate(ROUTES)]
-    out = route(spark.createDataFrame(rows, "qid int, text string, forced string, hint string"))
-    return out.select("qid", F.array_join("languages", ",").alias("languages"), F.array_join("search_languages", ",").alias("search_languages"), "romanized")
-
-
 @query(
     f"""WITH x AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
 y AS (SELECT a.conv_id, a.turn, a.text AS answer, x.text AS context FROM conversations a JOIN x ON x.conv_id = a.conv_id AND a.turn = x.turn + 1 WHERE a.role = 'assistant'),

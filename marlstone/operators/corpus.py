@@ -12,6 +12,7 @@ from pyspark.sql import types as S
 
 from marlstone.functions import text as T
 from marlstone.functions import translit as X
+from marlstone.operators.dense import dense_top_k
 from marlstone.operators.rerank import expand, roman_vocabulary
 from marlstone.shared import bounded, written
 
@@ -149,51 +150,6 @@ def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, block: int = 1000) -> DataFrame:
-    """(qid, vec_id, score, rank) by cosine of ``vectors`` (vec_id, embedding) to ``queries`` (qid, embedding).
-
-    The stated queries are held against all vectors; the metadata predicate ``keep`` comes first. Queries go in blocks
-    of ``block``, whose size is the bound of what is sent to the tasks: each task multiplies matrices, a batch of vectors
-    by a block of queries, and hands on its own ``k`` best of each query only. Zero vectors have no cosine.
-    """
-    v = vectors if keep is None else vectors.where(keep)
-    v = v.select(F.col("vec_id").cast("long"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    found, rows = None, queries.select("qid", "embedding").where("embedding IS NOT NULL").toLocalIterator()
-    none = vectors.sparkSession.createDataFrame([], "qid long, vec_id long, score double")
-
-    def matched(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            top = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                s = np.round(q @ (x[norm > 0] / norm[norm > 0, None]).T, 6)
-                vec = np.broadcast_to(b["vec_id"].to_numpy()[norm > 0], s.shape)
-                s, vec = np.hstack((top[0], s)), np.hstack((top[1], vec))
-                order = np.lexsort((vec, -s), axis=1)[:, :k]
-                top = np.take_along_axis(s, order, 1), np.take_along_axis(vec, order, 1)
-            n = top[0].shape[1]
-            yield pd.DataFrame({"qid": np.repeat(ids, n), "vec_id": top[1].ravel(), "score": top[0].ravel()})
-
-        return v.mapInPandas(best, "qid long, vec_id long, score double")
-
-    ids, held = [], []
-    for r in rows:
-        e = np.array(r["embedding"], np.float64)
-        if np.linalg.norm(e) > 0:
-            ids.append(r["qid"])
-            held.append(e / np.linalg.norm(e))
-        if len(ids) == block:
-            found = matched(np.array(ids), np.stack(held)) if found is None else found.unionByName(matched(np.array(ids), np.stack(held)))
-            ids, held = [], []
-    if ids:
-        found = matched(np.array(ids), np.stack(held)) if found is None else found.unionByName(matched(np.array(ids), np.stack(held)))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return (none if found is None else found).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-
-
 def embed(rows: DataFrame, encode: Callable[[list[str]], np.ndarray], column: str = "text", out: str = "embedding", batch: int = 256) -> DataFrame:
     """``rows`` with ``out``, the vectors that the hook ``encode`` gives for the texts in ``column``, ``batch`` at a time.
 

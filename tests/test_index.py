@@ -97,6 +97,35 @@ def test_dense_blocks(spark):
     assert C.dense_top_k(v, q.limit(0), 4).count() == 0
 
 
+def test_dense_blocks_meet_by_groups(spark, sf, monkeypatch):
+    from marlstone.operators import dense
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    few = sorted(map(tuple, C.dense_top_k(v, q, 5).collect()))
+    monkeypatch.setattr(dense, "bounded", lambda df: df)
+    many = C.dense_top_k(v, q, 5, block=2)
+    assert sorted(map(tuple, many.collect())) == few
+    for plan in (many, C.dense_top_k(v, q, 5, block=1000)):
+        assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan parquet [vec_id") == 1
+
+
+def test_vector_index(spark, sf):
+    from marlstone.operators.dense import VectorIndex
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    odd = spark.createDataFrame([(10**9, [0.0] * 64, 1), (10**9 + 1, None, 1), (None, [1.0] * 64, 1)], v.schema)
+    ix = VectorIndex.build(v.unionByName(odd), fresh_path(spark, "vectors"))
+    assert sum(len(r.ids) for r in ix.blocks.collect()) == v.count()
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    want = {(r.qid, r.vec_id) for r in C.dense_top_k(v, q, 10).collect()}
+    got = {(r.qid, r.vec_id) for r in ix.search(q, 10).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+    assert {(r.qid, r.vec_id) for r in ix.search(q, 10, len(ix.centroids)).collect()} == want
+    none = VectorIndex.build(v.limit(0), fresh_path(spark, "vectors"))
+    assert none.search(q, 10).count() == 0 and ix.search(q.limit(0), 10).count() == 0
+
+
 def test_lines_and_limits(spark, tmp_path):
     from marlstone.sources import store
 

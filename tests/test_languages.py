@@ -48,3 +48,28 @@ def test_same_language(spark):
     h = spark.createDataFrame([(1, 1, "hi"), (1, 2, "bn"), (2, 1, "bn")], "qid int, rank int, lang string")
     got = {r.lang: tuple(r)[1:] for r in L.same_language(q, h).collect()}
     assert got == {"hi": (2, 2, 1), "bn": (1, 0, 0), None: (3, 2, 1)}
+
+
+#: Questions, what their asker forced and what was heard, and the languages they resolve to and are searched in.
+ROUTES = (
+    ("Where is Goa located?", None, None, "en", "en", False), ("गोवा कहाँ है?", None, None, "hi", "hi,mr,ne,sa", False), ("गोवा कुठे आहे?", None, None, "mr", "hi,mr,ne,sa", False),
+    ("गोवा कुत्र अस्ति?", None, None, "sa", "hi,mr,ne,sa", False), ("গোয়া কোথায়?", None, None, "bn", "as,bn", False), ("গোৱা ক'ত আছে?", None, None, "as", "as,bn", False),
+    ("ગોવા ક્યાં છે?", None, None, "gu", "gu", False), ("ಗೋವಾ ಎಲ್ಲಿದೆ?", None, None, "kn", "kn", False), ("ഗോവ എവിടെയാണ്?", None, None, "ml", "ml", False),
+    ("ଗୋଆ କେଉଁଠି ଅଛି?", None, None, "or", "or", False), ("ਗੋਆ ਕਿੱਥੇ ਹੈ?", None, None, "pa", "pa", False), ("கோவா எங்கே உள்ளது?", None, None, "ta", "ta", False),
+    ("గోవా ఎక్కడ ఉంది?", None, None, "te", "te", False), ("گوا کہاں ہے؟", None, None, "ur", "ur", False), ("गोवा कहाँ है?", "mr", None, "mr", "mr", False),
+    ("गोवा कहाँ है?", "gu", None, "gu,hi", "gu,hi,mr,ne,sa", False), ("ગોવા ક્યાં છે?", "gu", None, "gu", "gu", False), ("गोवा", None, "mar", "mr", "mr", False),
+    ("गोवा", None, "ne", "ne", "ne", False), ("गोवा", None, None, "hi,mr,ne,sa", "hi,mr,ne,sa", False), ("Where is Goa located?", None, "ta", "en,ta", "en,ta", False),
+    ("एन्जाइना कहाँ फैलिन्छ ?", None, "nep", "hi,ne", "ne", False), ("गोवा क्यां छे?", None, "hi", "gu,hi,mr,ne,sa", "gu,hi,mr,ne,sa", False),
+    ("गोवा कहाँ है?", None, "hi", "hi", "hi", False), ("क्यान्सर भएका वा भएका प्रसिद्ध व्यक्तिहरू", None, None, "hi,mr,ne,sa", "hi,mr,ne,sa", False),
+    ("Goa kya chhe", None, None, "en", "en", True), ("goa kahan hai", None, None, "en", "en", True), ("goa kuthe ahe", None, None, "en,mr", "en,mr", True),
+    ("goa engey ulladhu enna", None, None, "en", "en", True), ("What is the weather in Goa today?", None, None, "en", "en", False), ("ݐݑݒ", None, None, "ur", "ur", False),
+    ("", None, None, "", "", False), ("123 ?", None, "hin", "hi", "hi", False),
+)
+
+
+def test_routes(spark):
+    from marlstone.operators.routing import route
+
+    rows = [(i, text, forced, hint) for i, (text, forced, hint, *_) in enumerate(ROUTES)]
+    out = route(spark.createDataFrame(rows, "qid int, text string, forced string, hint string")).orderBy("qid").collect()
+    assert [(",".join(r.languages), ",".join(r.search_languages), r.romanized) for r in out] == [r[3:] for r in ROUTES]
