@@ -161,10 +161,8 @@ def bm25_topk(spark, d):
 FROM s JOIN documents USING (doc_id) WHERE score > 0 AND lang = 'fr') SELECT * FROM k WHERE rank <= 5"""
 )
 def bm25_topk_lang_filtered(spark, d):
-    """Statistics over the whole corpus; the language filter comes after the scores."""
-    docs = table(spark, d, "documents")
-    s = _index(spark, d).scores(_items(spark, d)).join(docs.where("lang = 'fr'").select("doc_id"), "doc_id", "left_semi")
-    return C.top_k(s, 5)
+    """Statistics over the whole corpus; postings of other languages are left out before scores are summed."""
+    return C.top_k(_index(spark, d).scores(_items(spark, d).withColumn("only", F.array(F.lit("fr")))), 5)
 
 
 _COS = """WITH s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
@@ -417,6 +415,22 @@ def compact_index_chunks(spark, d):
     return R.compact_chunks(R.clean(R.normalize(texts, F.col("lang")))).select("query_id", "chunk_id", "chunk_type", "text")
 
 
+@query(
+    f"WITH ch AS (SELECT chunk_id AS doc_id, chunk_type, text FROM ({ORACLE['compact_index_chunks']})), " + _BM25.replace("FROM documents", "FROM ch").removeprefix("WITH ")
+    + """k AS (SELECT s.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s JOIN ch USING (doc_id)
+  WHERE score > 0 AND list_contains(string_split(chunk_type, '+'), 'sliding')) SELECT qid, doc_id AS chunk_id, score AS orig_score, rank FROM k WHERE rank <= 5"""
+)
+def retrieve_of_kind(spark, d):
+    """Benchmark items over the compact chunks: the best chunks of one kind, which several kinds at once may have."""
+    from marlstone.operators.questions import retrieve
+    from marlstone.shared import fresh_path
+
+    docs = written(compact_index_chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), "chunks")
+    ix = C.Index.build(docs, fresh_path(spark, "chunk-index"), buckets=8)
+    asked = _items(spark, d).withColumn("languages", F.lit(None).cast("array<string>"))
+    return retrieve(ix, docs, asked, 5, chunk_type="sliding").select("qid", "chunk_id", "orig_score", "rank")
+
+
 _PROFILE = r"(' ' || trim(regexp_replace(lower({0}), '\s+', ' ', 'g')) || ' ')"
 _GRAMS = "SELECT {0}, o, substr(p, i, o) AS gram, count(*) AS n FROM (SELECT {0}, p, o, unnest(range(1, length(p) - o + 2)) AS i FROM {1}, (VALUES (1), (2), (3)) v(o) WHERE length(p) >= o) GROUP BY ALL"
 

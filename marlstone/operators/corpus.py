@@ -42,25 +42,29 @@ def child_chunks(docs: DataFrame, parent_id: Column, text: str = "text") -> Data
 class Index:
     """A stored inverted index: tables under one folder, built once and read by every search.
 
-    postings (bucket, term, doc_id, tf, dl), in folders by hash of the term, each sorted by term; terms (bucket, term,
-    df, idf); corpus, one row (n_docs, avgdl); docs (doc_id, ord, language, source_key); languages (language, script);
-    roman, the Latin spellings of words of other scripts. A search reads the buckets of its terms and no text.
+    postings (bucket, term, doc_id, tf, dl, language, kinds), in folders by hash of the term, each sorted by term; terms
+    (bucket, term, df, idf); corpus, one row (n_docs, avgdl, ...); sources (doc_id, language, kinds, source_key) of the
+    documents that came with a question; languages (language, script); roman, the Latin spellings of words of other
+    scripts. ``kinds`` has a bit for each kind of chunk, in the order of corpus.kinds. A search reads the buckets of its
+    terms; languages and kinds are tested beside each posting, so no table of documents and no text is read.
     """
 
-    TABLES = ("postings", "terms", "corpus", "docs", "languages", "roman")
+    TABLES = ("postings", "terms", "corpus", "sources", "languages", "roman")
 
     def __init__(self, spark: SparkSession, folder: str, k1: float = 1.5, b: float = 0.75):
         self.spark, self.folder, self.k1, self.b = spark, folder, k1, b
         for name in self.TABLES[1:]:
             setattr(self, name, spark.read.parquet(f"{folder}/{name}"))
-        kind = self.docs.schema["doc_id"].dataType.simpleString()  # folders of no rows have no schema
-        self.postings = spark.read.schema(f"term string, doc_id {kind}, tf int, dl int, bucket int").parquet(f"{folder}/postings")
-        self.buckets = self.corpus.first()["buckets"]  # one row
+        kind = self.sources.schema["doc_id"].dataType.simpleString()  # folders of no rows have no schema
+        self.postings = spark.read.schema(f"term string, doc_id {kind}, tf int, dl int, language string, kinds long, bucket int").parquet(f"{folder}/postings")
+        one = self.corpus.first()  # one row
+        self.buckets, self.kinds = one["buckets"], one["kinds"]
 
     @classmethod
     def build(cls, docs: DataFrame, folder: str, buckets: int = 64, epsilon: float = 0.25, **how) -> Index:
-        """The index of ``docs``: doc_id, text; and, where there, search_text (indexed in place of text), language and
-        source_query, the question a passage came with.
+        """The index of ``docs``: doc_id, text; and, where there, search_text (indexed in place of text), language,
+        chunk_type, a chunk's kind or several joined by a plus sign (63 kinds at most in all), and source_query, the
+        question a passage came with.
 
         Negative idf values are replaced by ``epsilon`` times the mean over all terms before replacement. Documents are
         in order of doc_id. Texts are cut into tokens once.
@@ -68,15 +72,24 @@ class Index:
         spark, have = docs.sparkSession, docs.columns
         text = F.coalesce(F.nullif(F.col("search_text"), F.lit("")), F.col("text")) if "search_text" in have else F.col("text")
         part = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        toks = docs.select("doc_id", T.tokens(text).alias("toks")).select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-        tf = toks.where("term IS NOT NULL").groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        language = F.lower(F.trim(F.coalesce("language", F.lit("")))) if "language" in have else F.lit("")
+        own = F.split(F.coalesce("chunk_type", F.lit("")), r"\+") if "chunk_type" in have else F.array().cast("array<string>")
+        kinds = sorted(r[0] for r in docs.select(F.explode(own).alias("kind")).where("kind <> ''").distinct().limit(64).collect())
+        if len(kinds) > 63:
+            raise ValueError("more than 63 kinds of chunks")
+        bits = F.lit(0).cast("long")
+        for i, kind in enumerate(kinds):
+            bits = bits + F.when(F.array_contains(own, kind), F.lit(1 << i)).otherwise(0)
+        meta = [language.alias("language"), bits.alias("kinds")]
+        toks = docs.select("doc_id", *meta, T.tokens(text).alias("toks")).select("doc_id", "language", "kinds", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+        tf = toks.where("term IS NOT NULL").groupBy("doc_id", "dl", "language", "kinds", "term").agg(F.count("*").cast("int").alias("tf"))
 
         def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
             w = df.write.mode("overwrite")
             (w.partitionBy(by) if by else w).parquet(f"{folder}/{name}")
             return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-        rows = tf.select("term", "doc_id", "tf", "dl", part).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")  # a hot term's bucket is split
+        rows = tf.select("term", "doc_id", "tf", "dl", "language", "kinds", part).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")  # a hot term's bucket is split
         postings = save(rows, "postings", "bucket")
         n_docs = docs.count()
         df = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
@@ -85,10 +98,9 @@ class Index:
         total = raw.agg(F.avg("raw").alias("mean"), F.sum("n").alias("n")).first()  # two numbers
         idf = F.when(F.col("raw") < 0, F.lit(epsilon * (total["mean"] or 0.0))).otherwise(F.col("raw"))
         terms = save(raw.select("bucket", "term", "df", idf.alias("idf")), "terms")
-        save(spark.createDataFrame([(n_docs, (total["n"] or 0) / n_docs if n_docs else 0.0, buckets)], "n_docs long, avgdl double, buckets int"), "corpus")
-        language = F.lower(F.trim(F.coalesce("language", F.lit("")))) if "language" in have else F.lit("")
+        save(spark.createDataFrame([(n_docs, (total["n"] or 0) / n_docs if n_docs else 0.0, buckets, kinds)], "n_docs long, avgdl double, buckets int, kinds array<string>"), "corpus")
         asked = T.tokens(F.col("source_query")) if "source_query" in have else F.array().cast("array<string>")
-        save(docs.select("doc_id", language.alias("language"), F.when(F.size(asked) > 0, tokens_key(asked)).alias("source_key")), "docs")
+        save(docs.select("doc_id", *meta, F.when(F.size(asked) > 0, tokens_key(asked)).alias("source_key")).where("source_key IS NOT NULL"), "sources")
         script = F.get(X.scripts(F.regexp_extract(text, _FIRST_INDIC, 1)), F.lit(0))
         found = docs.select("doc_id", language.alias("language"), script.alias("script")).where("language <> ''").groupBy("language")
         save(found.agg(F.min_by("script", F.when(F.col("script").isNotNull(), F.col("doc_id"))).alias("script")), "languages")
@@ -105,37 +117,53 @@ class Index:
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
         return own.groupBy("qid", "term").agg(F.count("*").alias("qtf")).select("qid", bucket, "term", "qtf")
 
-    def scores(self, queries: DataFrame, expanded: bool = False) -> DataFrame:
-        """(qid, doc_id, score) of ``queries`` (qid, text; with ``expanded`` also languages, an array)."""
+    def _of_kind(self, kind: str | None) -> Column:
+        if kind is None:
+            return F.lit(True)
+        return F.col("kinds").bitwiseAND(F.lit(1 << self.kinds.index(kind))) != 0 if kind in self.kinds else F.lit(False)
+
+    def scores(self, queries: DataFrame, expanded: bool = False, kind: str | None = None) -> DataFrame:
+        """(qid, doc_id, score) of ``queries`` (qid, text; with ``expanded`` also languages, an array).
+
+        Postings of other languages than those in a query's ``only`` (an array, if there; null: any) and of chunks that
+        aren't of ``kind`` are left out before scores are summed; statistics are of all documents.
+        """
         q = bounded(written(self._terms(queries, expanded), "query-terms"))
         q = bounded(self.terms.join(q, ["bucket", "term"]).select("qid", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("w")))
         avgdl = self.corpus.first()["avgdl"]
-        hit = self.postings.join(q, ["bucket", "term"])
+        allowed = self._of_kind(kind)
+        if "only" in queries.columns:
+            q = bounded(q.join(queries.select("qid", "only"), "qid"))
+            allowed = allowed & _spoken()
+        hit = self.postings.join(q, ["bucket", "term"]).where(allowed)
         part = F.col("w") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / avgdl))
         return hit.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
-    def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 20, kind: str | None = None) -> DataFrame:
         """(qid, doc_id, score, rank, exact): the ``k`` best of each query (qid, text, languages).
 
         Statistics are of the whole corpus. Only documents in a wanted language count (null or empty: any), or all where
         the corpus has none of the wanted. Documents whose source question has the query's very tokens come first, in
-        order, with 1 at least; the others need a score above zero. Queries without tokens have no hits.
+        order, with 1 at least; the others need a score above zero. Queries without tokens have no hits. With ``kind`` only
+        chunks of that kind count, before the cut, so ``k`` of them are found if there are as many.
         """
         q = queries.select("qid", "text", F.transform(F.coalesce("languages", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))).alias("languages"))
         q = q.withColumn("languages", F.array_distinct(F.filter("languages", lambda x: x != "")))
         spoken = F.broadcast(self.languages.agg(F.collect_set("language").alias("spoken")))  # one row
         q = q.crossJoin(spoken).select("qid", "text", F.when(F.arrays_overlap("languages", "spoken"), F.col("languages")).alias("only"), "languages")
         key = q.select("qid", "only", tokens_key(T.tokens(F.col("text"))).alias("source_key")).where(F.size(T.tokens(F.col("text"))) > 0)
-        allowed = F.col("only").isNull() | F.array_contains("only", F.col("language"))
-        exact = self.docs.where("source_key IS NOT NULL").join(bounded(key), "source_key").where(allowed).select("qid", "doc_id", F.lit(True).alias("exact"))
-        s = self.scores(q, expanded=True).join(bounded(q.select("qid", "only")), "qid").join(self.docs.select("doc_id", "language"), "doc_id").where(allowed)
-        both = s.select("qid", "doc_id", "score").join(exact, ["qid", "doc_id"], "full").withColumn("exact", F.coalesce("exact", F.lit(False)))
+        exact = self.sources.where(self._of_kind(kind)).join(bounded(key), "source_key").where(_spoken()).select("qid", "doc_id", F.lit(True).alias("exact"))
+        both = self.scores(q, expanded=True, kind=kind).join(exact, ["qid", "doc_id"], "full").withColumn("exact", F.coalesce("exact", F.lit(False)))
         score = F.round(F.when(F.col("exact"), F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(1.0))).otherwise(F.col("score")), 6)
         w = Window.partitionBy("qid").orderBy(F.col("exact").desc(), F.when(F.col("exact"), 0.0).otherwise(F.col("score")).desc(), "doc_id")
         ranked = both.withColumn("score", score).where("exact OR score > 0").withColumn("rank", F.row_number().over(w).cast("long"))
         return ranked.where(F.col("rank") <= k).select("qid", "doc_id", "score", "rank", "exact")
 
 
+def _spoken() -> Column:
+    return F.col("only").isNull() | F.array_contains("only", F.col("language"))
+
+
 def tokens_key(toks: Column) -> Column:
     return F.sha2(F.array_join(toks, "\n"), 256)
 

@@ -127,7 +127,7 @@ class VectorIndex:
         centers = []
         if not some.isEmpty():
             centers = KMeans(k=lists, distanceMeasure="cosine", maxIter=10, seed=seed).fit(some).clusterCenters() if lists > 1 else [some.first()["features"].toArray()]
-        put = cls._placed(v, np.array(centers, np.float64).reshape(len(centers), -1), 1)
+        put = cls._placed(v, np.array(centers, np.float64), 1)
         blocks(put.hint("rebalance", "g").sortWithinPartitions("g"), BLOCK).write.partitionBy("g").mode("overwrite").parquet(f"{folder}/lists")
         stored = spark.read.schema("ids array<bigint>, m binary, g int").parquet(f"{folder}/lists")
         probes = cls._probes(v, stored, np.array(centers, np.float64), seed) if centers else 1

@@ -20,13 +20,17 @@ ROMANIZED_ANSWER = (
 )
 
 
-def found(index: Index, queries: DataFrame, docs: DataFrame, dense: DataFrame | None = None, k: int = CANDIDATES) -> DataFrame:
+def found(index: Index, queries: DataFrame, docs: DataFrame, dense: DataFrame | None = None, k: int = CANDIDATES, chunk_type: str | None = None) -> DataFrame:
     """Hits of ``queries`` (qid, text, languages): qid, rank, chunk_id, text, parent_text, source_query, orig_score, rrf_score.
 
     ``dense`` (qid, id, score, rank), the hits of an encoder outside, is fused with the index's own by reciprocal ranks;
-    without it the index's own stand as they are. ``docs`` has doc_id, text and, where there, parent_text and source_query.
+    without it the index's own stand as they are. ``docs`` has doc_id, text and, where there, parent_text, source_query and
+    chunk_type. With ``chunk_type`` only chunks of that kind are hits, of either side, before anything is cut.
     """
-    own = index.search(queries, k).select("qid", F.col("doc_id").cast("string").alias("id"), "score", "rank")
+    own = index.search(queries, k, chunk_type).select("qid", F.col("doc_id").cast("string").alias("id"), "score", "rank")
+    if dense is not None and chunk_type is not None:
+        of_kind = of_type(docs, chunk_type).select(F.col("doc_id").cast("string").alias("id"))
+        dense = first_ranked(dense.join(of_kind, "id", "left_semi"), k, "id")
     if dense is not None:
         own = fuse([dense, own], limit=k).select("qid", "id", F.col("orig_score").alias("score"), "rank", "rrf")
     else:
@@ -100,14 +104,15 @@ def retrieve(index: Index, docs: DataFrame, queries: DataFrame, k: int = SELECTE
     """The ``k`` hits of each of ``queries`` (qid, text, languages) as they are shown: by words, or with ``dense`` hits fused.
 
     Blank questions are an error of their asker: they have no hits. Where hits are fused, twice ``k`` candidates of either
-    side take part, twenty at least. ``chunk_type`` keeps chunks of that kind before the cut, so that ``k`` of them can stay.
+    side take part, twenty at least. ``chunk_type`` keeps chunks of that kind before any cut, so
+    ``k`` of them are found if there are as many; one of several kinds (``a+b``) is of each.
     """
     most = max(2 * k, CANDIDATES)
-    hits = found(index, queries.where("trim(coalesce(text, '')) <> ''"), docs, dense, most)
-    return response(first_ranked(hits if chunk_type is None else of_type(hits, chunk_type), k))
+    hits = found(index, queries.where("trim(coalesce(text, '')) <> ''"), docs, dense, most, chunk_type)
+    return response(first_ranked(hits, k))
 
 
-def first_ranked(hits: DataFrame, k: int) -> DataFrame:
+def first_ranked(hits: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """The first ``k`` hits of each question, ranked anew after a filter."""
-    w = Window.partitionBy("qid").orderBy("rank", "chunk_id")
+    w = Window.partitionBy("qid").orderBy("rank", key)
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -145,24 +147,72 @@ def point_id(chunk_id: Column) -> Column:
 
 
 class Collection:
-    """Rows under unique point ids as Parquet versions ``v0``, ``v1``...; the last complete one is current.
+    """Rows under unique point ids, stored as runs that a manifest names; the last complete manifest is current.
 
-    An upsert writes a whole new version, so readers never see half of one and a lost job leaves the old in place.
+    An upsert writes its own rows as a new run and then a manifest ``m0``, ``m1``..., so its cost goes with what it brings,
+    not with what is there. Of rows with one id that of the later run counts. ``FAN`` runs of one level are merged to one of
+    the next, so a row is written again once for each power of ``FAN`` upserts, and a read joins few runs. A job that is lost
+    leaves files that no manifest names; the version before stays readable. Two writers at once: the second fails.
     """
 
+    FAN = 8
+    _RUN = "folder string, level int, seq long, batch long"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.vector, self.size = spark, path, None, None
 
-    def versions(self) -> list[int]:
+    def _named(self, start: str) -> list[str]:
         fs, p = _fs(self.spark, self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
+        return [n for s in (fs.listStatus(p) if fs.exists(p) else []) if (n := s.getPath().getName()).startswith(start)]
 
-    def read(self) -> DataFrame:
+    def versions(self) -> list[int]:
+        return sorted(int(n[1:]) for n in self._named("m") if n[1:].isdigit() and exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
+
+    def runs(self, version: int | None = None) -> list:
+        """(folder, level, seq, batch) of a version, the current one unless given, in the order of their writing."""
         at = self.versions()
         if not at:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/v{at[-1]}")
+        rows = self.spark.read.schema(self._RUN).json(f"{self.path}/m{at[-1] if version is None else version}").collect()  # FAN for each level at most
+        return sorted(rows, key=lambda r: r["seq"])
+
+    def batch(self) -> int | None:
+        """The largest number of a batch that was put in."""
+        return max((r["batch"] for r in self.runs() if r["batch"] is not None), default=None) if self.versions() else None
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._whole(self.runs(version)).drop("_seq")
+
+    def _whole(self, runs: list) -> DataFrame:
+        """The rows of ``runs``, the later one's of each point id."""
+        parts = [self.spark.read.parquet(f"{self.path}/{r['folder']}").withColumn("_seq", F.lit(r["seq"]).cast("long")) for r in runs]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        if len(parts) == 1:
+            return out
+        cols = [c for c in out.columns if c != "point_id"]
+        best = out.groupBy("point_id").agg(F.max_by(F.struct(*cols), "_seq").alias("_r"))
+        return best.select(*[F.col("_r")[c].alias(c) if c != "point_id" else F.col(c) for c in out.columns])
+
+    def _commit(self, runs: list[tuple]) -> None:
+        taken = [int(n[1:]) for n in self._named("m") if n[1:].isdigit()]
+        rows = self.spark.createDataFrame(runs, self._RUN).coalesce(1)
+        rows.write.mode("error").json(f"{self.path}/m{max(taken, default=-1) + 1}")
+
+    def _put(self, rows: DataFrame) -> str:
+        folder = f"run-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes the runs and manifests that none of the last ``keep`` versions names; no writer may be at work."""
+        fs, _ = _fs(self.spark, self.path)
+        at = self.versions()[-keep:]
+        stay = {f"m{n}" for n in at} | {r["folder"] for n in at for r in self.runs(n)}
+        for name in [*self._named("m"), *self._named("run-")]:
+            if name not in stay:
+                fs.delete(_fs(self.spark, f"{self.path}/{name}")[1], True)
 
     def ensure(self, schema: S.StructType, vector: str | None = None, size: int | None = None, recreate: bool = False) -> Collection:
         """Makes an empty collection of ``schema`` (chunk_id, ...) if there is none, or anew with ``recreate``.
@@ -180,8 +230,8 @@ class Collection:
         fs, p = _fs(self.spark, self.path)
         fs.delete(p, True)
 
-    def upsert(self, rows: DataFrame, order: str | None = None) -> Collection:
-        """Rows (chunk_id, ...) put in by point id; of rows with one id the last in ``order`` counts."""
+    def upsert(self, rows: DataFrame, order: str | None = None, batch: int | None = None) -> Collection:
+        """Rows (chunk_id, ...) put in by point id; of rows with one id the last in ``order`` counts. ``batch`` is noted."""
         rows = rows.withColumn("point_id", F.coalesce(point_id(F.col("chunk_id")), F.lit(-1)))  # rows without an id are one point
         if self.vector:
             n = F.size(F.col(self.vector))
@@ -189,11 +239,16 @@ class Collection:
         cols = rows.columns
         last = F.max_by(F.struct(*cols), F.col(order) if order else F.xxhash64(F.to_json(F.struct(*cols))))
         new = rows.groupBy("point_id").agg(last.alias("_r")).select(*[F.col("_r")[c].alias(c) for c in cols])
-        at = self.versions()
-        if at:
-            old = self.read()
-            new = old.join(new.select("point_id"), "point_id", "left_anti").unionByName(new, allowMissingColumns=True)
-        new.write.mode("overwrite").parquet(f"{self.path}/v{(at[-1] if at else -1) + 1}")
+        runs = [tuple(r) for r in self.runs()] if self.versions() else []
+        runs.append((self._put(new), 0, max((r[2] for r in runs), default=-1) + 1, batch))
+        self._commit(runs)
+        level = 0
+        while len(same := [r for r in runs if r[1] == level]) >= self.FAN:  # they stand together: older runs have higher levels
+            whole = self._whole([dict(zip(("folder", "level", "seq", "batch"), r, strict=True)) for r in same]).drop("_seq")
+            one = (self._put(whole), level + 1, same[-1][2], max((r[3] for r in same if r[3] is not None), default=None))
+            runs = sorted([r for r in runs if r[1] != level] + [one], key=lambda r: r[2])
+            self._commit(runs)
+            level += 1
         return self
 
 

@@ -21,12 +21,14 @@ def add_batch(collection: Collection, records: DataFrame, batch: int, most: int
     """Chunks put into ``collection`` from the clean ``records`` of one batch.
 
     A text that the collection has is left out. ``most``, the size asked of the index, caps each batch by its share of
-    ``expected`` records; None takes all. ``encode``, a function from chunk rows to chunk rows, may add vectors. A batch
-    that comes again (its number is in the collection) adds nothing, so a restarted stream is safe.
+    ``expected`` records; None takes all. ``encode``, a function from chunk rows to chunk rows, may add vectors. Numbers of
+    batches ascend: one that is not above all that were put in came again and adds nothing, so a restarted stream is safe.
+    A batch writes its own chunks only; of what is there it reads the texts' hashes.
     """
-    old = collection.read() if collection.versions() else None
-    if old is not None and not old.where(F.col("batch") == batch).isEmpty():
+    done = collection.batch()
+    if done is not None and batch <= done:
         return 0
+    old = collection.read() if collection.versions() else None
     cap = None
     if most is not None:
         n = records.count()
@@ -39,9 +41,8 @@ def add_batch(collection: Collection, records: DataFrame, batch: int, most: int
     if old is not None:
         one = one.join(old.select("digest"), "digest", "left_anti")
     one = one.withColumn("batch", F.lit(batch).cast("long"))
-    before = old.count() if old is not None else 0
-    collection.upsert(encode(one) if encode else one)
-    return collection.read().count() - before
+    collection.upsert(encode(one) if encode else one, batch=batch)
+    return collection.read().where(F.col("batch") == batch).count()
 
 
 def build_stream(records: DataFrame, collection: Collection, checkpoint: str, most: int | None = None, expected: int | None = None, encode: Callable | None = None):

@@ -87,3 +87,17 @@ def test_latencies(spark):
     assert {r.request_id: r.latency_ms for r in per.collect()}["r1"] == {"bm25": 3.5, "rerank": 9.0}
     got = {r.stage: tuple(r)[1:] for r in A.stage_latencies(per).collect()}
     assert got == {"bm25": (5.0, 5.0, 7.0), "rerank": (9.0, 9.0, 9.0)}
+
+
+def test_kinds_are_filtered_before_the_cut(spark):
+    rows = [(i, f"harbour town number {i}" + " harbour" * (i < 30), "semantic+sliding" if i % 7 else "semantic") for i in range(30)]
+    rows += [(100 + i, "a harbour far away among many other words of a long text " * 3, "sentence" if i % 2 else "parent_child+sentence") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chunk_type string")
+    ix = Index.build(docs, fresh_path(spark, "index"), buckets=2)
+    assert ix.kinds == ["parent_child", "semantic", "sentence", "sliding"]
+    q = spark.createDataFrame([(1, "harbour town", None)], "qid long, text string, languages array<string>")
+    ids = lambda **how: [r.chunk_id for r in Q.retrieve(ix, docs, q, **how).orderBy("rank").collect()]
+    assert sorted(ids(k=5, chunk_type="sentence")) == ["100", "101", "102", "103", "104"] and len(ids(k=5)) == 5
+    assert sorted(ids(k=9, chunk_type="parent_child")) == ["100", "102", "104"] and ids(k=5, chunk_type="other") == []
+    dense = spark.createDataFrame([(1, str(i), 1.0 - i / 1000, r + 1) for r, i in enumerate([*range(30), 103, 104])], "qid long, id string, score double, rank long")
+    assert sorted(ids(k=5, chunk_type="sentence", dense=dense)) == ["100", "101", "102", "103", "104"]
