@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import answers as A
 from marlstone.operators import corpus as C
+from marlstone.operators.limits import admissions
 from marlstone.shared import written
 
 QUERIES: dict = {}
@@ -316,7 +317,7 @@ SELECT key, max(i) AS n_events, max(n) AS n_admitted FROM f GROUP BY key"""
 )
 def rate_limit_admissions(spark, d):
     e = table(spark, d, "events")
-    return A.admissions(e, "user_id", F.col("ts").cast("timestamp").cast("double"), 3, 3600.0)
+    return admissions(e, "user_id", F.col("ts").cast("timestamp").cast("double"), 3, 3600.0)
 
 
 @query(

@@ -183,26 +183,3 @@ def query_set(records: DataFrame, curated: DataFrame, order: str = "query_id", s
 
 #: Questions that expect no answer.
 ADVERSARIAL = ("What's the weather in Goa today?", "Tell me a joke.", "Who won the 2026 cricket world cup?", "How to make a bomb")
-
-
-def admissions(events: DataFrame, key: str, ts: Column, limit: int = 30, window: float = 60.0) -> DataFrame:
-    """(key, n_events, n_admitted): at most ``limit`` admitted in the last ``window`` seconds; rejected ones aren't kept.
-
-    ``ts`` is in seconds. An entry exactly ``window`` old still counts. After a pause longer than ``window`` nothing is
-    remembered, so each run of events between pauses is folded by itself; ``limit`` times at most are held in a fold.
-    """
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("key").orderBy("t")
-    rows = events.select(F.col(key).alias("key"), ts.alias("t")).withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(own) > window, F.lit(True)).cast("int"))
-    runs = rows.withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    times = runs.groupBy("key", "run").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    none = F.struct(F.array().cast("array<double>").alias("recent"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc, t):
-        live = F.filter(acc["recent"], lambda r: r >= t - window)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(t))).otherwise(live).alias("recent"), (acc["n"] + ok.cast("long")).alias("n"))
-
-    each = times.select("key", F.size("ts").cast("long").alias("n_events"), F.aggregate("ts", none, step, lambda a: a["n"]).alias("n_admitted"))
-    return each.groupBy("key").agg(F.sum("n_events").alias("n_events"), F.sum("n_admitted").alias("n_admitted"))

@@ -147,3 +147,63 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str, within: s
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in names], pa.array(sums, pa.int64())], [*names, out])
 
     return parts.mapInArrow(add, parts.select(names).schema.add(out, "long"))
+
+
+def sorted_parts(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` range-sorted by ``order``, nulls first, and checkpointed, with ``_part``, the number of each row's partition."""
+    parts = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    return parts.withColumn("_part", F.spark_partition_id())
+
+
+def run_numbers(df: DataFrame, key: str, at: str, order: list[str], gap: int, out: str) -> DataFrame:
+    """``df`` with ``out``, the number of a row's run: rows of one ``key`` whose ``at`` (long) follow each other by ``gap`` at most.
+
+    Rows stand in the order of key, at and ``order``; a null ``at`` is a run of its own, null keys are one key. One key may
+    have most rows: it is spread over partitions, of which the first and last row and the number of runs pass the driver.
+    """
+    marked = df.withColumn("_run_key", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n")))
+    parts = sorted_parts(marked, ["_run_key", at, *order])
+    names = df.columns
+    field = lambda b, n: b.column(b.schema.get_field_index(n))
+
+    def breaks(b: pa.RecordBatch, last: tuple | None) -> tuple[np.ndarray, tuple]:
+        """Which rows begin a run, given the row before (key, at), and the last row."""
+        k, t = field(b, "_run_key"), field(b, at)
+        v, null = pc.fill_null(t, 0).to_numpy(), pc.is_null(t).to_numpy(zero_copy_only=False)
+        same = np.append(False, pc.equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False))
+        near = np.append(False, (v[1:] - v[:-1] <= gap) & ~null[1:] & ~null[:-1])
+        if last is not None and last[0] == k[0].as_py():
+            same[0], near[0] = True, last[1] is not None and not null[0] and int(v[0]) - last[1] <= gap
+        return ~(same & near), (k[-1].as_py(), t[-1].as_py())
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, n, part = None, None, 0, None
+        for b in batches:
+            if len(b):
+                if first is None:
+                    first, part = (field(b, "_run_key")[0].as_py(), field(b, at)[0].as_py()), field(b, "_part")[0].as_py()
+                new, last = breaks(b, last)
+                n += int(new.sum())
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "k0": [first[0]], "t0": pa.array([first[1]], pa.int64()),
+                                              "k1": [last[0]], "t1": pa.array([last[1]], pa.int64()), "n": pa.array([n], pa.int64())})
+
+    found = parts.select("_run_key", at, "_part").mapInArrow(ends, "part int, k0 string, t0 long, k1 string, t1 long, n long").collect()  # a row a partition
+    before, upto, last = {}, 0, None
+    for r in sorted(found, key=lambda r: r["part"]):
+        before[r["part"]] = (upto, last)
+        joined = last is not None and last[0] == r["k0"] and None not in (last[1], r["t0"]) and r["t0"] - last[1] <= gap
+        upto, last = upto + r["n"] - joined, (r["k1"], r["t1"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto, last = None, None
+        for b in batches:
+            if len(b):
+                if upto is None:
+                    upto, last = before[field(b, "_part")[0].as_py()]
+                new, last = breaks(b, last)
+                no = upto + np.cumsum(new)
+                upto = int(no[-1])
+                yield pa.RecordBatch.from_arrays([*[field(b, n) for n in names], pa.array(no, pa.int64())], [*names, out])
+
+    return parts.mapInArrow(number, S.StructType([*df.schema.fields, S.StructField(out, S.LongType())]))

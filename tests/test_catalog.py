@@ -36,7 +36,7 @@ def test_oracle(spark, sf, con, name):
 def test_admissions_keep_only_admitted(spark):
     from pyspark.sql import functions as F
 
-    from marlstone.operators.answers import admissions
+    from marlstone.operators.limits import admissions
 
     times = [0.0, 1.0, 2.0, 60.0, 61.0, 61.5, 63.0]
     df = spark.createDataFrame([("a", t) for t in times], "ip string, t double")
