@@ -134,18 +134,25 @@ def _items(spark, d):
 _INDEXES: dict = {}
 
 
-def _index(spark, d) -> C.Index:
-    """The stored index of the documents of ``d``, built by the first query of a session that needs it."""
+def _stored(spark, d, name: str, docs) -> C.Index:
+    """The stored index of the rows that ``docs`` gives, built by the first query of a session that needs it."""
     from marlstone.shared import fresh_path
     from marlstone.sources.store import exists
 
-    key = spark.sparkContext.applicationId, d
+    key = spark.sparkContext.applicationId, d, name
     if key not in _INDEXES or not exists(spark, f"{_INDEXES[key].folder}/roman/_SUCCESS"):  # the last table written
-        docs = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("language"))
+        _INDEXES[key] = C.Index.build(docs(), fresh_path(spark, name), buckets=8)
+    return _INDEXES[key]
+
+
+def _index(spark, d) -> C.Index:
+    def docs() -> DataFrame:
+        own = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("language"))
         # a document with the number of a benchmark item came with that item's question
         asked = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").alias("source_query"))
-        _INDEXES[key] = C.Index.build(docs.join(asked, "doc_id", "left"), fresh_path(spark, "index"), buckets=8)
-    return _INDEXES[key]
+        return own.join(asked, "doc_id", "left")
+
+    return _stored(spark, d, "index", docs)
 
 
 def _bm25(spark, d, k: int) -> DataFrame:
@@ -503,5 +510,76 @@ def question_answers(spark, d):
     return answer(_index(spark, d), table(spark, d, "documents").select("doc_id", "text"), asked).drop("sources")
 
 
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+#: A Devanagari letter for each of _LATIN, of which six are two Latin letters each; Gujarati has the same ones 0x180 further on.
+_NAGARI = "अबचदएफगहइजकलमनओपखरसतउवभझयश"
+_GUJARATI = "".join(chr(ord(c) + 0x180) for c in _NAGARI)
+
+
+def _spelt(c, letters: str):
+    """A text with its letters a to z of either case in another script, letter by letter; all else stays."""
+    return F.translate(c, _LATIN + _LATIN.upper(), letters * 2)
+
+
+def _sql_spelt(c: str, letters: str) -> str:
+    return f"translate({c}, '{_LATIN + _LATIN.upper()}', '{letters * 2}')"
+
+
+def _sql_roman(c: str) -> str:
+    c = f"translate({c}, '{_NAGARI + _GUJARATI}', '{_LATIN * 2}')"
+    for letter, sound in zip("cfqwxz", ("ch", "ph", "kh", "bh", "jh", "sh"), strict=True):
+        c = f"replace({c}, '{letter}', '{sound}')"
+    return c
+
+
+_BONES = _sql_fold("translate({0}, 'vwyh', '')")
+
+
+@query(
+    f"WITH nd AS (SELECT doc_id, lang, {_sql_spelt('text', _NAGARI)} AS text FROM documents), nb AS (SELECT item_id, {_sql_spelt('text', _GUJARATI)} AS text FROM benchmark), "
+    + _BM25[: _BM25.index("q AS (")].replace("FROM documents", "FROM nd").removeprefix("WITH ")
+    + f"""o AS (SELECT item_id AS qid, unnest({_TOKENS.format('text')}) AS term FROM nb),
+va AS (SELECT term AS native, {_sql_roman('term')} AS roman FROM i WHERE regexp_matches(term, '[^\x00-\x7F]')),
+vo AS (SELECT *, {_BONES.format('roman')} AS bones FROM va WHERE length(roman) >= 3),
+qa AS (SELECT DISTINCT qid, {_sql_roman('term')} AS wr FROM o WHERE length(term) >= 3 AND regexp_matches(term, '[^\x00-\x7F]')),
+qb AS (SELECT *, {_BONES.format('wr')} AS ws FROM qa),
+qc AS (SELECT *, unnest(CASE WHEN ws = '' THEN [] WHEN right(ws, 1) IN ('a', 'e', 'i', 'o', 'u') THEN [ws, left(ws, length(ws) - 1)]
+  ELSE [ws, ws || 'a', ws || 'e', ws || 'i', ws || 'o', ws || 'u'] END) AS bones FROM qb),
+m AS (SELECT qid, native, length(roman) AS n, CASE WHEN wr = roman THEN 1.0 WHEN ws = v.bones THEN 0.95 WHEN left(wr, 1) = left(roman, 1) THEN 0.9 END AS near
+  FROM qc JOIN vo v ON v.bones = qc.bones AND v.bones <> '' WHERE greatest(length(wr), length(roman)) <= 2 * least(length(wr), length(roman)) AND abs(length(wr) - length(roman)) <= 3),
+e AS (SELECT qid, native, row_number() OVER (PARTITION BY qid ORDER BY max(near) DESC, max(n) DESC, native) AS r FROM m WHERE near IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, term FROM o UNION ALL SELECT qid, native FROM e WHERE r <= 8) GROUP BY 1, 2),
+""" + _BM25[_BM25.index("s AS (SELECT qid") :]
+    + """k AS (SELECT s.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s JOIN documents USING (doc_id)
+  WHERE score > 0 AND CASE WHEN qid % 2 = 0 THEN lang = 'fr' ELSE lang IN ('en', 'de') END) SELECT * FROM k WHERE rank <= 5"""
+)
+def cross_script_search(spark, d):
+    """All documents spelt in one script and searched with the benchmark items spelt in another: words meet by sound only."""
+    return _cross_script(spark, d)[1].select("qid", "doc_id", "score", "rank")
+
+
+def _cross_script(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions in one script, their five best documents in another, and those documents' texts."""
+    docs = table(spark, d, "documents").select("doc_id", _spelt("text", _NAGARI).alias("text"), F.col("lang").alias("language"))
+    asked = _items(spark, d).select("qid", _spelt("text", _GUJARATI).alias("text"))
+    want = F.when(F.col("qid") % 2 == 0, F.array(F.lit("fr"))).otherwise(F.array(F.lit("en"), F.lit("de")))
+    return asked, _stored(spark, d, "nagari", lambda: docs).search(asked.withColumn("languages", want), 5), docs
+
+
+@query()
+def cross_script_refusals(spark, d):
+    """Whether those documents cover the questions, and in which order: all content words are compared by sound."""
+    from marlstone.operators.rerank import refusals, rerank
+
+    asked, found, docs = _cross_script(spark, d)
+    hits = written(found.join(docs.select("doc_id", "text"), "doc_id").select(
+        "qid", "rank", F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("text").alias("parent_text"), F.lit(0.0).alias("orig_score"), F.lit(0.0).alias("rrf_score"),
+        F.lit(None).cast("string").alias("source_query"),
+    ), "hits")
+    questions = asked.withColumnRenamed("text", "query")
+    best = rerank(questions, hits, 1).select("qid", "chunk_id", "rerank_score")
+    return refusals(questions, hits).join(best, "qid", "left")
+
+
 def flagship(spark, sf_dir: str):
     return QUERIES["rag_answer_batch"](spark, sf_dir)
