@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -178,10 +180,30 @@ def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+_LOADED: dict = {}
+
+
+class Resident:
+    """An encoder of a file that Spark ships to the workers, each process of which loads it once, for all its tasks.
+
+    ``load`` gets the path of the worker's copy of ``path`` and gives the function from a list of texts to their vectors.
+    The file's name must be new to the session, or its content the same.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, load: Callable[[str], Callable]):
+        spark.sparkContext.addFile(path)
+        self.name, self.load, self.key = path.rstrip("/").rsplit("/", 1)[-1], load, uuid.uuid4().hex
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if self.key not in _LOADED:
+            _LOADED[self.key] = self.load(SparkFiles.get(self.name))
+        return _LOADED[self.key](texts)
+
+
 def embed(rows: DataFrame, encode: Callable[[list[str]], np.ndarray], column: str = "text", out: str = "embedding", batch: int = 256) -> DataFrame:
     """``rows`` with ``out``, the vectors that the hook ``encode`` gives for the texts in ``column``, ``batch`` at a time.
 
-    The hook is sent to the workers and gets a list of strings (nulls as empty ones); it returns one row of numbers each.
+    The hook (a ``Resident`` where it has a model) is sent to the workers and gets a list of strings (nulls as empty ones); it returns one row of numbers each.
     Vectors are brought to length one; zero vectors stay.
     """
     schema = S.StructType([*rows.schema.fields, S.StructField(out, S.ArrayType(S.FloatType()))])

@@ -32,8 +32,8 @@ def filled(c: Column, default: str = "") -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
-def normalize(rows: DataFrame, language: str | Column) -> DataFrame:
-    """Records from raw hub rows; columns that are missing count as empty.
+def normalize(rows: DataFrame, language: str | Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records from raw hub rows; columns that are missing count as empty. The columns ``keep`` stay beside them.
 
     The answer is the first of Answer, answers and Eng_Answer that isn't empty; lists are joined with blanks.
     """
@@ -60,7 +60,7 @@ def normalize(rows: DataFrame, language: str | Column) -> DataFrame:
         text("query_type").alias("query_type"), text("source_lang", "eng_Latn").alias("source_lang"),
         text("target_lang").alias("target_lang"), lang.alias("language"),
         listed("English_passages", "string").alias("english_passages"),
-        listed("Translated_passages", "string").alias("translated_passages"), listed("is_selected", "int").alias("is_selected"),
+        listed("Translated_passages", "string").alias("translated_passages"), listed("is_selected", "int").alias("is_selected"), *keep,
     )
 
 

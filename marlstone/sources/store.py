@@ -79,15 +79,61 @@ def first_rows(df: DataFrame, order: str, limit: int) -> DataFrame:
 
 
 def first_of(df: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` rows of a scan, in the order of its files and of the rows in them."""
+    """The first ``limit`` rows of any scan, in the order of its files and of the rows in them; it is read to its end.
+    ``first_of_files`` is not, but needs a plain scan of Parquet files."""
     placed = written(df.withColumn("_place", F.monotonically_increasing_id()), "placed")
     return first_rows(placed, "_place", limit).drop("_place")
 
 
+def first_of_files(files: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of ``files``, a plain scan of Parquet files, in the order of the files' paths, each with
+    ``_place``, its number from 0.
+
+    Rows of each file are counted, which reads footers only. Files beyond the one that the limit falls in are not opened. Of
+    that one a single task reads what is wanted and stops. One row for each file needed, so ``limit`` at most, passes
+    through the driver.
+    """
+    path = F.col("_metadata.file_path")
+    counts = files.groupBy(path.alias("_file")).agg(F.count("*").alias("n")).orderBy("_file").limit(limit).collect()
+    start, starts, left = 0, [], None
+    for r in counts:
+        starts.append((r["_file"], start))
+        if start + r["n"] >= limit:
+            left = limit - start
+            break
+        start += r["n"]
+    if not starts:
+        return files.withColumn("_place", F.lit(0).cast("long")).limit(0)
+    last, begin = starts[-1]
+    own = files.select("*", path.alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    end = own.where(F.col("_file") == last).drop("_file")
+    if left is not None:
+        head = written(end.coalesce(1).limit(left), "head")  # parts of the file one after the other, as far as needed
+        n = head.agg(F.max("_place")).first()[0]
+        end = head if n == left - 1 else end.where(F.col("_place") < left)  # a store may hand the parts out in another order
+    end = end.withColumn("_place", F.col("_place") + begin)
+    if len(starts) == 1:
+        return end
+    at = files.sparkSession.createDataFrame(starts[:-1], "_file string, _start long")
+    whole = own.where(F.col("_file") < last).join(bounded(at), "_file")
+    return whole.withColumn("_place", F.col("_place") + F.col("_start")).select(end.columns).unionByName(end)
+
+
 def read_sample(spark: SparkSession, root: str, language: str, limit: int, split: str = "train", kept: bool = True) -> DataFrame:
-    """Clean records of a language's hub file: the first ``limit`` that stay (``kept``), or those among its first ``limit`` rows."""
-    rows = normalize(spark.read.parquet(parquet_path(root, language, split)), language)
-    return first_of(clean(rows), limit) if kept else clean(first_of(rows, limit))
+    """Clean records of a language's hub file: the first ``limit`` that stay (``kept``), or those among its first ``limit`` rows.
+
+    What is read goes with ``limit`` and not with the file: where too few stay, four times as many rows are taken.
+    """
+    files = spark.read.parquet(parquet_path(root, language, split))
+    if not kept:
+        return clean(normalize(first_of_files(files, limit), language))
+    taken = max(limit, 1)
+    while True:
+        raw = written(first_of_files(files, taken), "raw")
+        rows = written(clean(normalize(raw, language, keep=("_place",))), "sample")
+        if rows.count() >= limit or raw.count() < taken:
+            return first_rows(rows, "_place", limit).drop("_place")
+        taken *= 4
 
 
 def read_languages(spark: SparkSession, root: str, languages: list[str], skip: tuple[str, ...] = ("sa",)) -> DataFrame:
