@@ -83,9 +83,10 @@ class Index:
         for i, kind in enumerate(kinds):
             bits = bits + F.when(F.array_contains(own, kind), F.lit(1 << i)).otherwise(0)
         meta = [language.alias("language"), bits.alias("kinds")]
-        toks = docs.select("doc_id", *meta, F.array_sort(T.tokens(text)).alias("toks"))
-        each = toks.select("doc_id", "language", "kinds", F.size("toks").alias("dl"), F.explode(_counted("toks")).alias("c"))
-        tf = each.select("doc_id", "dl", "language", "kinds", "c.term", "c.tf")
+        toks = docs.select("doc_id", *meta, F.sort_array(T.tokens(text)).alias("toks"))
+        counted = toks.select("doc_id", "language", "kinds", F.size("toks").alias("dl"), _counted("toks").alias("counted"))  # postings carry no array
+        each = counted.select("doc_id", "language", "kinds", "dl", F.explode_outer("counted").alias("c"))  # not explode, whose filter of empty arrays would cut the texts again
+        tf = each.where("c IS NOT NULL").select("doc_id", "dl", "language", "kinds", "c.term", "c.tf")
 
         def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
             w = df.write.mode("overwrite")

@@ -1,6 +1,8 @@
 """The stored index, dense search, and the sources and sinks around them."""
 
 import json
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -244,3 +246,18 @@ def test_samples_and_curated_records(spark, tmp_path):
     assert store.first_of(back, 7).count() == 7 and store.first_of(back, 7).columns == ["id"]
     (tmp_path / "chunks.jsonl").write_text('\n{"text": "one"}\n{"chunk_id": "c", "text": "two"}\n{"text": " "}\n')
     assert sorted(r.chunk_id for r in store.read_chunks(spark, f"file://{tmp_path}").collect()) == ["c", "jsonl:1"]
+
+
+def test_postings_of_long_and_odd_texts(spark, tmp_path):
+    """One text of many words beside empty ones: each posting has its count and length, and nothing else of its text."""
+    long = " ".join(f"w{i % 30_000}" for i in range(40_000))
+    rows = [(1, long), (2, None), (3, ""), (4, "?!"), (5, "B a b A b"), (6, "x")]
+    ix = C.Index.build(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "odd"), buckets=4)
+    want = set()
+    for doc_id, text in rows:
+        n = Counter(re.findall(r"\w+", (text or "").lower()))
+        want |= {(t, doc_id, tf, n.total()) for t, tf in n.items()}
+    assert {tuple(r) for r in ix.postings.select("term", "doc_id", "tf", "dl").collect()} == want
+    assert ix.corpus.first()["n_docs"] == 6 and ix.corpus.first()["avgdl"] == pytest.approx(40_006 / 6)
+    none = C.Index.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"), buckets=4)
+    assert none.postings.count() == 0 and none.corpus.first()["n_docs"] == 0
