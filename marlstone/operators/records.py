@@ -200,9 +200,10 @@ def quota(records: DataFrame, per_language: int, order: str = "query_id", long:
 def curated(facts: DataFrame, first: int = 9001) -> DataFrame:
     """Records of hand-written ``facts`` (n, language, query, answer, passage), one for each language, in order of n.
 
-    The fact in English gives every record its English question, answer and passage; ids count from ``first``.
+    The fact in English (the first of several, by n, then by its texts) gives every record its English question, answer and
+    passage; ids count from ``first``.
     """
-    english = F.broadcast(facts.where("language = 'en'").select(F.col("query").alias("eq"), F.col("answer").alias("ea"), F.col("passage").alias("ep")).limit(1))  # one row
+    english = F.broadcast(facts.where("language = 'en'").orderBy("n", "query", "answer", "passage").limit(1).select(F.col("query").alias("eq"), F.col("answer").alias("ea"), F.col("passage").alias("ep")))  # one row
     f = facts.join(english, how="left")
     none = F.array().cast("array<string>")
     own = F.when(F.col("language") == "en", none).otherwise(F.array("passage"))

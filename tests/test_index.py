@@ -235,6 +235,8 @@ def test_samples_and_curated_records(spark, tmp_path):
     facts = spark.createDataFrame([(1, "en", "Where?", "There.", "It is there, as everyone knows."), (2, "hi", "कहाँ?", "वहाँ।", "वह वहाँ है।")], "n int, language string, query string, answer string, passage string")
     got = R.curated(facts).orderBy("query_id").collect()
     assert [(r.query_id, r.eng_query, r.translated_passages) for r in got] == [(9001, "Where?", []), (9002, "Where?", ["वह वहाँ है।"])]
+    two = facts.withColumn("n", (F.col("n") + 1).cast("int")).unionByName(spark.createDataFrame([(1, "en", "Which?", "This.", "This one.")], facts.schema)).repartition(3)
+    assert {r.eng_query for r in R.curated(two).collect()} == {"Which?"}
     long = "यह एक बहुत लंबा वाक्य है जिसमें उत्तर दिल्ली भी लिखा हुआ है।"
     rows = [(1, "hi", "दिल्ली कहाँ है", long, "दिल्ली", None), (2, "hi", "where", long, "दिल्ली", None), (3, "hi", "भारत की राजधानी का नाम क्या है और वह कहाँ बसी हुई है", long, "दिल्ली", "X"), (4, "hi", "दिल्ली कहाँ", long, "मुंबई", None), (5, "hi", "दिल्ली किधर है", long, "", None)]
     raw = spark.createDataFrame(rows, "n int, language string, query string, passage string, answer string, query_type string")
