@@ -95,6 +95,7 @@ def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
 
     rows = _variants(grp)
     of_key = _variants(grp.where("many")).groupBy("key", "grp").count().groupBy("key").agg(F.expr("max_by(grp, count)").alias("main"))
+    of_key = bounded(written(of_key, "of-key"))
     one = rows.join(of_key, "key", "left").where("main IS NULL OR grp <> main").select(
         "key", F.expr("key % 64").alias("bit"), F.col("fp").alias("p"), F.col("grp").alias("pg"), "main"
     )
@@ -105,7 +106,8 @@ def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
         for at, m in ((at, f"shiftleft({2**n - 1}L, {at})") for at, n in SEGMENTS)
     ) + ")"
     cond = (one["key"] == two["key"]) & F.expr(f"pg <> qg AND bit_count(p ^ q) <= {max_distance} AND (p < q OR qg <=> main) AND bit = {at}")
-    links = one.join(two, cond).select(F.least("pg", "qg").alias("a"), F.greatest("pg", "qg").alias("b")).distinct()
+    # Spark takes exploded rows for as small as the table they come from and would send 64 times that through the driver
+    links = one.join(two.hint("merge"), cond).select(F.least("pg", "qg").alias("a"), F.greatest("pg", "qg").alias("b")).distinct()
     label = components(links)
     return grp.join(label.select(F.col("node").alias("grp"), "label"), "grp", "left").select("fp", F.coalesce("label", "grp").alias("label"))
 
@@ -281,7 +283,7 @@ def similar_components(texts: DataFrame, marks: DataFrame, groups_of: DataFrame,
     one = rows.join(main, "key").where("label <> main").select("key", "main", F.col("id").alias("p"), F.col("label").alias("pg"), "n", "place", *[F.col(f"s{k}").alias(f"ps{k}") for k in range(4)])
     two = rows.select("key", F.col("id").alias("q"), F.col("label").alias("qg"), F.col("n").alias("qn"), F.col("place").alias("qplace"), *[F.col(f"s{k}").alias(f"qs{k}") for k in range(4)])
     close = _near("p", "q").replace("(pn + qn)", "(n + qn)")
-    pairs = one.join(two, (one["key"] == two["key"]) & F.expr(f"pg <> qg AND (p < q OR qg = main) AND {fits} AND {close}")).select("p", "pg", "q", "qg").distinct()
+    pairs = one.join(two.hint("merge"), (one["key"] == two["key"]) & F.expr(f"pg <> qg AND (p < q OR qg = main) AND {fits} AND {close}")).select("p", "pg", "q", "qg").distinct()
     moved = contracted(_verified(pairs, marks, texts, width))
     released(marks.sparkSession)
     return moved
