@@ -133,13 +133,25 @@ class Index:
         aren't of ``kind`` are left out before scores are summed; statistics are of all documents.
         """
         q = bounded(written(self._terms(queries, expanded), "query-terms"))
-        q = bounded(self.terms.join(q, ["bucket", "term"]).select("qid", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("w")))
+        q = self.terms.join(q, ["bucket", "term"]).select("qid", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("w"))
         avgdl = self.corpus.first()["avgdl"]
-        allowed = self._of_kind(kind)
-        if "only" in queries.columns:
-            q = bounded(q.join(queries.select("qid", "only"), "qid"))
-            allowed = allowed & _spoken()
-        hit = self.postings.join(q, ["bucket", "term"]).where(allowed)
+        by_language = "only" in queries.columns
+        if by_language:
+            q = q.join(queries.select("qid", "only"), "qid")
+        q = written(q, "weights")
+        speak = [F.flatten(F.collect_set("only")).alias("speak"), F.bool_or(F.col("only").isNull()).alias("any")] if by_language else []
+        wanted = q.groupBy("bucket", "term").agg(F.count("*").alias("n"), *speak).withColumn("t", F.monotonically_increasing_id())
+        wanted = bounded(written(wanted, "wanted"))
+        hit = self.postings.join(wanted, ["bucket", "term"]).where(self._of_kind(kind))
+        if by_language:
+            hit = hit.where(F.col("any") | F.array_contains("speak", F.col("language")))
+        # each posting is dealt once, to its document's partition, and meets the queries that ask for it only there
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        hit = hit.select("doc_id", "t", "tf", "dl", *(["language"] if by_language else [])).repartition(parts, "doc_id")
+        asked = q.join(wanted.select("bucket", "term", "t"), ["bucket", "term"]).select("t", "qid", "w", *(["only"] if by_language else []))
+        hit = hit.join(bounded(written(asked, "asked")), "t")
+        if by_language:
+            hit = hit.where(_spoken())
         part = F.col("w") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / avgdl))
         return hit.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 

@@ -263,3 +263,11 @@ def test_postings_of_long_and_odd_texts(spark, tmp_path):
     assert ix.corpus.first()["n_docs"] == 6 and ix.corpus.first()["avgdl"] == pytest.approx(40_006 / 6)
     none = C.Index.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"), buckets=4)
     assert none.postings.count() == 0 and none.corpus.first()["n_docs"] == 0
+
+
+def test_postings_are_dealt_once_by_document(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"the word{i % 7} and word{i % 3}") for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, f"the word{q % 7} and") for q in range(30)], "qid long, text string")
+    plan = C.Index.build(docs, str(tmp_path / "ix"), buckets=2).scores(queries)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 1 and "hashpartitioning(doc_id" in dealt[0]
