@@ -17,6 +17,8 @@ from marlstone.shared import bounded, written
 
 #: Vectors and queries of a block at most; vectors an index is fitted on at most, and the lists it has at most.
 BLOCK, QUERY_BLOCK, SAMPLE, MOST_LISTS = 2048, 256, 20_000, 4096
+#: Numbers that placing vectors holds at a time: distances to centroids, or parts of the vectors given out.
+CELLS = 1 << 20
 #: The share of true neighbours that an index must find, by the lists that this many of its own vectors ask for.
 RECALL, NEIGHBOURS, TRIED = 0.95, 10, 200
 _BLOCKS = "g int, ids array<bigint>, m binary"
@@ -153,9 +155,10 @@ class VectorIndex:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = _matrix(b.column(1))
-                if len(x) and len(unit):
-                    near = np.argsort(-(x @ unit.T), axis=1, kind="stable")[:, :n]
-                    at = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+                step = max(1, CELLS // max(1, len(unit), min(n, len(unit)) * x.shape[1])) if len(x) else 1
+                for start in range(0, len(x) if len(unit) else 0, step):  # neither distances nor copies grow with the lists
+                    near = np.argsort(-(x[start : start + step] @ unit.T), axis=1, kind="stable")[:, :n]
+                    at = pa.array(np.repeat(np.arange(start, start + len(near)), near.shape[1]))
                     yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], ["g", "id", "embedding"])
 
         rows = rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).where("size(embedding) > 0")

@@ -271,3 +271,22 @@ def test_postings_are_dealt_once_by_document(spark, tmp_path):
     plan = C.Index.build(docs, str(tmp_path / "ix"), buckets=2).scores(queries)._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
     assert len(dealt) == 1 and "hashpartitioning(doc_id" in dealt[0]
+
+
+def test_placing_vectors_holds_few_numbers_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from marlstone.operators import dense
+
+    class Rows:  # gives the function that the tasks run
+        select = where = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+
+    rng = np.random.default_rng(1)
+    vectors, centers = [rng.normal(size=8).tolist() for _ in range(60)], rng.normal(size=(20, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(vectors, pa.list_(pa.float32()))], ["id", "embedding"])
+    whole = pa.Table.from_batches(dense.VectorIndex._placed(Rows(), centers, 3)([batch]))
+    monkeypatch.setattr(dense, "CELLS", 100, raising=False)
+    parts = list(dense.VectorIndex._placed(Rows(), centers, 3)([batch]))
+    assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist() and len(whole) == 180
+    assert max(map(len, parts)) * 20 // 3 <= 100
