@@ -420,7 +420,7 @@ def compact_index_chunks(spark, d):
     from marlstone.operators import records as R
 
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("document").alias("query"), F.struct(F.array("text").alias("English_passages")).alias("passages"), "lang")
-    return R.compact_chunks(R.clean(R.normalize(texts, F.col("lang")))).select("query_id", "chunk_id", "chunk_type", "text")
+    return R.compact_chunks(R.clean(R.normalize(texts, F.col("lang"))), ordered=False).select("query_id", "chunk_id", "chunk_type", "text")
 
 
 @query(
