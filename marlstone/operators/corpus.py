@@ -44,7 +44,7 @@ def child_chunks(docs: DataFrame, parent_id: Column, text: str = "text") -> Data
 class Index:
     """A stored inverted index: tables under one folder, built once and read by every search.
 
-    postings (bucket, term, doc_id, tf, dl, language, kinds), in folders by hash of the term, each sorted by term; terms
+    postings (bucket, term, doc_id, tf, dl, language, kinds), in folders by hash of the term, in order of documents; terms
     (bucket, term, df, idf); corpus, one row (n_docs, avgdl, ...); sources (doc_id, language, kinds, source_key) of the
     documents that came with a question; languages (language, script); roman, the Latin spellings of words of other
     scripts. ``kinds`` has a bit for each kind of chunk, in the order of corpus.kinds. A search reads the buckets of its
@@ -89,11 +89,12 @@ class Index:
         tf = each.where("c IS NOT NULL").select("doc_id", "dl", "language", "kinds", "c.term", "c.tf")
 
         def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-            w = df.write.mode("overwrite")
+            w = df.write.mode("overwrite").option("compression", "zstd").option("parquet.dictionary.page.size", 8 << 20)  # a file's terms fit
             (w.partitionBy(by) if by else w).parquet(f"{folder}/{name}")
             return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-        rows = tf.select("term", "doc_id", "tf", "dl", "language", "kinds", part).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")  # a hot term's bucket is split
+        # each task writes its documents' postings to all folders: none is shuffled, and a hot term is in as many files as there are tasks
+        rows = tf.select("term", "doc_id", "tf", "dl", "language", "kinds", part).sortWithinPartitions("bucket")
         postings = save(rows, "postings", "bucket")
         n_docs = docs.count()
         df = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))

@@ -290,3 +290,11 @@ def test_placing_vectors_holds_few_numbers_at_a_time(spark, monkeypatch):
     parts = list(dense.VectorIndex._placed(Rows(), centers, 3)([batch]))
     assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist() and len(whole) == 180
     assert max(map(len, parts)) * 20 // 3 <= 100
+
+
+def test_postings_are_written_where_texts_are_read(spark, tmp_path):
+    """Building shuffles no posting: each task writes its own documents' postings, so a hot term is in a file of each task."""
+    docs = spark.range(60).repartition(3).select(F.col("id").alias("doc_id"), F.concat(F.lit("the word"), F.col("id").cast("string")).alias("text"))
+    postings = C.Index.build(docs, str(tmp_path / "ix"), buckets=2).postings
+    hot = postings.where("term = 'the'").groupBy(F.input_file_name()).count().collect()
+    assert len(hot) == 3 and sum(r["count"] for r in hot) == 60
