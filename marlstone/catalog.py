@@ -433,7 +433,7 @@ def retrieve_of_kind(spark, d):
     from marlstone.operators.questions import retrieve
     from marlstone.shared import fresh_path
 
-    docs = written(compact_index_chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), "chunks")
+    docs = written(compact_index_chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), "chunks", "zstd")  # chunks of one text repeat it
     ix = C.Index.build(docs, fresh_path(spark, "chunk-index"), buckets=8)
     asked = _items(spark, d).withColumn("languages", F.lit(None).cast("array<string>"))
     return retrieve(ix, docs, asked, 5, chunk_type="sliding").select("qid", "chunk_id", "orig_score", "rank")
