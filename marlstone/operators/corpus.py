@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -127,15 +129,10 @@ class Index:
             return F.lit(True)
         return F.col("kinds").bitwiseAND(F.lit(1 << self.kinds.index(kind))) != 0 if kind in self.kinds else F.lit(False)
 
-    def scores(self, queries: DataFrame, expanded: bool = False, kind: str | None = None) -> DataFrame:
-        """(qid, doc_id, score) of ``queries`` (qid, text; with ``expanded`` also languages, an array).
-
-        Postings of other languages than those in a query's ``only`` (an array, if there; null: any) and of chunks that
-        aren't of ``kind`` are left out before scores are summed; statistics are of all documents.
-        """
+    def _wanted(self, queries: DataFrame, expanded: bool, kind: str | None) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, t, tf, dl, language), the postings that ``queries`` ask for, each once, and (t, qid, w, only), who asks for them."""
         q = bounded(written(self._terms(queries, expanded), "query-terms"))
         q = self.terms.join(q, ["bucket", "term"]).select("qid", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-        avgdl = self.corpus.first()["avgdl"]
         by_language = "only" in queries.columns
         if by_language:
             q = q.join(queries.select("qid", "only"), "qid")
@@ -146,15 +143,64 @@ class Index:
         hit = self.postings.join(wanted, ["bucket", "term"]).where(self._of_kind(kind))
         if by_language:
             hit = hit.where(F.col("any") | F.array_contains("speak", F.col("language")))
+        hit = hit.select("doc_id", "t", "tf", "dl", *(["language"] if by_language else []))
+        asked = q.join(wanted.select("bucket", "term", "t"), ["bucket", "term"]).select("t", "qid", "w", *(["only"] if by_language else []))
+        return hit, written(asked, "asked")
+
+    def _part(self) -> Column:
+        """What a posting adds to a score for each unit of its term's weight."""
+        return F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / self.corpus.first()["avgdl"]))
+
+    def scores(self, queries: DataFrame, expanded: bool = False, kind: str | None = None) -> DataFrame:
+        """(qid, doc_id, score) of ``queries`` (qid, text; with ``expanded`` also languages, an array), all of them.
+
+        Postings of other languages than those in a query's ``only`` (an array, if there; null: any) and of chunks that
+        aren't of ``kind`` are left out before scores are summed; statistics are of all documents.
+        """
+        hit, asked = self._wanted(queries, expanded, kind)
         # each posting is dealt once, to its document's partition, and meets the queries that ask for it only there
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        hit = hit.select("doc_id", "t", "tf", "dl", *(["language"] if by_language else [])).repartition(parts, "doc_id")
-        asked = q.join(wanted.select("bucket", "term", "t"), ["bucket", "term"]).select("t", "qid", "w", *(["only"] if by_language else []))
-        hit = hit.join(bounded(written(asked, "asked")), "t")
-        if by_language:
+        hit = hit.repartition(parts, "doc_id").join(bounded(asked), "t")
+        if "only" in queries.columns:
             hit = hit.where(_spoken())
-        part = F.col("w") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / avgdl))
-        return hit.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+        return hit.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * self._part()).alias("score"))
+
+    def best(self, queries: DataFrame, k: int, expanded: bool = False, kind: str | None = None, also: DataFrame | None = None) -> DataFrame:
+        """Of ``scores`` those that ``top_k`` may keep, and those of the pairs ``also`` (qid, doc_id).
+
+        Documents and queries are not paired in rows: each posting is dealt once, to its document's partition, and meets
+        there a list of the queries that ask for it; a partition gives ``k`` documents a query, or little more.
+        """
+        hit, asked = self._wanted(queries, expanded, kind)
+        keys, low = ["t"], F.lit((1 << 33) - 1)
+        numbers = written(asked.select("qid").distinct().withColumn("q", F.monotonically_increasing_id()), "numbers")
+        wide = (numbers.agg(F.max(F.col("q").bitwiseAND(low))).first()[0] or 0) + 1  # one number
+        numbers = bounded(numbers.select("qid", (F.shiftright("q", 33) * wide + F.col("q").bitwiseAND(low)).alias("q")))
+        asked = asked.join(numbers.withColumnRenamed("qid", "_qid"), F.expr("qid <=> _qid"))
+        if "only" in queries.columns:
+            keys = ["t", "language"]
+            spoken = F.broadcast(self.languages.agg(F.concat(F.collect_set("language"), F.array(F.lit(""))).alias("spoken")))  # one row
+            asked = asked.crossJoin(spoken).select("t", "q", "w", F.explode(F.array_distinct(F.coalesce("only", "spoken"))).alias("language"))
+        lists = asked.groupBy(*keys, F.expr(f"q div {_QUERIES}").alias("piece")).agg(F.collect_list(F.struct("q", "w")).alias("of"))
+        lists = written(lists.select(*keys, F.col("of.q").alias("qs"), F.col("of.w").alias("ws"), F.monotonically_increasing_id().alias("l")), "lists")
+        hit = hit.select("doc_id", self._part().alias("part"), *keys)
+        if also is None:
+            hit = hit.withColumn("also", F.lit(None).cast("string"))
+        else:
+            named = also.join(numbers, "qid").groupBy("doc_id").agg(F.array_join(F.collect_set(F.col("q").cast("string")), ",").alias("also"))  # Arrow is slow to write null arrays
+            hit = hit.join(bounded(written(named, "also")), "doc_id", "left")
+        held, carried = None, ["qs", "ws"]
+        if bounded(lists) is not lists:
+            held = self.spark.sparkContext.broadcast(lists.select("l", "qs", "ws").orderBy("l").toArrow().combine_chunks())  # counted to be as small as a broadcast side
+            carried, lists = [], F.broadcast(lists.select(*keys, "l"))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        hit = hit.join(lists, keys).select("doc_id", "l", "part", "also", *carried).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "l")
+        kind_of = hit.schema["doc_id"].dataType.simpleString()
+        return hit.mapInArrow(_best(k, held), f"q long, doc_id {kind_of}, score double").join(numbers, "q").select("qid", "doc_id", "score")
+
+    def top(self, queries: DataFrame, k: int, kind: str | None = None) -> DataFrame:
+        """``top_k`` of the scores of ``queries``."""
+        return top_k(self.best(queries, k, kind=kind), k)
 
     def search(self, queries: DataFrame, k: int = 20, kind: str | None = None) -> DataFrame:
         """(qid, doc_id, score, rank, exact): the ``k`` best of each query (qid, text, languages).
@@ -170,7 +216,8 @@ class Index:
         q = q.crossJoin(spoken).select("qid", "text", F.when(F.arrays_overlap("languages", "spoken"), F.col("languages")).alias("only"), "languages")
         key = q.select("qid", "only", tokens_key(T.tokens(F.col("text"))).alias("source_key")).where(F.size(T.tokens(F.col("text"))) > 0)
         exact = self.sources.where(self._of_kind(kind)).join(bounded(key), "source_key").where(_spoken()).select("qid", "doc_id", F.lit(True).alias("exact"))
-        both = self.scores(q, expanded=True, kind=kind).join(exact, ["qid", "doc_id"], "full").withColumn("exact", F.coalesce("exact", F.lit(False)))
+        exact = written(exact, "exact")
+        both = self.best(q, k, expanded=True, kind=kind, also=exact).join(exact, ["qid", "doc_id"], "full").withColumn("exact", F.coalesce("exact", F.lit(False)))
         score = F.round(F.when(F.col("exact"), F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(1.0))).otherwise(F.col("score")), 6)
         w = Window.partitionBy("qid").orderBy(F.col("exact").desc(), F.when(F.col("exact"), 0.0).otherwise(F.col("score")).desc(), "doc_id")
         ranked = both.withColumn("score", score).where("exact OR score > 0").withColumn("rank", F.row_number().over(w).cast("long"))
@@ -199,6 +246,153 @@ def tokens_key(toks: Column) -> Column:
 _FIRST_INDIC = r"(?<![\p{L}\p{N}_\x{0900}-\x{0D7F}\x{0600}-\x{06FF}])([\x{0900}-\x{0D7F}\x{0600}-\x{06FF}])"
 
 
+#: Queries in one list at most, cells of a table of lists or rows and queries, pairs held before they are cut to
+#: the best; and how far below the last place a score may be that rounding could still bring there.
+_QUERIES, _CELLS, _HELD, _NEAR = 512, 1 << 22, 1 << 16, 2e-6
+
+
+def _best(k: int, lists) -> Callable:
+    """From postings (doc_id, l, part, also) in order of doc_id: the ``k`` best documents of each query of a partition with a
+    score above zero, ties by doc_id; and the scores of the queries in ``also``. ``lists`` is a broadcast table (l, qs, ws) of
+    the queries of each list and their weights; where it is None, postings carry those themselves."""
+
+    def tabled() -> tuple | None:
+        """Weights as a table of lists and queries, which queries a list's columns are, and how many it has; None where that is large."""
+        if lists is None or not len(lists.value):
+            return None
+        qs = lists.value.column("qs").combine_chunks()
+        q, each = qs.flatten().to_numpy(), qs.value_lengths().to_numpy()
+        width = min(int(q.max()) + 1, _QUERIES)
+        if len(each) * width > _CELLS:
+            return None
+        table, piece = np.zeros((len(each), width)), q[np.cumsum(each) - 1] // _QUERIES
+        np.add.at(table, (np.repeat(np.arange(len(each)), each), q % _QUERIES), lists.value.column("ws").combine_chunks().flatten().to_numpy())
+        return table, piece, each
+
+    def by_table(table: np.ndarray, piece: np.ndarray, at: np.ndarray, part: np.ndarray, doc: np.ndarray, least: Callable) -> Iterator[tuple]:
+        """(document, query, score) of scores that reach what ``least`` says of (documents, queries)."""
+        own = piece[at]
+        for p in np.unique(own):
+            here = np.flatnonzero(own == p)
+            starts = np.flatnonzero(np.append(True, doc[here][1:] != doc[here][:-1]))
+            s = np.add.reduceat(table[at[here]] * part[here, None], starts, axis=0)
+            d, q = np.nonzero(least(s, doc[here][starts][:, None], p * _QUERIES + np.arange(s.shape[1])[None, :]))
+            yield doc[here][starts][d], p * _QUERIES + q, s[d, q]
+
+    def by_pairs(qs: pa.ListArray, ws: pa.ListArray, part: np.ndarray, doc: np.ndarray, least: Callable) -> Iterator[tuple]:
+        q, row = qs.flatten().to_numpy(), np.repeat(np.arange(len(part)), qs.value_lengths().to_numpy())
+        n = int(q.max()) + 1
+        key, place = np.unique(doc[row] * n + q, return_inverse=True)
+        s = np.bincount(place, ws.flatten().to_numpy() * part[row], len(key))
+        good = np.flatnonzero(least(s, key // n, key % n))
+        yield key[good] // n, key[good] % n, s[good]
+
+    def cut(q: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Places of the best ``k`` of each query, those that come near the last of them, and of equal scores the first ``k``;
+        and the queries with ``k`` scores, with the last of those."""
+        order = np.lexsort((doc, -s, q))
+        q, s = q[order], s[order]
+        new = np.append(True, q[1:] != q[:-1])
+        first = np.flatnonzero(new)
+        end, group = np.append(first[1:], len(q)), np.cumsum(new) - 1
+        last = s[np.minimum(first + k, end) - 1]
+        other = new | np.append(True, s[1:] != s[:-1])
+        equal = np.arange(len(q)) - np.flatnonzero(other)[np.cumsum(other) - 1]
+        full = end - first >= k
+        return order[(s >= last[group] - _NEAR) & (equal < k)], (q[first][full], last[full])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, upto, limit, table, bar = [], 0, 0, _HELD, tabled(), np.zeros(0)
+        for b in _whole(batches):
+            starts = _starts(b)
+            ids, named = (b.column(c).take(pa.array(starts)) for c in ("doc_id", "also"))
+            mine = None
+            if named.null_count < len(named):
+                told = pc.split_pattern(named.drop_null(), ",")
+                flat = pc.cast(told.flatten(), pa.int64()).to_numpy()
+                n = int(flat.max()) + 1
+                mine = np.repeat(np.flatnonzero(named.is_valid()), told.value_lengths().to_numpy()) * n + flat
+
+            def asked(d, q, mine=mine, n=n if mine is not None else 0):
+                return np.zeros(1, bool) if mine is None else (q < n) & np.isin(d * n + q, mine)
+
+            def least(s, d, q):
+                if len(bar) <= (top := int(q.max())):
+                    bar.resize(top + 1, refcheck=False)
+                return (s > 0) & (s >= bar[q] - _NEAR) | asked(d, q)  # noqa: B023
+
+            part, doc = b.column("part").to_numpy(), np.cumsum(np.isin(np.arange(len(b)), starts)) - 1
+            at = None if lists is None else np.searchsorted(lists.value.column("l").to_numpy(), b.column("l").to_numpy())
+            for lo, hi in _slices(starts, len(b), _CELLS // _QUERIES):
+                if table is not None and (hi - lo) * table[0].shape[1] <= min(2 * _CELLS, 32 * int(table[2][at[lo:hi]].sum())):  # else most cells are empty
+                    got = by_table(*table[:2], at[lo:hi], part[lo:hi], doc[lo:hi], least)
+                else:
+                    qs, ws = (b.column(c)[lo:hi] if lists is None else lists.value.column(c).combine_chunks().take(pa.array(at[lo:hi])) for c in ("qs", "ws"))
+                    got = by_pairs(qs, ws, part[lo:hi], doc[lo:hi], least)
+                for d, q, s in got:
+                    own = np.broadcast_to(asked(d, q), d.shape)
+                    if own.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(q[own]), ids.take(pa.array(d[own])), pa.array(s[own])], ["q", "doc_id", "score"])
+                        d, q, s = d[~own], q[~own], s[~own]
+                    if len(q):
+                        held.append((q, d + upto, s, ids.take(pa.array(d))))
+                        size += len(q)
+                if size > limit:
+                    one, (q, last) = _cut_all(held, cut)
+                    held, size = [one], len(one[0])
+                    bar[q] = np.maximum(bar[q], last)
+                    limit = max(_HELD, 2 * size)
+            upto += len(starts)
+        if held:
+            (q, _, s, doc_id), _ = _cut_all(held, cut)
+            yield pa.RecordBatch.from_arrays([pa.array(q), doc_id, pa.array(s)], ["q", "doc_id", "score"])
+
+    return run
+
+
+def _cut_all(held: list, cut: Callable) -> tuple:
+    q, doc, s = (np.concatenate([h[i] for h in held]) for i in range(3))
+    kept, last = cut(q, doc, s)
+    return (q[kept], doc[kept], s[kept], pa.concat_arrays([h[3] for h in held]).take(pa.array(kept))), last
+
+
+def _slices(starts: np.ndarray, end: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole documents, of about ``rows`` rows."""
+    lo = 0
+    while lo < end:
+        i = int(np.searchsorted(starts, lo + rows, "right")) - 1
+        hi = end if lo + rows >= end else int(starts[i]) if starts[i] > lo else int(starts[i + 1]) if i + 1 < len(starts) else end
+        yield lo, hi
+        lo = hi
+
+
+def _starts(b: pa.RecordBatch) -> np.ndarray:
+    """Rows of a batch at which a document begins."""
+    ids = b.column("doc_id")
+    return np.flatnonzero(np.append(True, pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False)))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, each document's in one batch."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        at = int(_starts(b)[-1])
+        if at == 0 and rest and rest[-1].column("doc_id")[-1] == b.column("doc_id")[0]:
+            rest.append(b)
+            continue
+        if at == 0:  # one document alone, another than those before
+            if rest:
+                yield pa.concat_batches(rest)
+            rest = [b]
+            continue
+        yield pa.concat_batches([*rest, b.slice(0, at)])
+        rest = [b.slice(at)]
+    if rest:
+        yield pa.concat_batches(rest)
+
+
 def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(qid, doc_id, score, rank): the k best above zero, ties by doc_id."""
     s = scores.select("qid", "doc_id", F.round("score", digits).alias("score")).where("score > 0")

@@ -298,3 +298,27 @@ def test_postings_are_written_where_texts_are_read(spark, tmp_path):
     postings = C.Index.build(docs, str(tmp_path / "ix"), buckets=2).postings
     hot = postings.where("term = 'the'").groupBy(F.input_file_name()).count().collect()
     assert len(hot) == 3 and sum(r["count"] for r in hot) == 60
+
+
+def test_best_are_the_top_of_all_scores(spark, monkeypatch):
+    """Many copies, pairs asked for besides, languages, ids of either kind; by each of the three ways a list may be held."""
+    rows = [(i, f"{'red ' * (i % 5)}{'blue ' * (i % 3)}green w{i % 11} w{i % 7}", ("fr", "de", None)[i % 3]) for i in range(300)] + [(1000 + i, "red blue copy", "de") for i in range(50)]
+    docs = spark.createDataFrame([*rows, (7000, "", "fr"), (7001, None, None)], "doc_id long, text string, language string")
+    q = [(i, f"red w{i % 11} {'blue ' * (i % 4)}copy", [None, ["fr"], ["de", "fr"], [""], []][i % 5]) for i in range(40)] + [(90, "none of them", None), (91, "", ["fr"]), (92, None, None)]
+    q = spark.createDataFrame(q, "qid long, text string, only array<string>")
+    also = spark.createDataFrame([(1, 297), (2, 1049), (3, 5), (0, 7000), (90, 1)], "qid long, doc_id long")
+    for kind, asked, hows in (("long", q, ({}, {"_CELLS": 0}, {"bounded": lambda df: df, "_HELD": 8})), ("string", q.drop("only"), ({},))):
+        named = also.withColumn("doc_id", F.col("doc_id").cast(kind))
+        ix = C.Index.build(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), fresh_path(spark, "best"), buckets=2)
+        pairs = {(r.qid, r.doc_id): r.score for r in ix.scores(asked).collect()}
+        want = C.top_k(ix.scores(asked), 4).orderBy("qid", "rank").collect()
+        for how in hows:
+            with monkeypatch.context() as m:
+                for name, value in how.items():
+                    m.setattr(C, name, value)
+                best = ix.best(asked, 4, also=named).collect()
+                if not how:
+                    assert ix.top(asked, 4).orderBy("qid", "rank").collect() == want
+            got = {(r.qid, r.doc_id): r.score for r in best}
+            assert len(best) == len(got) < len(pairs) / 2 and all(s == pytest.approx(pairs.get(p, 0.0)) for p, s in got.items())
+            assert {(r.qid, r.doc_id) for r in want} | {p for r in named.collect() if (p := tuple(r)) in pairs} <= set(got)
