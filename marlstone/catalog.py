@@ -156,7 +156,7 @@ def _index(spark, d) -> C.Index:
 
 
 def _bm25(spark, d, k: int) -> DataFrame:
-    return C.top_k(_index(spark, d).scores(_items(spark, d)), k)
+    return _index(spark, d).top(_items(spark, d), k)
 
 
 @query(_BM25 + "k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT * FROM k WHERE rank <= 5")
@@ -170,7 +170,7 @@ FROM s JOIN documents USING (doc_id) WHERE score > 0 AND lang = 'fr') SELECT * F
 )
 def bm25_topk_lang_filtered(spark, d):
     """Statistics over the whole corpus; postings of other languages are left out before scores are summed."""
-    return C.top_k(_index(spark, d).scores(_items(spark, d).withColumn("only", F.array(F.lit("fr")))), 5)
+    return _index(spark, d).top(_items(spark, d).withColumn("only", F.array(F.lit("fr"))), 5)
 
 
 _COS = """WITH s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
@@ -274,7 +274,7 @@ SELECT qid, doc_id, answer, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(l
 )
 def rag_answer_batch(spark, d):
     docs = table(spark, d, "documents")
-    top = _bm25(spark, d, 1).join(docs.select("doc_id", "text"), "doc_id")
+    top = _with_texts(_bm25(spark, d, 1), docs.select("doc_id", "text"))
     out = top.select("qid", "doc_id", A.extractive(F.col("text")).alias("answer"), "text")
     return out.select("qid", "doc_id", "answer", F.round(A.overlap(F.col("answer"), F.col("text")), 6).alias("grounding"))
 
@@ -345,10 +345,17 @@ def point_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", point_id(F.col("doc_id").cast("string")).alias("point_id"))
 
 
+def _with_texts(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``found`` (doc_id, ...) with the columns of its documents; no text of another one is dealt."""
+    from marlstone.shared import bounded
+
+    found = written(found, "found")
+    return found.join(docs.join(bounded(found.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id")
+
+
 def _hits(spark, d) -> tuple[DataFrame, DataFrame]:
     """Benchmark items as questions, and their 20 best documents as hits."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = _bm25(spark, d, 20).join(docs, "doc_id").select(
+    hits = _with_texts(_bm25(spark, d, 20), table(spark, d, "documents").select("doc_id", "text")).select(
         "qid", "rank", F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("text").alias("parent_text"), F.col("score").alias("orig_score"),
         (1.0 / (60 + F.col("rank"))).alias("rrf_score"), F.lit(None).cast("string").alias("source_query"),
     )
@@ -572,7 +579,7 @@ def cross_script_refusals(spark, d):
     from marlstone.operators.rerank import refusals, rerank
 
     asked, found, docs = _cross_script(spark, d)
-    hits = written(found.join(docs.select("doc_id", "text"), "doc_id").select(
+    hits = written(_with_texts(found, docs.select("doc_id", "text")).select(
         "qid", "rank", F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("text").alias("parent_text"), F.lit(0.0).alias("orig_score"), F.lit(0.0).alias("rrf_score"),
         F.lit(None).cast("string").alias("source_query"),
     ), "hits")

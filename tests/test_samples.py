@@ -122,3 +122,20 @@ def test_refusals_across_scripts_are_those_of_plain_code(spark, sf):
         if of:
             best = max(((round(share(r.qid, doc, R.STOP, R.SOUNDS)[1], 8), -rank, doc) for rank, doc in hits[r.qid]))
             assert (r.chunk_id, r.rerank_score) == (str(best[2]), pytest.approx(best[0], abs=1e-8))
+
+
+def test_texts_of_hits_are_dealt_alone(spark):
+    conf, key = spark.conf, "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(key)
+    conf.set(key, "-1")
+    try:
+        docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        found = spark.range(12).select(F.col("id").alias("qid"), (F.col("id") % 3 * 7).alias("doc_id"))
+        store = spark.sparkContext._jsc.sc().statusStore()
+        seen = lambda: {x.stageId(): x.shuffleWriteRecords() for x in _listed(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+        old = seen()
+        got = catalog._with_texts(found, docs).collect()
+        assert sorted((r.qid, r.doc_id) for r in got) == [(i, i % 3 * 7) for i in range(12)] and all(r.text for r in got)
+        assert sum(n for i, n in seen().items() if i not in old) < 500
+    finally:
+        conf.set(key, before)
