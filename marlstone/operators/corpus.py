@@ -108,10 +108,15 @@ class Index:
         save(spark.createDataFrame([(n_docs, (total["n"] or 0) / n_docs if n_docs else 0.0, buckets, kinds)], "n_docs long, avgdl double, buckets int, kinds array<string>"), "corpus")
         asked = T.tokens(F.col("source_query")) if "source_query" in have else F.array().cast("array<string>")
         save(docs.select("doc_id", *meta, F.when(F.size(asked) > 0, tokens_key(asked)).alias("source_key")).where("source_key IS NOT NULL"), "sources")
+        # the first document of a language with a token in a script of its own; only such documents' texts are read again
+        indic = F.ascii("term").between(*X.BRAHMIC) | F.ascii("term").between(*X.ARABIC_BLOCK)
+        near = F.col("term").between(chr(X.ARABIC_BLOCK[0]), chr(X.BRAHMIC[1] + 1))  # what files can be skipped by
+        first = postings.where(near & indic & (F.col("language") != "")).groupBy("language").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
         script = F.get(X.scripts(F.regexp_extract(text, _FIRST_INDIC, 1)), F.lit(0))
-        found = docs.select("doc_id", language.alias("language"), script.alias("script")).where("language <> ''").groupBy("language")
-        save(found.agg(F.min_by("script", F.when(F.col("script").isNotNull(), F.col("doc_id"))).alias("script")), "languages")
-        save(roman_vocabulary(terms.select("term")), "roman")
+        found = docs.join(bounded(written(first, "first")), "doc_id", "left_semi").select(language.alias("language"), script.alias("script"))
+        spoken = docs.select(language.alias("language")).where("language <> ''").distinct()
+        save(spoken.join(found, "language", "left").select("language", "script"), "languages")
+        save(roman_vocabulary(terms.select("term"), once=True), "roman")
         return cls(spark, folder, **how)
 
     def _terms(self, queries: DataFrame, expanded: bool) -> DataFrame:

@@ -145,11 +145,14 @@ def rerank(queries: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_was")
 
 
-def roman_vocabulary(terms: DataFrame) -> DataFrame:
-    """(native, roman, skeleton, script) of the distinct terms (term) beyond ASCII with a Latin form of three letters or more."""
-    t = terms.where(~F.col("term").rlike(r"^\p{ASCII}*$")).select(F.col("term").alias("native")).distinct()
-    t = t.withColumn("roman", X.romanize(F.col("native"))).where("length(roman) >= 3")
-    return t.withColumn("skeleton", X.skeleton(F.col("roman"))).withColumn("script", F.get(X.scripts(F.substring("native", 1, 1)), 0)).where("skeleton <> ''")
+def roman_vocabulary(terms: DataFrame, once: bool = False) -> DataFrame:
+    """(native, roman, skeleton, script) of the distinct terms (term) beyond ASCII with a Latin form of three letters or more;
+    with ``once`` the terms are known to be distinct."""
+    t = terms.where(~F.col("term").rlike(r"^\p{ASCII}*$")).select(F.col("term").alias("native"))
+    t = t if once else t.distinct()
+    forms = F.transform(F.array(X.romanize(F.col("native"))), lambda r: F.struct(r.alias("roman"), X.skeleton(r).alias("skeleton")))
+    t = t.select("native", F.inline(forms)).where("length(roman) >= 3 AND skeleton <> ''")  # forms are worked out once
+    return t.withColumn("script", F.get(X.scripts(F.substring("native", 1, 1)), 0))
 
 
 def expand(queries: DataFrame, vocabulary: DataFrame, limit: int = 8) -> DataFrame:

@@ -322,3 +322,14 @@ def test_best_are_the_top_of_all_scores(spark, monkeypatch):
             got = {(r.qid, r.doc_id): r.score for r in best}
             assert len(best) == len(got) < len(pairs) / 2 and all(s == pytest.approx(pairs.get(p, 0.0)) for p, s in got.items())
             assert {(r.qid, r.doc_id) for r in want} | {p for r in named.collect() if (p := tuple(r)) in pairs} <= set(got)
+
+
+def test_scripts_of_languages_and_terms_without_a_shuffle(spark):
+    from marlstone.operators.rerank import roman_vocabulary
+
+    rows = [(9, "गोवा राज्य", "hi"), (4, "x1गोवा plain ગોવા", " HI "), (2, "latin only", "hi"), (7, "ܫܠܡܐ סלאם", "he"), (3, "Ünïcode", "de"), (5, "گوا ہے", "ur"), (6, None, "xx"), (8, "गोवा", "")]
+    ix = C.Index.build(spark.createDataFrame(rows, "doc_id long, text string, language string"), fresh_path(spark, "index"), buckets=2)
+    assert {tuple(r) for r in ix.languages.select("language", "script").collect()} == {("hi", 0x0A80), ("he", None), ("de", None), ("ur", 0x0600), ("xx", None)}
+    assert {r.native for r in ix.roman.collect()} >= {"गोवा", "राज्य", "ગોવા", "گوا"} and ix.roman.count() == ix.roman.select("native").distinct().count()
+    plan = roman_vocabulary(ix.terms.select("term"), once=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
