@@ -424,10 +424,21 @@ SELECT doc_id AS query_id, arg_min(chunk_id, s_no * 1000000 + chunk_no) AS chunk
 )
 def compact_index_chunks(spark, d):
     """The whole table's chunks, without a limit."""
+    return _chunks(_records(table(spark, d, "documents"))).select("query_id", "chunk_id", "chunk_type", "text")
+
+
+def _records(docs: DataFrame) -> DataFrame:
+    """Documents as records of one passage."""
+    from marlstone.operators import records as R
+
+    texts = docs.select(F.col("doc_id").alias("query_id"), F.lit("document").alias("query"), F.struct(F.array("text").alias("English_passages")).alias("passages"), "lang")
+    return R.normalize(texts, F.col("lang"))
+
+
+def _chunks(records: DataFrame) -> DataFrame:
     from marlstone.operators import records as R
 
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("document").alias("query"), F.struct(F.array("text").alias("English_passages")).alias("passages"), "lang")
-    return R.compact_chunks(R.clean(R.normalize(texts, F.col("lang"))), ordered=False).select("query_id", "chunk_id", "chunk_type", "text")
+    return R.compact_chunks(R.clean(records), ordered=False)
 
 
 @query(
@@ -438,12 +449,20 @@ def compact_index_chunks(spark, d):
 def retrieve_of_kind(spark, d):
     """Benchmark items over the compact chunks: the best chunks of one kind, which several kinds at once may have."""
     from marlstone.operators.questions import retrieve
-    from marlstone.shared import fresh_path
+    from marlstone.operators.spans import ChunkIndex
+    from marlstone.shared import bounded, fresh_path
+
+    docs = table(spark, d, "documents")
+    ix = ChunkIndex.build(_records(docs), fresh_path(spark, "chunk-index"), buckets=8)
+
+    def chunks(ids: DataFrame) -> DataFrame:
+        """Those of the documents that hits are of, whose numbers their ids have."""
+        own = ids.select(F.regexp_extract("id", r"(?s)^.*:(-?\d+):p\d+:english:", 1).cast("long").alias("doc_id")).distinct()
+        # written, or the texts of all would be cleaned before the join
+        return _chunks(_records(written(docs.join(bounded(own), "doc_id", "left_semi"), "hit-documents"))).withColumnRenamed("chunk_id", "doc_id")
 
-    docs = written(compact_index_chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), "chunks", "zstd")  # chunks of one text repeat it
-    ix = C.Index.build(docs, fresh_path(spark, "chunk-index"), buckets=8)
     asked = _items(spark, d).withColumn("languages", F.lit(None).cast("array<string>"))
-    return retrieve(ix, docs, asked, 5, chunk_type="sliding").select("qid", "chunk_id", "orig_score", "rank")
+    return retrieve(ix, chunks, asked, 5, chunk_type="sliding").select("qid", "chunk_id", "orig_score", "rank")
 
 
 _PROFILE = r"(' ' || trim(regexp_replace(lower({0}), '\s+', ' ', 'g')) || ' ')"

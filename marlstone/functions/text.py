@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a token is made of, and what ends a sentence.
-TOKEN = r"[\p{L}\p{N}_\x{0900}-\x{0D7F}\x{0600}-\x{06FF}]+"
+TOKEN = r"[a-z\p{L}\p{N}_\x{0900}-\x{0D7F}\x{0600}-\x{06FF}]++"  # letters met most first, and none given back: the same tokens, sooner
 SENTENCE_END = ".!?।॥"
 _EDGE = r"(?U)^\s+|\s+$"
+#: All that (?U)\s stands for.
+_BLANKS = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
@@ -18,7 +20,7 @@ def strip(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """NUL to blank, stripped, runs of blanks as one."""
-    return F.trim(F.regexp_replace(F.translate(c, "\0", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(c, "\0" + _BLANKS, " " * (1 + len(_BLANKS))), " {2,}", " "))
 
 
 def text_hash(c: Column) -> Column:
@@ -37,6 +39,11 @@ def sentences(c: Column) -> Column:
     return F.filter(parts, lambda s: s != "")  # parts begin and end at no blank: a cut takes all that follow a mark
 
 
+def clean_sentences(c: Column) -> Column:
+    """``sentences`` of a text that ``clean_text`` gave, which has no blanks but single spaces."""
+    return F.filter(F.split(c, rf" (?<=[{SENTENCE_END}] )"), lambda s: s != "")
+
+
 def sentence_chunks(sents: Column, min_chars: int = 40) -> Column:
     """Sentences joined until a chunk has ``min_chars``; the last chunk may be shorter."""
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))

@@ -100,12 +100,10 @@ class Index:
         postings = save(rows, "postings", "bucket")
         n_docs = docs.count()
         df = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
-        raw = df.withColumn("raw", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-        raw = save(raw, "raw")
-        total = raw.agg(F.avg("raw").alias("mean"), F.sum("n").alias("n")).first()  # two numbers
-        idf = F.when(F.col("raw") < 0, F.lit(epsilon * (total["mean"] or 0.0))).otherwise(F.col("raw"))
-        terms = save(raw.select("bucket", "term", "df", idf.alias("idf")), "terms")
-        save(spark.createDataFrame([(n_docs, (total["n"] or 0) / n_docs if n_docs else 0.0, buckets, kinds)], "n_docs long, avgdl double, buckets int, kinds array<string>"), "corpus")
+        df = written(df, "counts")
+        n_tokens = df.agg(F.sum("n")).first()[0] or 0  # one number
+        terms = save_terms(save, df.drop("n"), n_docs, epsilon)
+        save(spark.createDataFrame([(n_docs, n_tokens / n_docs if n_docs else 0.0, buckets, kinds)], "n_docs long, avgdl double, buckets int, kinds array<string>"), "corpus")
         asked = T.tokens(F.col("source_query")) if "source_query" in have else F.array().cast("array<string>")
         save(docs.select("doc_id", *meta, F.when(F.size(asked) > 0, tokens_key(asked)).alias("source_key")).where("source_key IS NOT NULL"), "sources")
         # the first document of a language with a token in a script of its own; only such documents' texts are read again
@@ -229,6 +227,14 @@ class Index:
         return ranked.where(F.col("rank") <= k).select("qid", "doc_id", "score", "rank", "exact")
 
 
+def save_terms(save: Callable, df: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
+    """The table of terms from (bucket, term, df), their numbers of documents."""
+    raw = save(df.withColumn("raw", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "raw")
+    mean = raw.agg(F.avg("raw")).first()[0]  # one number
+    idf = F.when(F.col("raw") < 0, F.lit(epsilon * (mean or 0.0))).otherwise(F.col("raw"))
+    return save(raw.select("bucket", "term", "df", idf.alias("idf")), "terms")
+
+
 def _counted(toks: str) -> Column:
     """(term, tf) of a document's sorted tokens: runs of equal ones, counted in the row and so without a shuffle."""
     def runs(s: Column) -> Column:
@@ -292,20 +298,6 @@ def _best(k: int, lists) -> Callable:
         good = np.flatnonzero(least(s, key // n, key % n))
         yield key[good] // n, key[good] % n, s[good]
 
-    def cut(q: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Places of the best ``k`` of each query, those that come near the last of them, and of equal scores the first ``k``;
-        and the queries with ``k`` scores, with the last of those."""
-        order = np.lexsort((doc, -s, q))
-        q, s = q[order], s[order]
-        new = np.append(True, q[1:] != q[:-1])
-        first = np.flatnonzero(new)
-        end, group = np.append(first[1:], len(q)), np.cumsum(new) - 1
-        last = s[np.minimum(first + k, end) - 1]
-        other = new | np.append(True, s[1:] != s[:-1])
-        equal = np.arange(len(q)) - np.flatnonzero(other)[np.cumsum(other) - 1]
-        full = end - first >= k
-        return order[(s >= last[group] - _NEAR) & (equal < k)], (q[first][full], last[full])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, upto, limit, table, bar = [], 0, 0, _HELD, tabled(), np.zeros(0)
         for b in _whole(batches):
@@ -343,21 +335,36 @@ def _best(k: int, lists) -> Callable:
                         held.append((q, d + upto, s, ids.take(pa.array(d))))
                         size += len(q)
                 if size > limit:
-                    one, (q, last) = _cut_all(held, cut)
+                    one, (q, last) = _cut_all(held, k)
                     held, size = [one], len(one[0])
                     bar[q] = np.maximum(bar[q], last)
                     limit = max(_HELD, 2 * size)
             upto += len(starts)
         if held:
-            (q, _, s, doc_id), _ = _cut_all(held, cut)
+            (q, _, s, doc_id), _ = _cut_all(held, k)
             yield pa.RecordBatch.from_arrays([pa.array(q), doc_id, pa.array(s)], ["q", "doc_id", "score"])
 
     return run
 
 
-def _cut_all(held: list, cut: Callable) -> tuple:
+def cut_best(k: int, q: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Places of the best ``k`` of each query, those that come near the last of them, and of equal scores the first ``k``;
+    and the queries with ``k`` scores, with the last of those."""
+    order = np.lexsort((doc, -s, q))
+    q, s = q[order], s[order]
+    new = np.append(True, q[1:] != q[:-1])
+    first = np.flatnonzero(new)
+    end, group = np.append(first[1:], len(q)), np.cumsum(new) - 1
+    last = s[np.minimum(first + k, end) - 1]
+    other = new | np.append(True, s[1:] != s[:-1])
+    equal = np.arange(len(q)) - np.flatnonzero(other)[np.cumsum(other) - 1]
+    full = end - first >= k
+    return order[(s >= last[group] - _NEAR) & (equal < k)], (q[first][full], last[full])
+
+
+def _cut_all(held: list, k: int) -> tuple:
     q, doc, s = (np.concatenate([h[i] for h in held]) for i in range(3))
-    kept, last = cut(q, doc, s)
+    kept, last = cut_best(k, q, doc, s)
     return (q[kept], doc[kept], s[kept], pa.concat_arrays([h[3] for h in held]).take(pa.array(kept))), last
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,15 @@ ROMANIZED_ANSWER = (
 )
 
 
-def found(index: Index, queries: DataFrame, docs: DataFrame, dense: DataFrame | None = None, k: int = CANDIDATES, chunk_type: str | None = None) -> DataFrame:
+def found(index: Index, queries: DataFrame, docs: DataFrame | Callable[[DataFrame], DataFrame], dense: DataFrame | None = None, k: int = CANDIDATES, chunk_type: str | None = None) -> DataFrame:
     """Hits of ``queries`` (qid, text, languages): qid, rank, chunk_id, text, parent_text, source_query, orig_score, rrf_score.
 
     ``dense`` (qid, id, score, rank), the hits of an encoder outside, is fused with the index's own by reciprocal ranks;
     without it the index's own stand as they are. ``docs`` has doc_id, text and, where there, parent_text, source_query and
-    chunk_type. With ``chunk_type`` only chunks of that kind are hits, of either side, before anything is cut.
+    chunk_type; it may be a function that gives it for the hits' ids (id). With ``chunk_type`` only chunks of that kind are hits, of either side, before anything is cut.
     """
+    if dense is not None and callable(docs):
+        raise ValueError("hits of another side need a table of documents")
     own = index.search(queries, k, chunk_type).select("qid", F.col("doc_id").cast("string").alias("id"), "score", "rank")
     if dense is not None and chunk_type is not None:
         of_kind = of_type(docs, chunk_type).select(F.col("doc_id").cast("string").alias("id"))
@@ -36,6 +40,7 @@ def found(index: Index, queries: DataFrame, docs: DataFrame, dense: DataFrame |
     else:
         own = own.withColumn("rrf", F.lit(0.0))
     own = written(own, "hits")
+    docs = docs(own.select("id").distinct()) if callable(docs) else docs
     have = docs.columns
     maybe = lambda c: (F.col(c) if c in have else F.lit(None)).cast("string").alias(c)
     texts = docs.select(F.col("doc_id").cast("string").alias("id"), "text", maybe("parent_text"), maybe("source_query"), maybe("chunk_type"))
@@ -100,7 +105,7 @@ def answer(index: Index, docs: DataFrame, queries: DataFrame, dense: DataFrame |
     )
 
 
-def retrieve(index: Index, docs: DataFrame, queries: DataFrame, k: int = SELECTED, dense: DataFrame | None = None, chunk_type: str | None = None) -> DataFrame:
+def retrieve(index: Index, docs: DataFrame | Callable[[DataFrame], DataFrame], queries: DataFrame, k: int = SELECTED, dense: DataFrame | None = None, chunk_type: str | None = None) -> DataFrame:
     """The ``k`` hits of each of ``queries`` (qid, text, languages) as they are shown: by words, or with ``dense`` hits fused.
 
     Blank questions are an error of their asker: they have no hits. Where hits are fused, twice ``k`` candidates of either
